@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -63,51 +65,44 @@ def order_hash(key: Column | str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
 
 
-def hash_cuts(df: DataFrame, key: Column | str, seed: int, ranks: Mapping[str, Column]) -> Column:
-    """A struct, one field per name in ``ranks``: the hash at that 1-based rank of the hash order.
+def hash_cuts(
+    df: DataFrame, key: Column | str, seed: int, ranks: Mapping[str, Column]
+) -> dict[str, str]:
+    """For each name in ``ranks``, the hash at that 1-based rank of the hash order.
 
     ``ranks`` gives each rank as an expression over the row count ``n``. Rows
     with ``order_hash(key) <= cut`` are then exactly the first ``rank`` rows, so
     a split is a comparison on each row and needs neither a sort nor a join.
-    A bucket histogram finds where each rank falls and only the rows of those
-    buckets are ranked. Keys must be unique.
+    A bucket histogram finds where each rank falls, and only the rows of those
+    buckets are ranked; one row per cut reaches the driver. Keys must be unique.
     """
     hashed = df.select(order_hash(key, seed).alias("h"))
     bucket = F.substring("h", 1, _PREFIX)
     sizes = hashed.groupBy(bucket.alias("b")).agg(F.count("*").alias("m"))
     # At most 65,536 rows reach this window.
-    order = W.orderBy("b")
-    total = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    steps = sizes.select(
-        "b",
-        (F.sum("m").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m")).alias(
-            "before"
-        ),
-        "m",
-        F.sum("m").over(total).alias("n"),
-    )
+    upto = F.sum("m").over(W.orderBy("b"))
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    steps = sizes.select("b", "m", upto.alias("upto"), F.sum("m").over(whole).alias("n"))
     wanted = F.array(
         *[F.struct(F.lit(name).alias("cut"), rank.cast("long").alias("k")) for name, rank in ranks.items()]
     )
+    before = F.col("upto") - F.col("m")
     targets = (
         steps.withColumn("w", F.explode(wanted))
-        .filter((F.col("w.k") > F.col("before")) & (F.col("w.k") <= F.col("before") + F.col("m")))
-        .select("b", F.col("w.cut").alias("cut"), (F.col("w.k") - F.col("before")).alias("nth"))
-    )
-    # One target row per cut, hence the broadcast; each bucket holds 1/65,536 of the rows.
-    chosen = hashed.withColumn("b", bucket).join(
-        F.broadcast(targets.select("b").distinct()), "b", "left_semi"
+        .filter((F.col("w.k") > before) & (F.col("w.k") <= F.col("upto")))
+        .select("b", "w.cut", (F.col("w.k") - before).alias("nth"))
+        .collect()
     )
-    placed = chosen.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy("h")).cast("long"))
-    found = placed.join(F.broadcast(targets), ["b", "nth"])
-    return found.agg(
-        F.struct(
-            *[
-                F.coalesce(F.max(F.when(F.col("cut") == name, F.col("h"))), F.lit("")).alias(name)
-                for name in ranks
-            ]
-        ).alias("cuts")
-    ).scalar()
+    cuts = dict.fromkeys(ranks, "")
+    if not targets:
+        return cuts
+    # Each bucket holds about 1/65,536 of the rows.
+    chosen = hashed.withColumn("b", bucket).filter(F.col("b").isin(*{t["b"] for t in targets}))
+    placed = chosen.withColumn("nth", F.row_number().over(W.partitionBy("b").orderBy("h")))
+    at = [(F.col("b") == t["b"]) & (F.col("nth") == t["nth"]) for t in targets]
+    found = {(r["b"], r["nth"]): r["h"] for r in placed.filter(reduce(or_, at)).collect()}
+    cuts.update({t["cut"]: found[t["b"], t["nth"]] for t in targets})
+    return cuts
 
 
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

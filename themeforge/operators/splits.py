@@ -26,8 +26,8 @@ def holdout_part(
     cuts = hash_cuts(docs, key, seed, {"train": cut, "skip": cut + 1})
     h = order_hash(key, seed)
     return (
-        F.when(h <= cuts.getField("train"), "train")
-        .when(h <= cuts.getField("skip"), "skipped")
+        F.when(h <= cuts["train"], "train")
+        .when(h <= cuts["skip"], "skipped")
         .otherwise("test")
     )
 
@@ -51,8 +51,8 @@ def three_way(
     h = order_hash(key, seed)
     return df.withColumn(
         "part",
-        F.when(h <= cuts.getField("train"), "train")
-        .when(h <= cuts.getField("validation"), "validation")
+        F.when(h <= cuts["train"], "train")
+        .when(h <= cuts["validation"], "validation")
         .otherwise("test"),
     )
 
@@ -93,4 +93,4 @@ def sample_batches(
     """All rows of int(batches * ratio) whole batches chosen in hash order."""
     batches = df.select(batch).distinct()
     cuts = hash_cuts(batches, batch, seed, {"take": F.floor(F.lit(ratio) * F.col("n") + 1e-9)})
-    return df.filter(order_hash(batch, seed) <= cuts.getField("take"))
+    return df.filter(order_hash(batch, seed) <= cuts["take"])

@@ -1,5 +1,5 @@
 """Whole evaluations and the registered queries."""
 
-from themeforge.plans import model_queries, text_queries
+from themeforge.plans import label_queries, model_queries, text_queries
 
-QUERY_MODULES = (text_queries, model_queries)
+QUERY_MODULES = (text_queries, model_queries, label_queries)
