@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from themeforge.functions.vectors import array_to_vector, vector_to_array
 
@@ -67,7 +68,7 @@ def cur(weights: DataFrame, r: int, key: str = "doc_id", seed: int = 42) -> CurF
 
     def drawn(name: str, salt: str, index: str) -> DataFrame:
         found = weighted_draw(weights, name, r, seed, salt).collect()
-        schema = weights.select(name).schema.add(index, "int").add("p", "double")
+        schema = weights.select(name).schema.add(index, IntegerType()).add("p", DoubleType())
         return spark.createDataFrame([(row[name], i, row["p"]) for i, row in enumerate(found)], schema)
 
     columns, rows = drawn("token", "column", "j"), drawn(key, "row", "i")

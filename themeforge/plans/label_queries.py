@@ -264,12 +264,13 @@ def _(spark, sf):
 
 
 @query("gaussian_ratio_scores", f"""
-WITH {_DENSE}, {_near_sql(10, 'NOT head')}, g AS (SELECT doc_id, category, exp(-0.5 * (distance / (variance + 1e-4)) ** 2) AS g
+WITH {_DENSE}, {_near_sql(10, 'NOT head')}, g AS (SELECT doc_id, category, exp(-0.5 * (distance / (10 * variance + 0.5 + 1e-4)) ** 2) AS g
   FROM nr JOIN vr USING (category)) SELECT doc_id, category, round(g / (g + 1e-4), 6) AS score FROM g""")
 def _(spark, sf):
     split, _labelled, model = _dense_model(spark, sf)
     near = _near(split, model, 10, "tail").join(model.select("category", "variance"), "category")
-    score = gaussian_ratio(F.col("distance"), F.col("variance"))
+    # The spread of these unit-scale vectors is widened so that scores differ from zero.
+    score = gaussian_ratio(F.col("distance"), 10 * F.col("variance") + 0.5)
     return near.select("doc_id", "category", r6(score, "score"))
 
 
