@@ -41,16 +41,14 @@ def words(
     """
     lowered = F.lower(F.col(text) if isinstance(text, str) else text)
     if mode == "replace":
-        cleaned = F.regexp_replace(lowered, "[^a-z]+", " ")
+        pieces = F.split(lowered, "[^a-z]+")
     elif mode == "delete":
-        cleaned = F.regexp_replace(F.regexp_replace(lowered, r"[^a-z\s]", ""), r"\s+", " ")
+        pieces = F.split(F.regexp_replace(lowered, r"[^a-z\s]", ""), r"\s+")
     else:
         raise ValueError(f"unknown mode: {mode}")
-    usable = [w for w in stop_words if w.isalpha()]
-    return F.filter(
-        F.split(F.trim(cleaned), " "),
-        lambda w: (w != "") & ~w.isin(*usable) if usable else (w != ""),
-    )
+    # A text that starts or ends with a break has an empty piece there.
+    unwanted = ["", *(w for w in stop_words if w.isalpha())]
+    return F.filter(pieces, lambda w: ~w.isin(*unwanted))
 
 
 def _grams_of(w: Column, n: int) -> Column:
@@ -81,6 +79,39 @@ def ngrams(word_list: Column, low: int = 1, high: int = 2) -> Column:
     )
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, as the element of a one-element array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def run_counts(tokens: Column) -> Column:
+    """Array of (token, c): the distinct tokens of one array and how often each occurs.
+
+    Counting inside the row keeps the step free of any shuffle or hash table:
+    the sorted tokens are cut where the value changes.
+    """
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(s)),
+            lambda i: (i == 1)
+            | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))),
+        )
+
+        def lengths(at: Column) -> Column:
+            after = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s) + 1))
+            return F.zip_with(
+                at, after,
+                lambda a, b: F.struct(
+                    F.element_at(s, a).alias("token"), (b - a).cast("long").alias("c")
+                ),
+            )
+
+        return F.when(F.size(s) > 0, bind(starts, lengths))
+
+    return bind(F.sort_array(tokens), cut)
+
+
 def split_title(df: DataFrame, text: str = "text", title: str = "title") -> DataFrame:
     """Take the first line as title and delete every occurrence of it from the text."""
     first = F.substring_index(F.col(text), "\n", 1)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from themeforge.operators.weights import count_profile, profile_sums
+
 
 def class_table(docs: DataFrame, label: str = "class") -> DataFrame:
     """(label, n, classid): classes with their document count and zero-based id in name order.
@@ -19,18 +21,17 @@ def class_table(docs: DataFrame, label: str = "class") -> DataFrame:
 
 
 def class_centroids(
-    weights: DataFrame,
+    sums: DataFrame,
     classes: DataFrame,
     label: str = "class",
     values: tuple[str, ...] = ("weight",),
     smoothing: int = 0,
 ) -> DataFrame:
-    """(label, token, values): mean weight per class, documents without tokens included.
+    """(label, token, values): mean weight per class from the (label, token) sums.
 
-    The divisor is the class size plus ``smoothing``. Sums are combined before
-    the shuffle, so a class holding most documents costs no more than another.
+    The divisor is the class size plus ``smoothing``, so documents without
+    tokens count.
     """
-    sums = weights.groupBy(label, "token").agg(*[F.sum(v).alias(v) for v in values])
     sized = sums.join(classes.select(label, "n"), label)
     return sized.select(
         label, "token", *[(F.col(v) / (F.col("n") + smoothing)).alias(v) for v in values]
@@ -65,22 +66,23 @@ def category_table(labelled: DataFrame, category: str = "category", minimum: int
 
 
 def category_centroids(
-    weights: DataFrame,
-    labelled: DataFrame,
-    categories: DataFrame,
-    key: str = "doc_id",
-    category: str = "category",
+    counts: DataFrame,
+    vocabulary: DataFrame,
+    sizes: DataFrame,
     denominator: str = "n_plus_1",
+    categories: str = "categories",
 ) -> DataFrame:
     """(category, token, weight): centroid of the documents carrying each category.
 
-    A document counts once for each of its categories. ``denominator`` is ``n``
-    or ``n_plus_1``. Rows are spread over categories only up to the partial sum.
+    ``counts`` are term counts that carry the category list of their document; a
+    document counts once for each of its categories. Rows are spread over
+    categories only up to the map-side count. ``denominator`` is ``n`` or
+    ``n_plus_1``.
     """
-    kept = labelled.join(categories.select(category), category, "left_semi")
-    spread = weights.join(kept.select(key, category), key)
+    spread = counts.select(F.explode(categories).alias("category"), "token", "c")
+    sums = profile_sums(count_profile(spread, "category"), vocabulary, "category")
     return class_centroids(
-        spread, categories, category, smoothing={"n": 0, "n_plus_1": 1}[denominator]
+        sums, sizes, "category", smoothing={"n": 0, "n_plus_1": 1}[denominator]
     )
 
 

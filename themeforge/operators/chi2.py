@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from themeforge.operators.ordering import top_rows
 
 
-def _observed(weights: DataFrame, classes: DataFrame, label: str, value: str) -> DataFrame:
+def _observed(sums: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """(token, total, label, share, observed) for every class, zero where a class lacks the token.
 
     Classes are spread inside each token's row, from a list with one entry per class.
     """
-    sums = weights.groupBy(label, "token").agg(F.sum(value).alias("o"))
     by_token = sums.groupBy("token").agg(
-        F.sum("o").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct(label, "o"))).alias("held"),
+        F.sum("weight").alias("total"),
+        F.map_from_entries(F.collect_list(F.struct(label, "weight"))).alias("held"),
     )
     total_n = classes.agg(F.sum("n")).scalar()
     every = classes.withColumn("share", F.col("n") / total_n).agg(
@@ -29,10 +28,13 @@ def _observed(weights: DataFrame, classes: DataFrame, label: str, value: str) ->
 
 
 def chi_square(
-    weights: DataFrame, classes: DataFrame, label: str = "class", value: str = "weight"
+    sums: DataFrame, classes: DataFrame, label: str = "class"
 ) -> DataFrame:
-    """(label, token, chi2) of each class against the rest."""
-    cells = _observed(weights, classes, label, value)
+    """(label, token, chi2) of each class against the rest.
+
+    ``sums`` holds the summed weight per (label, token).
+    """
+    cells = _observed(sums, classes, label)
     expected = F.col("share") * F.col("total")
     rest = F.col("total") - expected
     gap = (F.col("observed") - expected) * (F.col("observed") - expected)
@@ -49,13 +51,13 @@ def top_tokens(chi2: DataFrame, n: int = 5, label: str = "class") -> DataFrame:
 
 
 def total_chi_square(
-    weights: DataFrame, classes: DataFrame, label: str = "class", value: str = "weight"
+    sums: DataFrame, classes: DataFrame, label: str = "class"
 ) -> DataFrame:
     """One row (chi2): the statistic summed over all classes and tokens.
 
     A single class gets an empty complementary class, which expects and adds nothing.
     """
-    cells = _observed(weights, classes, label, value)
+    cells = _observed(sums, classes, label)
     expected = F.col("share") * F.col("total")
     gap = F.col("observed") - expected
     return cells.agg(F.sum(F.when(expected > 0, gap * gap / expected)).alias("chi2"))

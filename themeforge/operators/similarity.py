@@ -98,21 +98,24 @@ def own_distances(
     centroids: DataFrame,
     key: str = "doc_id",
     label: str = "category",
+    categories: str = "categories",
 ) -> DataFrame:
-    """(key, label, distance) of each document to the centroids of its own labels only."""
-    norms = weights.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("_dsq"))
-    sizes = centroids.groupBy(label).agg(F.sum(F.col("weight") * F.col("weight")).alias("_csq"))
-    held = weights.join(labelled, key)
-    values = centroids.select(label, "token", F.col("weight").alias("_cv"))
-    dots = held.join(values, [label, "token"]).groupBy(key, label).agg(
-        F.sum(F.col("weight") * F.col("_cv")).alias("_dot")
+    """(key, label, distance) of each document to the centroids of its own labels only.
+
+    ``weights`` carry their document's label list, ``labelled`` has one row per
+    (document, label). A document's squared norm comes out of the same sums as
+    its dot product.
+    """
+    w, v = F.col("weight"), F.col("_cv")
+    sizes = centroids.groupBy(label).agg(F.sum(w * w).alias("_csq"))
+    spread = weights.select(key, F.explode(categories).alias(label), "token", "weight")
+    values = centroids.select(label, "token", w.alias("_cv"))
+    sums = spread.join(values, [label, "token"], "left").groupBy(key, label).agg(
+        F.sum(w * v).alias("_dot"), F.sum(w * w).alias("_dsq")
     )
-    full = labelled.join(dots, [key, label], "left").join(norms, key, "left").join(sizes, label)
+    full = labelled.select(key, label).join(sums, [key, label], "left").join(sizes, label)
     zero = F.lit(0.0)
-    return full.select(
-        key,
-        label,
-        euclidean_from_dot(
-            F.coalesce("_dot", zero), F.coalesce("_dsq", zero), F.col("_csq")
-        ).alias("distance"),
+    distance = euclidean_from_dot(
+        F.coalesce("_dot", zero), F.coalesce("_dsq", zero), F.col("_csq")
     )
+    return full.select(key, label, distance.alias("distance"))

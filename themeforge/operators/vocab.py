@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeforge.functions.porter import stem, stem_list
-from themeforge.functions.text import ENGLISH_STOP_WORDS, ngrams, words
+from themeforge.functions.porter import stem_list
+from themeforge.functions.text import ENGLISH_STOP_WORDS, ngrams, run_counts, words
 from themeforge.operators.ordering import row_positions
+from themeforge.session import use_all_cores
 
 
 def tokens(
@@ -21,28 +22,37 @@ def tokens(
     mode: str = "replace",
     stemming: bool = False,
 ) -> DataFrame:
-    """One row (keys, token) per occurrence.
+    """One row (keys, token) per occurrence."""
+    grams = gram_lists(docs, keys, text, ngram_range, stop_words, mode, stemming)
+    return grams.select(*keys, F.explode("_g").alias("token"))
 
-    Rows are first spread by the first key: raw text is the smallest form the
-    data ever has, and later groupings by that key then need no exchange.
-    """
+
+def gram_lists(
+    docs: DataFrame,
+    keys: Sequence[str],
+    text: str = "text",
+    ngram_range: tuple[int, int] = (1, 1),
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    mode: str = "replace",
+    stemming: bool = False,
+) -> DataFrame:
+    """(keys, _g): the array of n-grams of each document."""
     word_list = words(text, stop_words, mode)
-    spread = docs.select(*keys, text).repartition(keys[0])
-    if not stemming:
-        grams = word_list if ngram_range == (1, 1) else ngrams(word_list, *ngram_range)
-        return spread.select(*keys, F.explode(grams).alias("token"))
-    if ngram_range == (1, 1):
-        return spread.select(*keys, F.explode(word_list).alias("token")).withColumn(
-            "token", stem("token")
-        )
-    # Stems must be known before words are joined into n-grams.
-    stemmed = spread.select(*keys, stem_list(word_list).alias("_w"))
-    return stemmed.select(*keys, F.explode(ngrams(F.col("_w"), *ngram_range)).alias("token"))
+    rows = use_all_cores(docs.select(*keys, text), keys[0])
+    if stemming:
+        # Stems must be known before words are joined into n-grams.
+        rows, word_list = rows.select(*keys, stem_list(word_list).alias("_w")), F.col("_w")
+    grams = word_list if ngram_range == (1, 1) else ngrams(word_list, *ngram_range)
+    return rows.select(*keys, grams.alias("_g"))
 
 
 def term_counts(docs: DataFrame, keys: Sequence[str] = ("doc_id",), **options) -> DataFrame:
-    """(keys, token, c): how often each token occurs in each document."""
-    return tokens(docs, keys, **options).groupBy(*keys, "token").agg(F.count("*").alias("c"))
+    """(keys, token, c): how often each token occurs in each document.
+
+    One row per document goes in, so the counts need no shuffle.
+    """
+    grams = gram_lists(docs, keys, **options)
+    return grams.select(*keys, F.inline(run_counts(F.col("_g"))))
 
 
 def distinct_words(docs: DataFrame, **options) -> DataFrame:
@@ -61,8 +71,8 @@ def file_stats(docs: DataFrame, file: str = "source", **options) -> DataFrame:
     Occurrences are summed per (token, file) first, which makes the distinct
     file count a plain count.
     """
-    found = tokens(docs, ("doc_id", file), **options)
-    per_file = found.groupBy("token", file).agg(F.count("*").alias("_f"))
+    found = term_counts(docs, ("doc_id", file), **options)
+    per_file = found.groupBy("token", file).agg(F.sum("c").alias("_f"))
     return per_file.groupBy("token").agg(
         F.count("*").alias("count"), F.sum("_f").alias("frequency")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,38 @@ def tf_idf(counts: DataFrame, vocabulary: DataFrame, sublinear: bool = True) ->
     )
 
 
+def count_profile(counts: DataFrame, label: str) -> DataFrame:
+    """(label, token, c, n): how many documents of a label hold a token exactly c times.
+
+    Token statistics and per-label weight sums follow from this small table, so
+    the documents are read once and never joined with the vocabulary.
+    """
+    return counts.groupBy(label, "token", "c").agg(F.count("*").alias("n"))
+
+
+def profile_stats(profile: DataFrame) -> DataFrame:
+    """(token, df, tf), equal to ``token_stats`` when each document has one label."""
+    return profile.groupBy("token").agg(
+        F.sum("n").alias("df"), F.sum(F.col("c") * F.col("n")).alias("tf")
+    )
+
+
+def profile_sums(
+    profile: DataFrame, vocabulary: DataFrame, label: str, sublinear: bool = True
+) -> DataFrame:
+    """(label, token, weight): summed TF-IDF weights of each label's documents."""
+    return (
+        tf_idf(profile, vocabulary, sublinear)
+        .groupBy(label, "token")
+        .agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    )
+
+
+def class_sums(weights: DataFrame, label: str, values: Sequence[str] = ("weight",)) -> DataFrame:
+    """(label, token, values): summed document weights, combined before the shuffle."""
+    return weights.groupBy(label, "token").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def normalise(
     weights: DataFrame, norm: str | None = "l2", key: str = "doc_id", value: str = "weight"
 ) -> DataFrame:

@@ -23,9 +23,18 @@ from themeforge.operators.centroids import (
 )
 from themeforge.operators.scoring import highest, lowest
 from themeforge.operators.similarity import cosine_from_dot, euclidean_from_dot, sparse_dots
-from themeforge.operators.splits import holdout_part
+from themeforge.operators.splits import folds, holdout_part
 from themeforge.operators.vocab import term_counts, token_stats
-from themeforge.operators.weights import fit_idf, normalise, row_total, tf_idf
+from themeforge.operators.weights import (
+    class_sums,
+    count_profile,
+    fit_idf,
+    normalise,
+    profile_stats,
+    profile_sums,
+    row_total,
+    tf_idf,
+)
 from themeforge.session import stage
 
 SPACES = ("raw", "unit")
@@ -35,39 +44,34 @@ _VALUE = {"raw": "weight", "unit": "unit"}
 
 @dataclass
 class Split:
-    """Documents with their part, and their staged term counts."""
+    """Documents with their part, and their term counts (recomputed on each use)."""
 
     docs: DataFrame
     counts: DataFrame
 
+    def only(self, part: str) -> Split:
+        here = F.col("part") == part
+        return Split(self.docs.filter(here), self.counts.filter(here))
+
 
 def split_documents(
     docs: DataFrame, seed: int = 42, ratio: float = 0.7, ngram_range: tuple[int, int] = (1, 2)
 ) -> Split:
     parted = docs.withColumn("part", holdout_part(docs, "doc_id", seed, ratio))
-    counts = term_counts(parted, ("doc_id", "class", "part"), ngram_range=ngram_range)
-    return Split(
-        stage(parted.select("doc_id", "class", "part"), "documents"), stage(counts, "counts")
-    )
+    keys = ("doc_id", "class", "part")
+    return Split(parted.select(*keys), term_counts(parted, keys, ngram_range=ngram_range))
 
 
-def weigh(
-    split: Split, fit_on: str = "train", min_df: int = 5, spaces: Sequence[str] = SPACES
-) -> DataFrame:
-    """TF-IDF weights of all documents, vocabulary fitted on ``train`` or ``all`` of them.
+def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:
+    """Staged ``weight`` (TF-IDF) and ``unit`` (its L2-normalised form) of all documents.
 
-    With the unit space a column ``unit`` holds the L2-normalised weights.
+    The vocabulary is fitted on the ``train`` part or on ``all`` documents.
     """
-    docs, counts = split.docs, split.counts
-    if fit_on == "train":
-        train = F.col("part") == "train"
-        docs, counts = docs.filter(train), counts.filter(train)
-    elif fit_on != "all":
+    if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on: {fit_on}")
-    vocabulary = fit_idf(token_stats(counts), row_total(docs), min_df)
+    fit = split.only("train") if fit_on == "train" else split
+    vocabulary = fit_idf(token_stats(fit.counts), row_total(fit.docs), min_df)
     weights = tf_idf(split.counts, vocabulary)
-    if "unit" not in spaces:
-        return weights
     unit = normalise(weights.withColumn("unit", F.col("weight")), "l2", value="unit")
     return stage(unit, "weights")
 
@@ -79,8 +83,20 @@ def class_distances(
     train = F.col("part") == "train"
     classes = class_table(docs.filter(train))
     values = tuple(_VALUE[s] for s in spaces)
-    centroids = class_centroids(weights.filter(train), classes, values=values)
-    centroids = centroids.withColumnRenamed("class", "label")
+    sums = class_sums(weights.filter(train), "class", values)
+    centroids = class_centroids(sums, classes, values=values).withColumnRenamed("class", "label")
+    return centroid_distances(docs, weights, centroids, classes, spaces)
+
+
+def centroid_distances(
+    docs: DataFrame,
+    weights: DataFrame,
+    centroids: DataFrame,
+    classes: DataFrame,
+    spaces: Sequence[str] = SPACES,
+) -> DataFrame:
+    """(docs columns, label, <space>_distance) from ready centroids (label, token, values)."""
+    values = tuple(_VALUE[s] for s in spaces)
     norms = centroid_norms(centroids, "label", values).select(
         "label", *[F.col(f"sq_{_VALUE[s]}").alias(f"csq_{s}") for s in spaces]
     )
@@ -97,9 +113,7 @@ def class_distances(
         measured["unit_distance"] = inverse_cosine(
             cosine_from_dot(F.col("dot_unit"), F.col("sq_unit"), F.col("csq_unit"))
         )
-    return dots.select(
-        "doc_id", "class", "part", "label", *[c.alias(n) for n, c in measured.items()]
-    )
+    return dots.select(*docs.columns, "label", *[c.alias(n) for n, c in measured.items()])
 
 
 def class_scores(
@@ -154,11 +168,24 @@ def evaluate_holdout(
 def nearest_centroid_by_class(
     docs: DataFrame, seed: int = 42, ratio: float = 0.7, min_df: int = 5
 ) -> DataFrame:
-    """(class, n, accuracy) of the nearest raw centroid on the test part."""
+    """(class, n, accuracy) of the nearest raw centroid on the test part.
+
+    Two passes over the text: the train part is summed up into a count profile
+    that yields vocabulary and centroids, the test part is scored against them.
+    """
     split = split_documents(docs, seed, ratio)
-    weights = weigh(split, "train", min_df, ("raw",))
-    distances = class_distances(split.docs, weights, ("raw",))
-    picked = distances.filter(F.col("part") == "test").groupBy("doc_id", "class").agg(
+    train, test = split.only("train"), split.only("test")
+    classes = class_table(train.docs)
+    profile = count_profile(train.counts, "class")
+    vocabulary = fit_idf(profile_stats(profile), row_total(train.docs), min_df)
+    model = stage(profile_sums(profile, vocabulary, "class"), "centroids")
+    # The staged sums hold every vocabulary token, so the idf is staged beside them.
+    idf = stage(vocabulary.select("token", "idf"), "vocabulary")
+    centroids = class_centroids(model, classes).withColumnRenamed("class", "label")
+    distances = centroid_distances(
+        test.docs, tf_idf(test.counts, idf), centroids, classes, ("raw",)
+    )
+    picked = distances.groupBy("doc_id", "class").agg(
         lowest(F.col("raw_distance"), F.col("label")).alias("predicted")
     )
     hit = F.coalesce(F.col("predicted") == F.col("class"), F.lit(False)).cast("int")
@@ -171,7 +198,7 @@ def repeated_holdout(
     """(seed, scorer, n, accuracy): weights fitted once on all rows, one split per seed."""
     whole = docs.withColumn("part", F.lit("all"))
     base = whole.select("doc_id", "class", "part")
-    counts = stage(term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2)), "counts")
+    counts = term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2))
     weights = weigh(Split(base, counts), "all", min_df).drop("part")
     runs = []
     for seed in seeds:
@@ -185,11 +212,9 @@ def repeated_holdout(
 
 def fold_accuracy(docs: DataFrame, k: int = 5, seed: int = 42, min_df: int = 5) -> DataFrame:
     """(fold, scorer, n, accuracy): every fold once as test part, weights fitted on all rows."""
-    from themeforge.operators.splits import folds
-
     whole = docs.withColumn("part", F.lit("all"))
     placed = stage(folds(whole.select("doc_id", "class"), k, "doc_id", seed), "folds")
-    counts = stage(term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2)), "counts")
+    counts = term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2))
     weights = weigh(Split(whole.select("doc_id", "class", "part"), counts), "all", min_df)
     weights = stage(weights.drop("part").join(placed.select("doc_id", "fold"), "doc_id"), "folded")
     runs = []

@@ -135,13 +135,15 @@ cen AS (SELECT category, token, sum(weight) / (any_value(n) + 1) AS v
 
 
 def _sparse_model(spark, sf):
+    """Head counts with their category lists, vocabulary, head labels, and centroids."""
     docs = multi_label(spark, sf)
-    counts = term_counts(docs)
-    weights = stage(tf_idf(counts, fit_idf(token_stats(counts), row_total(docs))), "weights")
-    split = head_tail(docs.select("doc_id", "source", "categories"), 0.85, "source", "doc_id")
-    labelled = L.explode_categories(split.filter(F.col("part") == "head"))
-    table_ = C.category_table(labelled, minimum=6)
-    return weights, labelled, table_, C.category_centroids(weights, labelled, table_)
+    vocabulary = stage(fit_idf(token_stats(term_counts(docs)), row_total(docs)), "vocabulary")
+    split = head_tail(docs, 0.85, "source", "doc_id")
+    head = split.filter(F.col("part") == "head")
+    labelled = L.explode_categories(head)
+    sizes = C.category_table(labelled, minimum=6)
+    counts = term_counts(head, ("doc_id", "categories"))
+    return counts, vocabulary, labelled, C.category_centroids(counts, vocabulary, sizes)
 
 
 @query("category_centroids", f"""
@@ -164,7 +166,8 @@ dist AS (SELECT doc_id, category, sqrt(greatest(0, coalesce(d, 0) - 2 * coalesce
   FROM pairs JOIN csq USING (category) LEFT JOIN dsq USING (doc_id) LEFT JOIN dots USING (doc_id, category))
 SELECT category, count(*)::BIGINT AS n, round(var_pop(distance), 6) AS variance FROM dist GROUP BY category""")
 def _(spark, sf):
-    weights, labelled, _table, centroids = _sparse_model(spark, sf)
+    counts, vocabulary, labelled, centroids = _sparse_model(spark, sf)
+    weights = tf_idf(counts, vocabulary)
     distances = own_distances(weights, labelled, stage(centroids, "centroids"))
     return distances.groupBy("category").agg(
         F.count("*").alias("n"), r6(F.var_pop("distance"), "variance")

@@ -12,7 +12,16 @@ from themeforge.operators import scoring as S
 from themeforge.operators import splits as P
 from themeforge.operators import thresholds as T
 from themeforge.operators.vocab import term_counts, token_stats
-from themeforge.operators.weights import fit_idf, normalise, row_total, tf_idf
+from themeforge.operators.weights import (
+    class_sums,
+    count_profile,
+    fit_idf,
+    normalise,
+    profile_stats,
+    profile_sums,
+    row_total,
+    tf_idf,
+)
 from themeforge.plans import holdout as H
 from themeforge.plans.registry import (
     ONE, SRC, TFIDF, TWO, WEIGHTS, articles, holdout_sql, joined, query, r6, table,
@@ -69,11 +78,19 @@ def _(spark, sf):
 # ---- chi-square ----------------------------------------------------------------------
 
 
-def _weights(spark, sf, ngram_range=(1, 2), unit=False):
+def _sums(spark, sf):
+    """Classes and the summed raw weights per (class, token), from one pass over the text."""
+    docs = articles(spark, sf)
+    profile = count_profile(term_counts(docs, ("doc_id", "class"), ngram_range=(1, 2)), "class")
+    vocabulary = fit_idf(profile_stats(profile), row_total(docs))
+    return C.class_table(docs), profile_sums(profile, vocabulary, "class")
+
+
+def _unit_sums(spark, sf):
     docs = articles(spark, sf)
-    counts = term_counts(docs, ("doc_id", "class"), ngram_range=ngram_range)
+    counts = term_counts(docs, ("doc_id", "class"), ngram_range=(1, 2))
     weights = tf_idf(counts, fit_idf(token_stats(counts), row_total(docs)))
-    return docs, normalise(weights) if unit else weights
+    return C.class_table(docs), class_sums(normalise(weights), "class")
 
 
 _CHI2 = """cls AS (SELECT class, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM src GROUP BY class),
@@ -89,8 +106,8 @@ _UNIT = "un AS (SELECT doc_id, class, token, weight / sqrt(sum(weight * weight)
 @query("chi_square_by_class", f"""
 WITH {TFIDF}, {_CHI2.format(w='wt')} SELECT class, token, round(chi2, 6) AS chi2 FROM chi""")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf)
-    return K.chi_square(weights, C.class_table(docs)).select("class", "token", r6("chi2", "chi2"))
+    classes, sums = _sums(spark, sf)
+    return K.chi_square(sums, classes).select("class", "token", r6("chi2", "chi2"))
 
 
 _TOP = """r AS (SELECT class, token, len(string_split(token, ' '))::INT AS length, round(chi2, 9) AS chi2 FROM chi),
@@ -100,23 +117,23 @@ SELECT class, token, length, rank, round(chi2, 6) AS chi2 FROM t WHERE rank <= 5
 
 @query("top_chi_square_tokens", f"WITH {TFIDF}, {_CHI2.format(w='wt')}, {_TOP}")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf)
-    chi2 = K.chi_square(weights, C.class_table(docs)).withColumn("chi2", F.round("chi2", 9))
+    classes, sums = _sums(spark, sf)
+    chi2 = K.chi_square(sums, classes).withColumn("chi2", F.round("chi2", 9))
     return K.top_tokens(chi2, 5).select("class", "token", "length", "rank", r6("chi2", "chi2"))
 
 
 @query("top_chi_square_tokens_unit", f"WITH {TFIDF}, {_UNIT}, {_CHI2.format(w='un')}, {_TOP}")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf, unit=True)
-    chi2 = K.chi_square(weights, C.class_table(docs)).withColumn("chi2", F.round("chi2", 9))
+    classes, sums = _unit_sums(spark, sf)
+    chi2 = K.chi_square(sums, classes).withColumn("chi2", F.round("chi2", 9))
     return K.top_tokens(chi2, 5).select("class", "token", "length", "rank", r6("chi2", "chi2"))
 
 
 @query("total_chi_square", f"""
 WITH {TFIDF}, {_CHI2.format(w='wt')} SELECT round(sum((o - e) ** 2 / e), 4) AS chi2 FROM cell WHERE e > 0""")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf)
-    total = K.total_chi_square(weights, C.class_table(docs))
+    classes, sums = _sums(spark, sf)
+    total = K.total_chi_square(sums, classes)
     return total.select(F.round("chi2", 4).alias("chi2"))
 
 
@@ -136,8 +153,8 @@ def _(spark, sf):
 @query("class_centroids", f"""
 WITH {TFIDF}, {_CEN} SELECT class, token, round(v, 6) AS weight FROM cen""")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf)
-    found = C.class_centroids(weights, C.class_table(docs))
+    classes, sums = _sums(spark, sf)
+    found = C.class_centroids(sums, classes)
     return found.select("class", "token", r6("weight", "weight"))
 
 
@@ -146,8 +163,8 @@ WITH {TFIDF}, {_UNIT}, cls AS (SELECT class, count(*) AS n FROM src GROUP BY cla
 cen AS (SELECT class, token, sum(weight) / any_value(n) AS v FROM un JOIN cls USING (class) GROUP BY class, token)
 SELECT class, token, round(v / sqrt(sum(v * v) OVER (PARTITION BY class)), 6) AS weight FROM cen""")
 def _(spark, sf):
-    docs, weights = _weights(spark, sf, unit=True)
-    found = C.unit_centroids(C.class_centroids(weights, C.class_table(docs)))
+    classes, sums = _unit_sums(spark, sf)
+    found = C.unit_centroids(C.class_centroids(sums, classes))
     return found.select("class", "token", r6("weight", "weight"))
 
 
@@ -205,7 +222,7 @@ def _accuracy_sql(scorers=H.SCORERS) -> str:
 
 def _distances(spark, sf, spaces=H.SPACES):
     split = H.split_documents(articles(spark, sf))
-    return H.class_distances(split.docs, H.weigh(split, "train", 5, spaces), spaces)
+    return H.class_distances(split.docs, H.weigh(split), spaces)
 
 
 def _scores(spark, sf):
