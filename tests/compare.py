@@ -75,7 +75,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             spent = time.time() - start
             if name in oracles:
                 start = time.time()
-                expected = con.execute(oracles[name]).to_arrow_table()
+                expected = con.sql(oracles[name]).to_arrow_table()
                 problems = differences(result, expected)
                 status = "ok" if not problems else "DIFF " + "; ".join(problems)
                 failed += bool(problems)

@@ -24,10 +24,15 @@ def fit_idf(stats: DataFrame, n_docs: Column, min_df: int = 5) -> DataFrame:
     )
 
 
+def term_weight(count: Column, idf: Column, sublinear: bool = True) -> Column:
+    """count * idf, or ln(count * idf + 1) when ``sublinear``."""
+    product = count * idf
+    return F.log(product + 1) if sublinear else product
+
+
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, sublinear: bool = True) -> DataFrame:
-    """Replace ``c`` by ``weight`` = c * idf, or ln(c * idf + 1) when ``sublinear``."""
-    product = F.col("c") * F.col("idf")
-    weight = F.log(product + 1) if sublinear else product
+    """Replace ``c`` by ``weight``; tokens outside the vocabulary drop out."""
+    weight = term_weight(F.col("c"), F.col("idf"), sublinear)
     return (
         counts.join(vocabulary.select("token", "idf"), "token")
         .withColumn("weight", weight)
@@ -54,11 +59,11 @@ def profile_stats(profile: DataFrame) -> DataFrame:
 def profile_sums(
     profile: DataFrame, vocabulary: DataFrame, label: str, sublinear: bool = True
 ) -> DataFrame:
-    """(label, token, weight): summed TF-IDF weights of each label's documents."""
-    return (
-        tf_idf(profile, vocabulary, sublinear)
-        .groupBy(label, "token")
-        .agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    """(label, token, weight, idf): summed TF-IDF weights of each label's documents."""
+    fitted = profile.join(vocabulary.select("token", "idf"), "token")
+    return fitted.groupBy(label, "token").agg(
+        F.sum(F.col("n") * term_weight(F.col("c"), F.col("idf"), sublinear)).alias("weight"),
+        F.first("idf").alias("idf"),
     )
 
 

@@ -179,8 +179,7 @@ def nearest_centroid_by_class(
     profile = count_profile(train.counts, "class")
     vocabulary = fit_idf(profile_stats(profile), row_total(train.docs), min_df)
     model = stage(profile_sums(profile, vocabulary, "class"), "centroids")
-    # The staged sums hold every vocabulary token, so the idf is staged beside them.
-    idf = stage(vocabulary.select("token", "idf"), "vocabulary")
+    idf = model.groupBy("token").agg(F.first("idf").alias("idf"))
     centroids = class_centroids(model, classes).withColumnRenamed("class", "label")
     distances = centroid_distances(
         test.docs, tf_idf(test.counts, idf), centroids, classes, ("raw",)

@@ -171,8 +171,10 @@ def _(spark, sf):
 # ---- holdout: distances, scores, decisions -------------------------------------------
 
 
-def _holdout_sql(ratio: float = 0.7, fit: str = "part = 'train'") -> str:
-    return f"""{TWO}, {holdout_sql(42, ratio)},
+def _holdout_sql(
+    ratio: float = 0.7, fit: str = "part = 'train'", seed: int = 42, parts: str | None = None
+) -> str:
+    return f"""{TWO}, {parts or holdout_sql(seed, ratio)},
 fd AS (SELECT doc_id FROM pt WHERE {fit}), nd AS (SELECT count(*) AS n FROM fd),
 stats AS (SELECT token, count(*) AS df, sum(c) AS tf FROM cnt WHERE doc_id IN (SELECT doc_id FROM fd) GROUP BY token),
 voc AS (SELECT token, ln(n / (df + 1)) + 1 AS idf FROM stats, nd WHERE tf >= 5),
@@ -297,19 +299,34 @@ def _(spark, sf):
 
 
 _SEEDS = (7, 42)
+_RUNS = "\nUNION ALL ".join(
+    f"""SELECT * FROM (WITH {_holdout_sql(0.7, 'true', seed)}, {_SCORES}, {_PRED} {_accuracy_sql()})"""
+    for seed in _SEEDS
+)
 
 
-@query("repeated_holdout")
+@query("repeated_holdout", f"""
+WITH runs AS ({_RUNS}) SELECT scorer, count(*)::BIGINT AS runs, round(avg(accuracy), 4) AS mean,
+  round(min(accuracy), 4) AS minimum, round(quantile_cont(accuracy, 0.25), 4) AS lower,
+  round(median(accuracy), 4) AS median, round(quantile_cont(accuracy, 0.75), 4) AS upper,
+  round(max(accuracy), 4) AS maximum FROM runs GROUP BY scorer""")
 def _(spark, sf):
     runs = H.repeated_holdout(articles(spark, sf), _SEEDS)
     spread = E.accuracy_spread(runs)
     return spread.select(
         "scorer", "runs",
-        *[r6(c, c) for c in ("mean", "minimum", "lower", "median", "upper", "maximum")],
+        *[F.round(c, 4).alias(c) for c in ("mean", "minimum", "lower", "median", "upper", "maximum")],
     )
 
 
-@query("fold_accuracy")
+def _fold_sql(fold: int) -> str:
+    parts = f"""ord AS (SELECT doc_id, class, row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1 AS p FROM src),
+pt AS (SELECT doc_id, class, CASE WHEN p % 3 = {fold} THEN 'test' ELSE 'train' END AS part FROM ord)"""
+    return f"""SELECT {fold}::INT AS fold, * FROM (WITH {_holdout_sql(fit='true', parts=parts)}, {_SCORES}, {_PRED}
+{_accuracy_sql()})"""
+
+
+@query("fold_accuracy", "\nUNION ALL ".join(_fold_sql(i) for i in range(3)))
 def _(spark, sf):
     runs = H.fold_accuracy(articles(spark, sf), 3)
     return runs.select("fold", "scorer", "n", r6("accuracy", "accuracy"))

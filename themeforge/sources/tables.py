@@ -54,7 +54,7 @@ def read_folder(
 
 def read_labeled_text(spark: SparkSession, root: str) -> DataFrame:
     """(class, text, title, filename) from ``root/<class>/<file>``, one document per file."""
-    raw = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     docs = raw.select(
         F.url_decode(F.element_at(parts, -2)).alias("class"),
@@ -117,7 +117,7 @@ def read_json_map(
     spark: SparkSession, path: str, key: str, value: str, value_type: str = "double"
 ) -> DataFrame:
     """(key, value) rows of JSON files that hold one object each; anything else is an error."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
     checked = F.when(F.trim("value").startswith("{"), parsed).otherwise(
         F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_metadata.file_path")))
