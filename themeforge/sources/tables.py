@@ -54,12 +54,13 @@ def read_folder(
 
 def read_labeled_text(spark: SparkSession, root: str) -> DataFrame:
     """(class, text, title, filename) from ``root/<class>/<file>``, one document per file."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    # The text reader leaves out empty files; the binary reader returns them.
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    parts = F.split("path", "/")
     docs = raw.select(
-        F.url_decode(F.element_at(parts, -2)).alias("class"),
-        F.regexp_replace("value", "\r\n?", "\n").alias("text"),
-        F.url_decode(F.element_at(parts, -1)).alias("filename"),
+        F.element_at(parts, -2).alias("class"),
+        F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"),
+        F.element_at(parts, -1).alias("filename"),
     )
     return split_title(docs)
 
