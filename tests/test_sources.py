@@ -72,10 +72,12 @@ def test_unreadable_files_are_reported_and_kept(spark, tmp_path):
     pq.write_table(pa.table({"a": [1, 2, 3]}), tmp_path / "good_embed.parquet")
     bad = tmp_path / "bad_embed.parquet"
     bad.write_bytes(b"not parquet")
+    (tmp_path / "a b+c_embed.parquet").write_bytes(b"")
     checked = B.check_files(spark, str(tmp_path), "*_embed.parquet")
     found = {r["path"].rsplit("/", 1)[1]: r for r in checked.collect()}
     assert found["good_embed.parquet"]["ok"] and found["good_embed.parquet"]["n_rows"] == 3
     assert not found["bad_embed.parquet"]["ok"] and found["bad_embed.parquet"]["error"]
+    assert not found["a b+c_embed.parquet"]["ok"]
     assert bad.exists()
     assert S.load(spark, B.readable_paths(checked)).count() == 3
 

@@ -34,6 +34,17 @@ def test_nearest_equals_brute_force(frames, measure, sizes):
         assert [d for *_, d in sorted(found[i])] == pytest.approx([scores[i, j] for j in order])
 
 
+@pytest.mark.parametrize("block_rows", [20_000, 10])
+def test_probing_every_cell_is_exact(frames, block_rows):
+    exact = sorted(map(tuple, D.nearest(*frames, 5, "q", "v", "r", "v").select("q", "r", "rank").collect()))
+    probed = D.nearest_probed(*frames, 5, "q", "v", "r", "v", cells=6, probes=6, block_rows=block_rows)
+    assert sorted(map(tuple, probed.select("q", "r", "rank").collect())) == exact
+    few = D.nearest_probed(*frames, 5, "q", "v", "r", "v", probes=4, block_rows=block_rows)
+    found = set(map(tuple, few.select("q", "r").collect()))
+    recall = len(found & {(q, r) for q, r, _ in exact}) / len(exact)
+    assert 0.5 < recall <= 1.0
+
+
 def test_more_neighbours_than_references(frames):
     q, r = frames
     few = r.filter("r < 'r003'")
@@ -81,7 +92,7 @@ def test_dense_centroids(frames):
 
 
 def sparse(spark, matrix):
-    rows = [(i, f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
+    rows = [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
     return spark.createDataFrame(rows, "doc_id int, token string, weight double")
 
 

@@ -14,12 +14,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-
-from themeforge.operators.ordering import top_rows
+from pyspark.sql.types import (
+    ArrayType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StructField,
+    StructType,
+)
+
+from themeforge.operators.ordering import order_hash, top_rows
 from themeforge.session import ship_package
 
 LOWER_IS_NEARER = {"euclidean": True, "inverse_cosine": True, "cosine": False, "dot": False}
@@ -54,7 +61,7 @@ def compare(queries: np.ndarray, refs: np.ndarray, measure: str) -> np.ndarray:
 def _keep_nearest(k: int, measure: str, q_ids, scores, ref_table) -> pa.Table:
     """The k best references of each query; equal scores rank by reference name."""
     keyed = np.round(scores if LOWER_IS_NEARER[measure] else -scores, 12)
-    rows, cols = [], []
+    rows, cols, ranks = [], [], []
     width = min(k, keyed.shape[1])
     for i, line in enumerate(keyed):
         bound = np.partition(np.where(np.isnan(line), np.inf, line), width - 1)[width - 1]
@@ -62,11 +69,12 @@ def _keep_nearest(k: int, measure: str, q_ids, scores, ref_table) -> pa.Table:
         near = near[np.argsort(line[near], kind="stable")][:k]
         rows.append(np.full(len(near), i))
         cols.append(near)
+        ranks.append(np.arange(1, len(near) + 1))
     row, col = np.concatenate(rows), np.concatenate(cols)
     return pa.table(
         [q_ids.take(pa.array(row)), ref_table.column(0).take(pa.array(col)),
-         pa.array(scores[row, col], pa.float64())],
-        names=["q", "r", "s"],
+         pa.array(scores[row, col], pa.float64()), pa.array(np.concatenate(ranks), pa.int32())],
+        names=["q", "r", "s", "rank"],
     )
 
 
@@ -100,6 +108,49 @@ def _keep_kernel_mass(sigma: float, q_ids, scores, ref_table) -> pa.Table:
     )
 
 
+def _arrow_schema(out: StructType) -> pa.Schema:
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+
+
+def _worker(keep, measure: str, out: StructType, ref_name: str):
+    """Compare one query block with one reference block and reduce it with ``keep``."""
+    arrow_out = _arrow_schema(out)
+
+    def work(q_ids, q_matrix, table: pa.Table) -> pa.Table:
+        table = table.sort_by(ref_name)
+        ids = q_ids.combine_chunks() if isinstance(q_ids, pa.ChunkedArray) else q_ids
+        found = keep(ids, compare(q_matrix, _matrix(table.column(1)), measure), table)
+        return found.rename_columns(arrow_out.names).cast(arrow_out)
+
+    return work
+
+
+def _bucket(name: str, n: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(name)), n).cast("int")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], work, out: StructType) -> DataFrame:
+    """Bring query and reference blocks with equal keys together; blocks have bounded size."""
+    arrow_out = _arrow_schema(out)
+
+    def block_pair(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return arrow_out.empty_table()
+        r = r.drop_columns(keys)
+        step = max(1, 4_000_000 // r.num_rows)
+        found = [
+            work(part.column(0), _matrix(part.column(1)), r)
+            for part in (q.slice(at, step) for at in range(0, q.num_rows, step))
+        ]
+        return pa.concat_tables(found)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block_pair, out)
+
+
 def _blockwise(
     queries: DataFrame,
     refs: DataFrame,
@@ -108,30 +159,27 @@ def _blockwise(
     out: StructType,
     broadcast_values: int,
     block_rows: int,
-) -> DataFrame:
-    """Run ``keep`` on every (query block, reference block); columns are id, vector[, group]."""
+) -> tuple[DataFrame, bool]:
+    """Run ``keep`` on every (query block, reference block); columns are id, vector[, group].
+
+    The flag says whether each query met all references in one block, so that
+    nothing is left to merge.
+    """
     spark = queries.sparkSession
     ship_package(spark)
     queries = queries.filter(F.col(queries.columns[1]).isNotNull())
     refs = refs.filter(F.col(refs.columns[1]).isNotNull())
-    arrow_out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
-    ref_name = refs.columns[0]
-
-    def work(q_ids, q_matrix, table: pa.Table) -> pa.Table:
-        table = table.sort_by(ref_name)
-        ids = q_ids.combine_chunks() if isinstance(q_ids, pa.ChunkedArray) else q_ids
-        found = keep(ids, compare(q_matrix, _matrix(table.column(1)), measure), table)
-        return found.rename_columns(arrow_out.names).cast(arrow_out)
+    work = _worker(keep, measure, out, refs.columns[0])
 
     head = refs.select(F.size(refs.columns[1])).take(1)
     if not head:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], out), True
     limit = max(1, broadcast_values // max(1, head[0][0]))
-    n_refs = refs.limit(limit + 1).count()
+    fetched = refs.limit(limit + 1).toArrow()
 
-    if n_refs <= limit:
-        # The size was just counted: at most ``broadcast_values`` numbers.
-        shared = spark.sparkContext.broadcast(refs.toArrow())
+    if fetched.num_rows <= limit:
+        # All references are here, and they are at most ``broadcast_values`` numbers.
+        shared = spark.sparkContext.broadcast(fetched)
 
         def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
@@ -141,34 +189,16 @@ def _blockwise(
                     part = batch.slice(at, step)
                     yield from work(part.column(0), _matrix(part.column(1)), table).to_batches()
 
-        return queries.mapInArrow(map_side, out)
+        return queries.mapInArrow(map_side, out), True
 
     n_refs, n_queries = refs.count(), queries.count()
     blocks, splits = math.ceil(n_refs / block_rows), math.ceil(n_queries / block_rows)
 
-    def bucket(name: str, n: int):
-        return F.pmod(F.xxhash64(F.col(name)), F.lit(n)).cast("int")
+    left = queries.withColumn("_s", _bucket(queries.columns[0], F.lit(splits)))
+    right = refs.withColumn("_b", _bucket(refs.columns[0], F.lit(blocks)))
+    left, right = left.withColumn("_b", _every(F.lit(blocks))), right.withColumn("_s", _every(F.lit(splits)))
 
-    def every(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    left = queries.withColumn("_s", bucket(queries.columns[0], splits)).withColumn("_b", every(blocks))
-    right = refs.withColumn("_b", bucket(ref_name, blocks)).withColumn("_s", every(splits))
-
-    def block_pair(q: pa.Table, r: pa.Table) -> pa.Table:
-        if not q.num_rows or not r.num_rows:
-            return arrow_out.empty_table()
-        r = r.drop_columns(["_b", "_s"])
-        step = max(1, 4_000_000 // r.num_rows)
-        found = [
-            work(part.column(0), _matrix(part.column(1)), r)
-            for part in (q.slice(at, step) for at in range(0, q.num_rows, step))
-        ]
-        return pa.concat_tables(found)
-
-    return (
-        left.groupBy("_b", "_s").cogroup(right.groupBy("_b", "_s")).applyInArrow(block_pair, out)
-    )
+    return _meet(left, right, ["_b", "_s"], work, out), False
 
 
 def _pick(df: DataFrame, names: list[str], vector: str) -> DataFrame:
@@ -176,16 +206,24 @@ def _pick(df: DataFrame, names: list[str], vector: str) -> DataFrame:
     return df.select(*[F.col(n).cast(wide).alias(n) if n == vector else F.col(n) for n in names])
 
 
-def _scored(queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure, keep, sizes):
-    if measure not in LOWER_IS_NEARER:
-        raise ValueError(f"unknown measure: {measure}")
-    q = _pick(queries, [query_id, query_vector], query_vector)
-    r = _pick(refs, [ref_id, ref_vector], ref_vector)
-    out = StructType([
+def _score_schema(q: DataFrame, r: DataFrame, query_id: str, ref_id: str, score: str) -> StructType:
+    return StructType([
         StructField(query_id, q.schema[query_id].dataType),
         StructField(ref_id, r.schema[ref_id].dataType),
         StructField(score, DoubleType()),
     ])
+
+
+def _scored(
+    queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure, keep, sizes, ranked
+):
+    if measure not in LOWER_IS_NEARER:
+        raise ValueError(f"unknown measure: {measure}")
+    q = _pick(queries, [query_id, query_vector], query_vector)
+    r = _pick(refs, [ref_id, ref_vector], ref_vector)
+    out = _score_schema(q, r, query_id, ref_id, score)
+    if ranked:
+        out = out.add("rank", IntegerType())
     return _blockwise(q, r, measure, keep, out, *sizes)
 
 
@@ -211,20 +249,81 @@ def nearest(
     def keep(ids, scores, table):
         return _keep_nearest(k, measure, ids, scores, table)
 
-    found = _scored(queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure,
-                    keep, (broadcast_values, block_rows))
+    found, complete = _scored(
+        queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure, keep,
+        (broadcast_values, block_rows), True,
+    )
+    if complete:
+        return found
+    found = found.drop("rank")
     ranked = F.round(score, 12)
     order = [ranked.asc() if LOWER_IS_NEARER[measure] else ranked.desc(), F.col(ref_id).asc()]
     return top_rows(found, [query_id], order, k)
 
 
+def nearest_probed(
+    queries: DataFrame,
+    refs: DataFrame,
+    k: int,
+    query_id: str,
+    query_vector: str,
+    ref_id: str,
+    ref_vector: str,
+    cells: int | None = None,
+    probes: int = 8,
+    score: str = "distance",
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """Approximate Euclidean ``nearest``: each query looks only into its ``probes`` closest cells.
+
+    References belong to the cell of their closest pivot; pivots are ``cells``
+    references in hash order (default: the square root of their number). A cell
+    of any size is split into blocks, so crowded cells stay parallel. With as
+    many probes as cells the result is exact.
+    """
+    ship_package(queries.sparkSession)
+    q = _pick(queries, [query_id, query_vector], query_vector)
+    r = _pick(refs, [ref_id, ref_vector], ref_vector)
+    q, r = q.filter(F.col(query_vector).isNotNull()), r.filter(F.col(ref_vector).isNotNull())
+    cells = cells or max(1, math.isqrt(r.count()))
+    pivots = r.orderBy(order_hash(ref_id, seed)).limit(cells).withColumnRenamed(ref_id, "_cell")
+    homes = nearest(r, pivots, 1, ref_id, ref_vector, "_cell", ref_vector).select(ref_id, "_cell")
+    looks = nearest(q, pivots, probes, query_id, query_vector, "_cell", ref_vector).select(
+        query_id, "_cell"
+    )
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    sizes = parts(homes, "_blocks").join(parts(looks, "_splits"), "_cell")
+    left = q.join(looks, query_id).join(sizes, "_cell").select(
+        query_id, query_vector, "_cell", _bucket(query_id, F.col("_splits")).alias("_s"),
+        _every(F.col("_blocks")).alias("_b"),
+    )
+    right = r.join(homes, ref_id).join(sizes, "_cell").select(
+        ref_id, ref_vector, "_cell", _bucket(ref_id, F.col("_blocks")).alias("_b"),
+        _every(F.col("_splits")).alias("_s"),
+    )
+    out = _score_schema(q, r, query_id, ref_id, score).add("rank", IntegerType())
+
+    def keep(ids, scores, table):
+        return _keep_nearest(k, "euclidean", ids, scores, table)
+
+    found = _meet(left, right, ["_cell", "_b", "_s"], _worker(keep, "euclidean", out, ref_id), out)
+    return top_rows(found.drop("rank"), [query_id], [F.round(score, 12), F.col(ref_id)], k)
+
+
 def all_scores(
     queries: DataFrame, refs: DataFrame, query_id: str, query_vector: str,
     ref_id: str, ref_vector: str, measure: str = "euclidean", score: str = "distance",
 ) -> DataFrame:
     """(query_id, ref_id, score) of every query against every one of a few references."""
-    return _scored(queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure,
-                   _keep_all, (BROADCAST_VALUES, BLOCK_ROWS))
+    found, _ = _scored(
+        queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure, _keep_all,
+        (BROADCAST_VALUES, BLOCK_ROWS), False,
+    )
+    return found
 
 
 def kernel_mass(
@@ -254,7 +353,9 @@ def kernel_mass(
     def keep(ids, scores, table):
         return _keep_kernel_mass(sigma, ids, scores, table)
 
-    parts = _blockwise(q, r, "euclidean", keep, out, broadcast_values, block_rows)
+    parts, complete = _blockwise(q, r, "euclidean", keep, out, broadcast_values, block_rows)
+    if complete:
+        return parts
     return parts.groupBy(query_id, group).agg(F.sum("mass").alias("mass"), F.sum("n").alias("n"))
 
 

@@ -51,7 +51,7 @@ class CurFactors:
 
 def core_matrix(w: np.ndarray, cutoff: float = 1e-6) -> np.ndarray:
     """Y (S+)^2 X^T of the intersection W = X S Y^T, small singular values set to zero."""
-    x, s, yt = np.linalg.svd(w)
+    x, s, yt = np.linalg.svd(w, full_matrices=False)
     inverse = np.where(s > cutoff, 1.0 / np.where(s > cutoff, s, 1.0), 0.0)
     return yt.T @ np.diag(inverse**2) @ x.T
 

@@ -10,6 +10,7 @@ from themeforge.operators import centroids as C
 from themeforge.operators import dense as D
 from themeforge.operators import labels as L
 from themeforge.operators import reduce as R
+from themeforge.operators.ordering import top_rows
 from themeforge.operators.vocab import term_counts, token_stats
 from themeforge.operators.weights import fit_idf, row_total, tf_idf
 from themeforge.plans.registry import TFIDF_ONE, articles, big, joined, query, r6, vectors
@@ -189,8 +190,6 @@ def _neighbours(spark, sf, **sizes):
     refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
     found = D.nearest(vecs, refs, 11, "vec_id", "embedding", "ref_id", "embedding", **sizes)
     others = found.filter(F.col("vec_id") != F.col("ref_id")).drop("rank")
-    from themeforge.operators.ordering import top_rows
-
     order = [F.round("distance", 6), F.col("ref_id")]
     return top_rows(others, ["vec_id"], order, 10).select(
         "vec_id", "ref_id", r6("distance", "distance"), "rank"
@@ -207,6 +206,19 @@ def _(spark, sf):
     return _neighbours(spark, sf, broadcast_values=1, block_rows=200)
 
 
+@query("probed_neighbour_recall")
+def _(spark, sf):
+    """Of the ten exact neighbours, how many the probed search finds, per vector."""
+    vecs = vectors(spark, sf)
+    refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
+    names = ("vec_id", "embedding", "ref_id", "embedding")
+    exact = D.nearest(vecs, refs, 10, *names).select("vec_id", "ref_id")
+    probed = D.nearest_probed(vecs, refs, 10, *names).select("vec_id", "ref_id", F.lit(1).alias("hit"))
+    return exact.join(probed, ["vec_id", "ref_id"], "left").groupBy("vec_id").agg(
+        r6(F.count("hit") / F.count("*"), "recall")
+    )
+
+
 _MASS = """p AS (SELECT q.vec_id, r.label, r.vec_id AS ref_id, exp(-0.5 * list_distance(q.e, r.e) ** 2) AS k,
   list_distance(q.e, r.e) AS d FROM v q CROSS JOIN v r),
 mass AS (SELECT vec_id, label, sum(k) AS mass, count(*) AS n FROM p GROUP BY vec_id, label)"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from themeforge.operators.ordering import group_positions, row_positions
 from themeforge.session import ship_package
+from themeforge.sources.tables import list_files
 
 
 def assign_batch(df: DataFrame, key: str, rows: int = 1500) -> DataFrame:
@@ -68,14 +69,7 @@ def _open_footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def check_files(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
     """(path, ok, n_rows, error): which Parquet files below ``root`` can be opened. Deletes nothing."""
     ship_package(spark)
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select("path")
-    )
-    spread = files.repartition("path")
+    spread = list_files(spark, root, glob).repartition("path")
     return spread.mapInPandas(_open_footers, "path string, ok boolean, n_rows long, error string")
 
 

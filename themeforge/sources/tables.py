@@ -52,14 +52,26 @@ def read_folder(
     )
 
 
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path) of every file below ``root``, empty ones included, as Spark's own listing has them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    names = reader.option("pathGlobFilter", glob).load(root).inputFiles()
+    listed = spark.createDataFrame([(n,) for n in names], "uri string")
+    plain = F.url_decode(F.replace(F.col("uri"), F.lit("+"), F.lit("%2B")))
+    return listed.select(F.regexp_replace(plain, "^file:/+", "file:/").alias("path"))
+
+
 def read_labeled_text(spark: SparkSession, root: str) -> DataFrame:
     """(class, text, title, filename) from ``root/<class>/<file>``, one document per file."""
-    # The text reader leaves out empty files; the binary reader returns them.
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    texts = raw.select("path", F.decode("content", "UTF-8").alias("text"))
+    # Spark skips files of length zero; they are articles with an empty text.
+    empty = list_files(spark, root).join(raw.select("path"), "path", "left_anti")
+    texts = texts.unionByName(empty.withColumn("text", F.lit("")))
     parts = F.split("path", "/")
-    docs = raw.select(
+    docs = texts.select(
         F.element_at(parts, -2).alias("class"),
-        F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n").alias("text"),
+        F.regexp_replace("text", "\r\n?", "\n").alias("text"),
         F.element_at(parts, -1).alias("filename"),
     )
     return split_title(docs)
