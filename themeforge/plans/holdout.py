@@ -119,7 +119,12 @@ def centroid_distances(
 def class_scores(
     distances: DataFrame, spaces: Sequence[str] = SPACES, alpha: float = 1e-3
 ) -> DataFrame:
-    """Add <space>_gauss and <space>_expo, spreads taken from the train part's own classes."""
+    """Add <space>_gauss and <space>_expo, spreads taken from the train part's own classes.
+
+    The distances are staged: spreads and scores both read them, and they are a
+    few numbers per document where the weights they come from are hundreds.
+    """
+    distances = stage(distances, "distances")
     own = (F.col("part") == "train") & (F.col("class") == F.col("label"))
     variances = variance_by_class(
         distances, own, "label", tuple(f"{s}_distance" for s in spaces)

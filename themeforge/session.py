@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_UNKNOWN_BYTES = 2**62  # Spark reports its largest size where it has no estimate
+
+
 def build_session(app: str = "themeforge", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -76,8 +79,11 @@ def use_all_cores(df: DataFrame, key: str) -> DataFrame:
     split_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * split_bytes else df
+    # Scanned bytes: the estimate of a joined table multiplies its sides.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < _UNKNOWN_BYTES)
+    return df.repartition(cores, key) if 0 < known < cores * split_bytes else df
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
