@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themeforge.functions.porter import stem_list
 from themeforge.functions.text import ENGLISH_STOP_WORDS, ngrams, run_counts, words
 from themeforge.operators.ordering import row_positions
-from themeforge.session import use_all_cores
+from themeforge.session import ship_package, use_all_cores
 
 
 def tokens(
@@ -40,6 +40,7 @@ def gram_lists(
     word_list = words(text, stop_words, mode)
     rows = use_all_cores(docs.select(*keys, text), keys[0])
     if stemming:
+        ship_package(docs.sparkSession)
         # Stems must be known before words are joined into n-grams.
         rows, word_list = rows.select(*keys, stem_list(word_list).alias("_w")), F.col("_w")
     grams = word_list if ngram_range == (1, 1) else ngrams(word_list, *ngram_range)

@@ -17,7 +17,17 @@ from themeforge.operators.splits import head_tail
 from themeforge.operators.vocab import term_counts, token_stats, top_entries
 from themeforge.operators.weights import fit_idf, row_total, tf_idf
 from themeforge.plans.registry import (
-    CATEGORIES, PAIRS, SRC, TFIDF_ONE, articles, big, embedded, joined, multi_label, query, r6, table,
+    CATEGORIES,
+    PAIRS,
+    SRC,
+    TFIDF_ONE,
+    articles,
+    embedded,
+    joined,
+    multi_label,
+    query,
+    r6,
+    table,
 )
 from themeforge.session import stage
 

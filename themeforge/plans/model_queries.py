@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeforge.functions.vectors import inverse_cosine
 from themeforge.operators import centroids as C
 from themeforge.operators import chi2 as K
 from themeforge.operators import evaluate as E
@@ -24,7 +23,16 @@ from themeforge.operators.weights import (
 )
 from themeforge.plans import holdout as H
 from themeforge.plans.registry import (
-    ONE, SRC, TFIDF, TWO, WEIGHTS, articles, holdout_sql, joined, query, r6, table,
+    SRC,
+    TFIDF,
+    TWO,
+    WEIGHTS,
+    articles,
+    holdout_sql,
+    joined,
+    query,
+    r6,
+    table,
 )
 
 # ---- splits and samples --------------------------------------------------------------

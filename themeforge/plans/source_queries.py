@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeforge.operators import labels as L
-from themeforge.plans.registry import articles, embedded, joined, multi_label, query, r6, table, CATEGORIES, PAIRS
+from themeforge.plans.registry import (
+    embedded,
+    joined,
+    multi_label,
+    query,
+    r6,
+    table,
+    CATEGORIES,
+    PAIRS,
+)
 from themeforge.session import fresh_path
 from themeforge.sources import batches as B
 from themeforge.sources import tables as S

@@ -9,8 +9,19 @@ from themeforge.functions.vectors import array_to_vector, vector_to_array
 from themeforge.operators import vocab as V
 from themeforge.operators import weights as X
 from themeforge.plans.registry import (
-    BIGRAMS, COUNTS, ONE, SRC, STOP, TFIDF, TFIDF_ONE, TWO, UNIGRAMS, WORD_LIST,
-    articles, big, joined, query, r6, table,
+    ONE,
+    SRC,
+    STOP,
+    TFIDF,
+    TFIDF_ONE,
+    TWO,
+    UNIGRAMS,
+    WORD_LIST,
+    articles,
+    joined,
+    query,
+    r6,
+    table,
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from themeforge.functions.scores import exponential, gaussian, log_gaussian
-from themeforge.functions.vectors import drop_positions, euclidean, unit
+from themeforge.functions.vectors import drop_positions, unit
 from themeforge.operators import centroids as C
 from themeforge.operators import dense as D
 from themeforge.operators import labels as L
@@ -13,7 +13,7 @@ from themeforge.operators import reduce as R
 from themeforge.operators.ordering import top_rows
 from themeforge.operators.vocab import term_counts, token_stats
 from themeforge.operators.weights import fit_idf, row_total, tf_idf
-from themeforge.plans.registry import TFIDF_ONE, articles, big, joined, query, r6, vectors
+from themeforge.plans.registry import TFIDF_ONE, articles, query, r6, vectors
 from themeforge.session import stage
 
 _VEC = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"

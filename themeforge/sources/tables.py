@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from themeforge.functions.text import split_title
 
+# File names that are never documents.
 EXCLUDED = ("sample.parquet", "sample_embedding.parquet", "wiki_2023_index.parquet")
 
 
