@@ -23,6 +23,7 @@ from themeforge.plans.registry import (
     r6,
     table,
 )
+from themeforge.session import use_all_cores
 
 
 @query("split_title", """
@@ -39,7 +40,7 @@ def _(spark, sf):
 WITH {SRC}, {WORD_LIST} SELECT doc_id, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM wl""")
 def _(spark, sf):
     w = words("text")
-    return articles(spark, sf).select("doc_id", w.alias("w")).select(
+    return use_all_cores(articles(spark, sf), "doc_id").select("doc_id", w.alias("w")).select(
         "doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5")
     )
 
@@ -60,7 +61,8 @@ g AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w
   list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM wl)
 SELECT doc_id, len(g)::INT AS n_grams, md5(array_to_string(g, '|')) AS grams_md5 FROM g""")
 def _(spark, sf):
-    return articles(spark, sf).select("doc_id", ngrams(words("text"), 1, 3).alias("g")).select(
+    docs = use_all_cores(articles(spark, sf), "doc_id")
+    return docs.select("doc_id", ngrams(words("text"), 1, 3).alias("g")).select(
         "doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("grams_md5")
     )
 
