@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeforge.llm import bpe, decontaminate, langid, secrets, simhash
+from themeforge.llm import (
+    bpe, chat, decontaminate, langid, licenses, pii, secrets, shards, simhash, topk,
+)
 from themeforge.llm.sql import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five greatest inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside benchmark windows."""
@@ -56,6 +64,73 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document as spans."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{name}")
+        for k, name in enumerate(pii.KINDS[:-1])
+    ]
+    listed = F.concat("base", "found")
+    return found.select(
+        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
+        _listed(listed).alias("spans"),
+    )
+
+
+def _of_kind(k: int):
+    return lambda span: span["kind"] == k
+
+
+def _listed(spans: Column) -> Column:
+    """``kind:start:end`` by start, then kind as listed."""
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    shown = F.transform(
+        F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])
+    )
+    return F.array_join(shown, ",")
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed licences of each document."""
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.find_licenses(docs, licenses.train(docs))
+    spans = F.transform("licenses", lambda s: F.concat_ws(":", s["family"], s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_paragraphs", "n_predicted", F.size("licenses").cast("bigint").alias("n_licenses"),
+        F.array_join(F.array_sort(F.array_distinct("licenses.family")), ",").alias("families"),
+        F.array_join(spans, ",").alias("spans"),
+        F.coalesce(F.array_min("licenses.probability"), F.lit(0.0)).alias("least_probability"),
+    )
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and read back from the formatted text."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", marks), (-7, 1, "assistant", marks)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    nodes = chat.linear_nodes(said.unionByName(added))
+    found = chat.read_back(chat.format_trees(nodes))
+    conv = F.when(~F.col("tree.none"), F.col("tree.id")).alias("conv_id")
+    return found.select(conv, *found.columns[1:])
+
+
+@query
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes."""
+    found = shards.byte_shards(table(spark, sf_dir, "documents"), 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents and the components of their links."""
