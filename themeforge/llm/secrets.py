@@ -226,23 +226,24 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars",
     Kinds are taken in turn, so that what one kind replaced is no part of the next.
     Texts without secrets, null texts and all other columns stay as they are.
     """
-    out = docs.withColumn("_now", F.col(text))
+    # The row travels as one value, so that no column of it can clash.
+    out = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("now"))
     for name, pattern, test in KINDS:
-        out = _matches(out, "_k", pattern, "_now")
-        kept = F.transform(F.col("_k_m"), _masked(test, mask))
+        out = _matches(out, "k", pattern, "now")
+        kept = F.transform(F.col("k_m"), _masked(test, mask))
         joined = F.array_join(
-            F.zip_with("_k_p", F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
+            F.zip_with("k_p", F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
         )
-        out = out.withColumn("_next", F.when(F.size("_k_m") > 0, joined).otherwise(F.col("_now")))
-        out = out.drop("_now", "_k_m", "_k_p").withColumnRenamed("_next", "_now")
-    changed = ~F.col("_now").eqNullSafe(F.col(text))
+        now = F.when(F.size("k_m") > 0, joined).otherwise(F.col("now"))
+        out = out.select("row", now.alias("now"))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.col("_now").alias(c))
+            columns.append(F.col("now").alias(c))
         elif c == length:
-            renewed = F.length("_now").cast(docs.schema[c].dataType)
-            columns.append(F.when(changed, renewed).otherwise(F.col(c)).alias(c))
+            changed = ~F.col("now").eqNullSafe(F.col("row")[text])
+            renewed = F.length("now").cast(docs.schema[c].dataType)
+            columns.append(F.when(changed, renewed).otherwise(F.col("row")[c]).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col("row")[c].alias(c))
     return out.select(*columns)

@@ -118,7 +118,9 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 def _meetings(distinct: DataFrame, most: int) -> DataFrame:
     """(a, b): links inside buckets; for each member of an oversized bucket a row with a null b."""
-    emitted = distinct.select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
+    # Each row becomes 131: spread over all tasks, however small the table is.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = distinct.repartition(parts, "fp").select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
     dealt = emitted.repartition("key").sortWithinPartitions("key", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +230,10 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Rows that repeat an id count as copies of each other; rows without an id all stay.
     """
     found = near_duplicates(docs, id, text)
-    kept = found.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("_kept"))
-    ranked = docs.join(kept, docs[id] == kept["_kept"], "left_semi").withColumn(
-        "_place",
-        F.row_number().over(W.partitionBy(id).orderBy(text, F.xxhash64(*docs.columns))),
-    )
-    return ranked.filter("_place = 1").select(*docs.columns).union(docs.filter(F.col(id).isNull()))
+    kept = found.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("kept"))
+    # The row travels as one value, so that no column of it can clash.
+    row = F.struct(*docs.columns).alias("row")
+    held = docs.select(F.col(id).alias("key"), row).join(kept, F.col("key") == F.col("kept"), "left_semi")
+    order = W.partitionBy("key").orderBy(F.col("row")[text], F.xxhash64("row"))
+    first = held.withColumn("place", F.row_number().over(order)).filter("place = 1").select("row.*")
+    return first.union(docs.filter(F.col(id).isNull()))
