@@ -162,8 +162,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word; ``counts`` says how many words each text has.
 
-    Where no other label could gain more than the penalty in any stretch, the best
-    constant label is optimal and the text needs no pass.
+    Where no other label gains more than half the penalty over the best constant label in
+    any stretch, that label is optimal: k stretches of other labels gain k halves at most,
+    and cost k - 1 changes at least. Such a text needs no pass.
     """
     labels = np.zeros(len(scores), np.int64)
     texts = np.flatnonzero(counts)
@@ -181,7 +182,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
         before = np.concatenate(([0.0], running[:-1]))
         lowest = np.minimum.accumulate(before - text_of * spread) + text_of * spread
         best = np.maximum.reduceat(running - lowest, starts)
-        open_texts |= best > penalty - 1e-3
+        open_texts |= best > penalty / 2 - 1e-3
     todo = np.flatnonzero(open_texts)
     if not len(todo):
         return labels

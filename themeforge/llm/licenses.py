@@ -139,13 +139,19 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
 
 
 def _positives() -> Iterator[tuple[str, list[int]]]:
-    """Templates whole, with each word left out, and their first and last halves."""
+    """Templates whole, with each word left out, and their first and last halves.
+
+    A variant that is as much like another family's template teaches neither.
+    """
     for family, texts in TEMPLATES.items():
         for template in texts:
             words = words_of(template)
             half = (len(words) + 1) // 2
             for w in (words, words[:half], words[half:], *(words[:i] + words[i + 1 :] for i in range(len(words)))):
-                yield family, features_of(" ".join(w))
+                features = features_of(" ".join(w))
+                own = confirmed(features, family)
+                if all(confirmed(features, other) < own for other in TEMPLATES if other != family):
+                    yield family, features
 
 
 def _negative_sample(docs: DataFrame, text: str, n: int) -> DataFrame:
