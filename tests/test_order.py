@@ -43,7 +43,24 @@ def test_hash_cuts(spark, n):
 def test_holdout_is_disjoint_and_complete(spark, n):
     parts = {r["id"]: r["part"] for r in P.holdout(spark.range(n), "id").collect()}
     order, cut = shuffled(range(n), 42), int(0.7 * n)
-    assert [parts[i] for i in order] == ["train"] * cut + (["skipped"] + ["test"] * (n - cut - 1))[: n - cut]
+    assert [parts[i] for i in order] == ["train"] * cut + ["test"] * (n - cut)
+
+
+REPEATED = [(i % 4, i // 8, f"v{i % 3}") for i in range(40)] + [(None, 0, "n")] * 3 + [(1, None, "g")] * 2
+
+
+def test_repeated_keys_keep_every_row(spark):
+    df = spark.createDataFrame(REPEATED, "id long, source_file long, v string")
+    for found in (
+        B.assign_batch(df, "id", 6), B.rebatch_files(df, "id", rows=3),
+        P.head_tail(df, 0.85, "source_file", "id"), P.folds(df, 3, "id"), P.holdout(df, "id"),
+    ):
+        rows = found.select("id", "source_file", "v").collect()
+        assert sorted(map(str, map(tuple, rows))) == sorted(map(str, REPEATED))
+    sizes = [r["count"] for r in B.assign_batch(df, "id", 6).groupBy("batch_id").count().orderBy("batch_id").collect()]
+    assert sizes == [6] * 7 + [3]
+    sides = P.holdout(df, "id").select("id", "part").distinct()
+    assert sides.count() == df.select("id").distinct().count()
 
 
 def test_three_way_sizes(spark):

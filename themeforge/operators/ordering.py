@@ -21,9 +21,12 @@ def row_positions(df: DataFrame, order: Sequence[str], name: str = "position") -
 
     A range sort spreads the rows over all tasks; the checkpoint fixes that
     layout, and only one row count per partition passes through a single task.
-    ``order`` should identify a row, or equal keys pile up in one partition.
+    Rows with equal keys follow each other in the order of a hash of the whole
+    row, so repeated keys spread too, and every row gets one position.
     """
-    fixed = reliable(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
+    rest = [c for c in df.columns if c not in order]
+    tie = [F.xxhash64(*rest)] if rest else []
+    fixed = reliable(df.orderBy(*order, *tie)).withColumn("_at", F.monotonically_increasing_id())
     place = F.shiftright("_at", _ROW_BITS)
     within = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     located = fixed.withColumn("_part", place).withColumn("_row", within).drop("_at")
@@ -49,13 +52,15 @@ def group_positions(
     (group, order), so no task ever holds a whole group.
     """
     placed = row_positions(df, [*group, *order], "_global")
-    bounds = placed.groupBy(*group).agg(
+    bounds = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(
         F.min("_global").alias("_first"), F.count("*").alias("group_rows")
     )
+    # A null is a group like any other.
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
     return (
-        placed.join(bounds, list(group))
+        placed.join(bounds, same)
         .withColumn(name, F.col("_global") - F.col("_first"))
-        .drop("_global", "_first")
+        .drop("_global", "_first", *[f"_g_{g}" for g in group])
     )
 
 
@@ -74,7 +79,8 @@ def hash_cuts(
     with ``order_hash(key) <= cut`` are then exactly the first ``rank`` rows, so
     a split is a comparison on each row and needs neither a sort nor a join.
     A bucket histogram finds where each rank falls, and only the rows of those
-    buckets are ranked; one row per cut reaches the driver. Keys must be unique.
+    buckets are ranked; one row per cut reaches the driver. Rows that repeat a key
+    stay together: those at a cut all come before it.
     """
     hashed = df.select(order_hash(key, seed).alias("h"))
     bucket = F.substring("h", 1, _PREFIX)

@@ -19,17 +19,11 @@ def holdout_part(
 ) -> Column:
     """``train`` for the first floor(ratio * n) rows of the shuffle of ``docs``, else ``test``.
 
-    The single row between the two parts belongs to neither (``skipped``). The
-    expression holds for any table that carries the same key.
+    Every row belongs to one of the two; rows that repeat a key stay together.
+    The expression holds for any table that carries the same key.
     """
-    cut = F.floor(F.lit(ratio) * F.col("n"))
-    cuts = hash_cuts(docs, key, seed, {"train": cut, "skip": cut + 1})
-    h = order_hash(key, seed)
-    return (
-        F.when(h <= cuts["train"], "train")
-        .when(h <= cuts["skip"], "skipped")
-        .otherwise("test")
-    )
+    cuts = hash_cuts(docs, key, seed, {"train": F.floor(F.lit(ratio) * F.col("n"))})
+    return F.when(order_hash(key, seed) <= cuts["train"], "train").otherwise("test")
 
 
 def holdout(
@@ -59,21 +53,18 @@ def three_way(
 
 def folds(df: DataFrame, k: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """Add ``fold``: position in the shuffle modulo ``k``."""
-    hashed = df.select(key, order_hash(key, seed).alias("_h"))
-    placed = row_positions(hashed, ["_h"], "_p")
-    return df.join(placed.select(key, (F.col("_p") % k).cast("int").alias("fold")), key)
+    placed = row_positions(df.withColumn("_h", order_hash(key, seed)), ["_h"], "_p")
+    return placed.withColumn("fold", (F.col("_p") % k).cast("int")).drop("_h", "_p")
 
 
 def head_tail(
     df: DataFrame, ratio: float = 0.85, batch: str = "batch_id", order: str = "doc_id"
 ) -> DataFrame:
     """Add ``part``: the first int(n * ratio) rows of each batch are head, the others tail."""
-    placed = group_positions(df.select(batch, order), [batch], [order], "_p")
+    placed = group_positions(df, [batch], [order], "_p")
     head = F.floor(F.col("group_rows") * F.lit(ratio))
-    parts = placed.select(
-        batch, order, F.when(F.col("_p") < head, "head").otherwise("tail").alias("part")
-    )
-    return df.join(parts, [batch, order])
+    part = F.when(F.col("_p") < head, "head").otherwise("tail")
+    return placed.withColumn("part", part).drop("_p", "group_rows")
 
 
 def sample_per_file(

@@ -109,5 +109,4 @@ PAIRS = "pairs AS (SELECT doc_id, source, unnest(categories) AS category FROM ca
 def holdout_sql(seed: int = 42, ratio: float = 0.7) -> str:
     return f"""ord AS (SELECT doc_id, class, row_number() OVER (ORDER BY md5('{seed}:' || doc_id)) AS rn,
     floor({ratio}::DOUBLE * count(*) OVER ()) AS cut FROM src),
-pt AS (SELECT doc_id, class, CASE WHEN rn <= cut THEN 'train' WHEN rn = cut + 1 THEN 'skipped'
-    ELSE 'test' END AS part FROM ord)"""
+pt AS (SELECT doc_id, class, CASE WHEN rn <= cut THEN 'train' ELSE 'test' END AS part FROM ord)"""

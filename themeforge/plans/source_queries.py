@@ -100,13 +100,13 @@ def _(spark, sf):
 
 @query("fixed_batches", """
 WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS line_id, l_quantity FROM lineitem),
-d AS (SELECT DISTINCT line_id FROM o), b AS (SELECT line_id, (row_number() OVER (ORDER BY line_id) - 1) // 1500 AS batch_id FROM d)
+b AS (SELECT line_id, (row_number() OVER (ORDER BY line_id) - 1) // 1500 AS batch_id FROM o)
 SELECT batch_id::BIGINT AS batch_id, count(*)::BIGINT AS n, min(line_id)::BIGINT AS first_id, max(line_id)::BIGINT AS last_id
 FROM b GROUP BY batch_id""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("line_id")
-    ).distinct()
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("line_id"), "l_quantity"
+    )
     return B.assign_batch(lines, "line_id", 1500).groupBy("batch_id").agg(
         F.count("*").alias("n"), F.min("line_id").alias("first_id"), F.max("line_id").alias("last_id")
     )

@@ -16,21 +16,19 @@ from themeforge.sources.tables import list_files
 def assign_batch(df: DataFrame, key: str, rows: int = 1500) -> DataFrame:
     """Add ``batch_id``: consecutive disjoint batches of ``rows`` rows in key order.
 
-    Only the keys are put in order; the rows join their batch by key.
+    Rows keep their number, also where a key repeats.
     """
-    placed = row_positions(df.select(key), [key], "_p")
-    return df.join(
-        placed.select(key, F.floor(F.col("_p") / rows).cast("long").alias("batch_id")), key
-    )
+    placed = row_positions(df, [key], "_p")
+    return placed.withColumn("batch_id", F.floor(F.col("_p") / rows).cast("long")).drop("_p")
 
 
 def rebatch_files(
     df: DataFrame, key: str, file: str = "source_file", rows: int = 1500
 ) -> DataFrame:
     """Add ``batch_id`` within each source file; the remainder forms the file's last batch."""
-    placed = group_positions(df.select(file, key), [file], [key], "_p")
-    ids = placed.select(file, key, F.floor(F.col("_p") / rows).cast("long").alias("batch_id"))
-    return df.join(ids, [file, key])
+    placed = group_positions(df, [file], [key], "_p")
+    batch = F.floor(F.col("_p") / rows).cast("long")
+    return placed.withColumn("batch_id", batch).drop("_p", "group_rows")
 
 
 def pending(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
