@@ -9,7 +9,9 @@ from themeforge.operators.similarity import (
     cosine_from_dot, euclidean_from_dot, own_distances, sparse_dots,
 )
 from themeforge.operators.vocab import term_counts, token_stats
-from themeforge.operators.weights import fit_idf, row_total, tf_idf
+from themeforge.operators.weights import class_sums, fit_idf, row_total, tf_idf
+from themeforge.plans.holdout import evaluate_holdout
+from themeforge.streaming.scoring import score_batch
 
 RNG = np.random.default_rng(11)
 
@@ -18,8 +20,8 @@ def to_long(matrix, key="doc_id"):
     return [(int(i), f"t{j}", float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))]
 
 
-@pytest.mark.parametrize("wide", [64, 0])
-def test_sparse_distances_equal_dense(spark, wide):
+@pytest.mark.parametrize("block", [64, 4, 3, 1])
+def test_sparse_distances_equal_dense(spark, block):
     docs = np.where(RNG.random((12, 9)) < 0.4, RNG.random((12, 9)), 0.0)
     docs[5] = 0.0  # a document without tokens
     centres = np.where(RNG.random((4, 9)) < 0.5, RNG.random((4, 9)), 0.0)
@@ -29,7 +31,16 @@ def test_sparse_distances_equal_dense(spark, wide):
     )
     names = spark.createDataFrame([(f"c{i}",) for i in range(4)], "label string")
     frame = spark.createDataFrame([(i,) for i in range(12)], "doc_id int")
-    dots = sparse_dots(frame, weights, cents, names, {"x": ("weight", "value")}, wide_classes=wide)
+    # both sides call their values ``weight``, as the callers do
+    dots = sparse_dots(
+        frame, weights, cents.withColumnRenamed("value", "weight"), names, {"x": ("weight", "weight")},
+        block_classes=block,
+    )
+    met = sparse_dots(
+        frame, weights, cents, names, {"x": ("weight", "value")}, complete=False, block_classes=block
+    )
+    shared = (docs @ centres.T) > 0
+    assert {(r["doc_id"], int(r["label"][1:])) for r in met.collect()} == set(zip(*map(list, np.nonzero(shared))))
     rows = dots.collect()
     assert len(rows) == 48
     csq = (centres**2).sum(axis=1)
@@ -49,6 +60,24 @@ def test_sparse_distances_equal_dense(spark, wide):
             assert r["s"] == pytest.approx(x @ c / (np.linalg.norm(x) * np.linalg.norm(c)))
 
 
+def test_seventy_classes_through_evaluation_and_streaming(spark):
+    letters = "bcdfghjklm"
+    word = [f"{a}{b}{'o' * 3}" for a in letters for b in letters]
+    rows = [(i, f"c{i % 70:02d}", f"{word[i % 70]} {word[i % 70]} {word[(i * 7) % 70]}") for i in range(420)]
+    frame = spark.createDataFrame([*rows, (999, None, word[3])], "doc_id long, class string, text string")
+    found = {r["scorer"]: r for r in evaluate_holdout(frame.filter("class IS NOT NULL"), min_df=1).collect()}
+    assert found["distance_raw"]["n"] == 126 and found["distance_unit"]["accuracy"] > 0.9
+    counts = term_counts(frame, ("doc_id", "class"), ngram_range=(1, 2))
+    vocabulary = fit_idf(token_stats(counts), row_total(frame), 1)
+    classes = C.class_table(frame)
+    sums = class_sums(tf_idf(counts, vocabulary), "class")
+    cents = C.class_centroids(sums, classes).withColumnRenamed("class", "label")
+    scored = score_batch(frame.select("doc_id", "text"), vocabulary, cents, classes)
+    truth = {i: c for i, c, _ in rows}
+    hits = [r["predicted"] == truth[r["doc_id"]] for r in scored.collect() if r["doc_id"] != 999]
+    assert len(hits) == 420 and sum(hits) > 400
+
+
 TEXTS = [(1, ["p", "q"], "oil oil bank"), (2, ["p"], "film oil"), (3, ["q"], ""), (4, ["p", "p2"], "bank")]
 
 

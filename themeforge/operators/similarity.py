@@ -3,11 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDE_CLASSES = 64
+BLOCK_CLASSES = 64
+
+
+@dataclass
+class ClassBlocks:
+    """Centroids as one row per (token, block), with a column per class of the block.
+
+    ``members`` has (block, labels): the classes of each block in the order of the columns.
+    """
+
+    wide: DataFrame
+    members: DataFrame
+    width: int
+    blocks: int
+
+
+def class_blocks(
+    centroids: DataFrame, classes: DataFrame, values: Mapping[str, str], label: str = "label",
+    block_classes: int = BLOCK_CLASSES,
+) -> ClassBlocks:
+    """Number the classes and lay their centroids out in blocks; ``values`` maps a name to a column.
+
+    Any number of classes takes the same path. Null is no class. The numbering sees one
+    row per class name, never the documents.
+    """
+    names = classes.select(label).filter(F.col(label).isNotNull()).distinct()
+    place = F.row_number().over(W.orderBy(label)) - 1
+    numbered = names.select(
+        F.col(label).alias("_label"), F.floor(place / block_classes).cast("int").alias("_block"),
+        (place % block_classes).cast("int").alias("_slot"),
+    )
+    total = numbered.count()
+    width = max(1, min(block_classes, total))
+    slim = centroids.select(
+        F.col(label).alias("_label"), "token", *[F.col(c).alias(f"_c_{n}") for n, c in values.items()]
+    )
+    wide = slim.join(numbered, "_label").groupBy("token", "_block").agg(
+        *[
+            F.max(F.when(F.col("_slot") == i, F.col(f"_c_{n}"))).alias(f"_{n}_{i}")
+            for n in values for i in range(width)
+        ]
+    )
+    # A block names at most ``block_classes`` classes.
+    members = numbered.groupBy("_block").agg(
+        F.array_sort(F.collect_list(F.struct("_slot", "_label"))).alias("_members")
+    )
+    return ClassBlocks(wide, members, width, max(1, -(-total // block_classes)))
 
 
 def sparse_dots(
@@ -18,67 +68,59 @@ def sparse_dots(
     pairs: Mapping[str, tuple[str, str]],
     key: str = "doc_id",
     label: str = "label",
-    wide_classes: int = WIDE_CLASSES,
+    complete: bool = True,
+    block_classes: int = BLOCK_CLASSES,
+    blocks: ClassBlocks | None = None,
 ) -> DataFrame:
-    """Every (document, class) with ``dot_<name>`` and ``sq_<name>`` for each pair.
+    """(docs columns, label, ``dot_<name>``, ``sq_<name>``) of documents and classes.
 
     ``pairs`` maps a name to (document value column, centroid value column);
-    ``sq_<name>`` is the squared norm of the document's values. Documents that
-    share no token with a class get 0, so the result is complete.
+    ``sq_<name>`` is the squared norm of the document's values. With ``complete``
+    every document meets every class, and pairs without a common token get 0;
+    otherwise only pairs with a common token are returned.
 
-    Up to ``wide_classes`` classes the centroids are laid out as one column per
-    class, and the token join keeps one row per (document, token). More classes
-    are joined in long form, which stays exact for any number.
+    The token join keeps one row per (document, token, block of classes), with the
+    classes of a block as columns. Pass ``blocks`` to use a layout made before.
     """
-    names = [r[0] for r in classes.select(label).orderBy(label).limit(wide_classes + 1).collect()]
-    squares = [
-        F.sum(F.col(d) * F.col(d)).alias(f"sq_{name}") for name, (d, _) in pairs.items()
-    ]
-    keep = [key, "token", *dict.fromkeys(d for d, _ in pairs.values())]
-    slim = weights.select(*keep)
-
-    if len(names) <= wide_classes:
-        cells = [
-            (name, i, d, c, cls) for name, (d, c) in pairs.items() for i, cls in enumerate(names)
-        ]
-        wide = centroids.groupBy("token").agg(
-            *[F.max(F.when(F.col(label) == cls, F.col(c))).alias(f"_{name}_{i}")
-              for name, i, _, c, cls in cells]
-        )
-        sums = slim.join(wide, "token", "left").groupBy(key).agg(
-            *squares,
-            *[F.sum(F.col(d) * F.col(f"_{name}_{i}")).alias(f"_{name}_{i}")
-              for name, i, d, _, _ in cells],
-        )
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(cls).alias(label),
-                    *[F.coalesce(f"_{name}_{i}", F.lit(0.0)).alias(f"dot_{name}") for name in pairs],
-                )
-                for i, cls in enumerate(names)
-            ]
-        )
-        full = docs.join(sums, key, "left")
-        spread = full.select(
-            *docs.columns, *[F.coalesce(f"sq_{n}", F.lit(0.0)).alias(f"sq_{n}") for n in pairs],
-            F.explode(rows).alias("_r"),
-        )
-        return spread.select(
-            *docs.columns, f"_r.{label}",
-            *[c for n in pairs for c in (F.col(f"_r.dot_{n}"), F.col(f"sq_{n}"))],
-        )
-
-    dots = slim.join(centroids, "token").groupBy(key, label).agg(
-        *[F.sum(F.col(d) * F.col(c)).alias(f"dot_{name}") for name, (d, c) in pairs.items()]
+    blocks = blocks or class_blocks(
+        centroids, classes, {n: c for n, (_, c) in pairs.items()}, label, block_classes
     )
-    norms = slim.groupBy(key).agg(*squares)
-    everyone = classes.agg(F.collect_list(label).alias("l")).scalar()
-    grid = docs.join(norms, key, "left").withColumn(label, F.explode(everyone))
-    return grid.join(dots, [key, label], "left").select(
-        *docs.columns, label,
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for n in pairs for c in (f"dot_{n}", f"sq_{n}")],
+    slim = weights.select(
+        key, "token", *[F.col(d).alias(f"_d_{n}") for n, (d, _) in pairs.items()]
     )
+    cells = [(n, i) for n in pairs for i in range(blocks.width)]
+    squares = [F.sum(F.col(f"_d_{n}") * F.col(f"_d_{n}")).alias(f"sq_{n}") for n in pairs]
+    products = [F.sum(F.col(f"_d_{n}") * F.col(f"_{n}_{i}")).alias(f"_{n}_{i}") for n, i in cells]
+    if blocks.blocks == 1:
+        # One block only: norms come out of the same sums.
+        sums = slim.join(blocks.wide.drop("_block"), "token", "left").groupBy(key).agg(*squares, *products)
+        full = docs.join(sums, key, "left").withColumn("_block", F.lit(0))
+    else:
+        norms = slim.groupBy(key).agg(*squares)
+        sums = slim.join(blocks.wide, "token").groupBy(key, "_block").agg(*products)
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks.blocks - 1)))
+        known = docs.join(norms, key, "left")
+        if complete:
+            full = known.withColumn("_block", every).join(sums, [key, "_block"], "left")
+        else:
+            full = known.join(sums, key)
+    spread = full.join(blocks.members, "_block").select(
+        *docs.columns, *[F.coalesce(f"sq_{n}", F.lit(0.0)).alias(f"sq_{n}") for n in pairs],
+        *[F.array(*[F.col(f"_{n}_{i}") for i in range(blocks.width)]).alias(f"_{n}") for n in pairs],
+        F.explode("_members").alias("_m"),
+    )
+    out = spread.select(
+        *docs.columns, F.col("_m._label").alias(label),
+        *[
+            c for n in pairs
+            for c in (F.get(f"_{n}", F.col("_m._slot")).alias(f"dot_{n}"), F.col(f"sq_{n}"))
+        ],
+    )
+    if not complete:
+        return out.filter(reduce(or_, [F.col(f"dot_{n}").isNotNull() for n in pairs])).na.fill(
+            0.0, [f"dot_{n}" for n in pairs]
+        )
+    return out.na.fill(0.0, [f"dot_{n}" for n in pairs])
 
 
 def euclidean_from_dot(dot: Column, doc_sq: Column, centroid_sq: Column) -> Column:
