@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from themeforge.functions.porter import porter_stem, stem
-from themeforge.functions.text import ngrams, run_counts, single_line, split_title, words
+from themeforge.functions.text import line_pieces, ngrams, run_counts, split_title, words
 from themeforge.operators import vocab as V
 
 ROWS = [
@@ -66,10 +66,10 @@ def test_title_is_removed_everywhere(spark):
     ]
 
 
-def test_single_line(spark):
+def test_line_pieces(spark):
     df = spark.createDataFrame([("a\nb  c d",)], "t string")
-    assert df.select(single_line("t").alias("x")).first()["x"] == "a b  c d"
-    assert df.select(single_line("t", 3).alias("x")).first()["x"] == "a b c"
+    for limit, expected in ((8000, ["a b  c d"]), (4, ["a b  c d"]), (3, ["a b c", "d"]), (1, list("abcd"))):
+        assert df.select(line_pieces("t", limit).alias("x")).first()["x"] == expected
 
 
 # Examples printed in the 1980 paper.

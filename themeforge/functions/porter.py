@@ -183,7 +183,8 @@ def stem(token: Column | str) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _stem_lists(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ws: None if ws is None else [porter_stem(w) for w in ws])
+    known = {w: porter_stem(w) for w in {w for ws in lists if ws is not None for w in ws}}
+    return lists.map(lambda ws: None if ws is None else [known[w] for w in ws])
 
 
 def stem_list(word_list: Column) -> Column:

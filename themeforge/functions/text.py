@@ -120,20 +120,21 @@ def split_title(df: DataFrame, text: str = "text", title: str = "title") -> Data
     )
 
 
-def single_line(text: Column | str, max_tokens: int = 8000) -> Column:
-    """Newlines to spaces, then at most ``max_tokens`` white-space tokens.
+def line_pieces(text: Column | str, max_tokens: int = 8000) -> Column:
+    """Newlines to spaces, then pieces of at most ``max_tokens`` white-space tokens, in order.
 
-    The token limit belongs to the embedding step this prepares for; a text
-    within it comes back unshortened.
+    The token limit belongs to the embedding step this prepares for. A text within
+    it is one piece, unchanged; a longer one continues in further pieces.
     """
     flat = F.replace(F.col(text) if isinstance(text, str) else text, F.lit("\n"), F.lit(" "))
-    # Bind the split once; a text within the limit is returned as it is.
-    return F.element_at(
-        F.transform(
-            F.array(F.struct(flat.alias("t"), F.split(F.trim(flat), r"\s+").alias("p"))),
-            lambda s: F.when(F.size(s["p"]) <= max_tokens, s["t"]).otherwise(
-                F.concat_ws(" ", F.slice(s["p"], 1, max_tokens))
-            ),
-        ),
-        1,
-    )
+
+    def cut(s: Column) -> Column:
+        last = F.floor((F.size(s["p"]) - 1) / max_tokens).cast("int")
+        whole = F.array(s["t"])
+        parts = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.concat_ws(" ", F.slice(s["p"], i * max_tokens + 1, F.lit(max_tokens))),
+        )
+        return F.when(F.size(s["p"]) <= max_tokens, whole).otherwise(parts)
+
+    return bind(F.struct(flat.alias("t"), F.split(F.trim(flat), r"\s+").alias("p")), cut)

@@ -48,12 +48,12 @@ def unlisted_categories(
 def merge_counts(
     tables: Sequence[DataFrame], positive_only: bool = False, name: str = "category"
 ) -> DataFrame:
-    """Add up several (name, n) tables, largest first."""
+    """Add up several (name, n) tables."""
     stacked = reduce(DataFrame.unionByName, tables)
     summed = stacked.groupBy(name).agg(F.sum("n").alias("n"))
     if positive_only:
         summed = summed.filter(F.col("n") > 0)
-    return summed.orderBy(F.desc("n"), name)
+    return summed
 
 
 def ids_by_category(

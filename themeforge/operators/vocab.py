@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from themeforge.functions.porter import stem_list
 from themeforge.functions.text import ENGLISH_STOP_WORDS, ngrams, run_counts, words
 from themeforge.operators.ordering import row_positions
-from themeforge.session import ship_package, use_all_cores
+from themeforge.session import ship_package, spread_texts
 
 
 def tokens(
@@ -38,7 +38,7 @@ def gram_lists(
 ) -> DataFrame:
     """(keys, _g): the array of n-grams of each document."""
     word_list = words(text, stop_words, mode)
-    rows = use_all_cores(docs.select(*keys, text), keys[0])
+    rows = spread_texts(docs.select(*keys, text), keys[0])
     if stemming:
         ship_package(docs.sparkSession)
         # Stems must be known before words are joined into n-grams.
@@ -57,8 +57,8 @@ def term_counts(docs: DataFrame, keys: Sequence[str] = ("doc_id",), **options) -
 
 
 def distinct_words(docs: DataFrame, **options) -> DataFrame:
-    """The distinct words of all texts, sorted."""
-    return tokens(docs, **options).select("token").distinct().orderBy("token")
+    """The distinct words of all texts."""
+    return tokens(docs, **options).select("token").distinct()
 
 
 def token_stats(counts: DataFrame) -> DataFrame:
@@ -115,11 +115,11 @@ def bag_of_words(docs: DataFrame, indexed: DataFrame, key: str = "doc_id", **opt
 
 
 def corpus_frequency(counts: DataFrame, positive_only: bool = True) -> DataFrame:
-    """(token, frequency) over the whole corpus, most frequent first."""
+    """(token, frequency) over the whole corpus."""
     summed = counts.groupBy("token").agg(F.sum("c").alias("frequency"))
     if positive_only:
         summed = summed.filter(F.col("frequency") > 0)
-    return summed.orderBy(F.desc("frequency"), "token")
+    return summed
 
 
 def top_entries(table: DataFrame, value: str, name: str, n: int, ascending: bool = False) -> DataFrame:

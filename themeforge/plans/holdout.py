@@ -44,7 +44,7 @@ _VALUE = {"raw": "weight", "unit": "unit"}
 
 @dataclass
 class Split:
-    """Documents with their part, and their term counts (recomputed on each use)."""
+    """Documents with their part, and their term counts."""
 
     docs: DataFrame
     counts: DataFrame
@@ -57,9 +57,11 @@ class Split:
 def split_documents(
     docs: DataFrame, seed: int = 42, ratio: float = 0.7, ngram_range: tuple[int, int] = (1, 2)
 ) -> Split:
+    """Split, and count the terms of all documents once: fitting and weighing read the same files."""
     parted = docs.withColumn("part", holdout_part(docs, "doc_id", seed, ratio))
     keys = ("doc_id", "class", "part")
-    return Split(parted.select(*keys), term_counts(parted, keys, ngram_range=ngram_range))
+    counts = stage(term_counts(parted, keys, ngram_range=ngram_range), "counts")
+    return Split(parted.select(*keys), counts)
 
 
 def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:

@@ -89,7 +89,9 @@ def _(spark, sf):
 def _sums(spark, sf):
     """Classes and the summed raw weights per (class, token), from one pass over the text."""
     docs = articles(spark, sf)
-    profile = count_profile(term_counts(docs, ("doc_id", "class"), ngram_range=(1, 2)), "class")
+    # Sums of no class are not asked for; dropped here, both uses of the profile are one.
+    known = docs.filter(F.col("class").isNotNull())
+    profile = count_profile(term_counts(known, ("doc_id", "class"), ngram_range=(1, 2)), "class")
     vocabulary = fit_idf(profile_stats(profile), row_total(docs))
     return C.class_table(docs), profile_sums(profile, vocabulary, "class")
 
@@ -248,6 +250,20 @@ def _(spark, sf):
     return found.select("class", "n", r6("accuracy", "accuracy"))
 
 
+_FINE_SRC = "src AS (SELECT doc_id, lang || '/' || source AS class, source, text FROM documents)"
+
+
+@query("fine_class_accuracy", f"""
+WITH {_holdout_sql().replace(SRC, _FINE_SRC)}, p AS (SELECT doc_id, class, arg_min(label, (round(raw_distance, 9), label)) AS predicted
+  FROM dis WHERE part = 'test' GROUP BY doc_id, class)
+SELECT class, count(*)::BIGINT AS n, round(avg((predicted = class)::INT), 6) AS accuracy FROM p GROUP BY class""")
+def _(spark, sf):
+    """More than 64 classes: every language within every source."""
+    docs = articles(spark, sf).withColumn("class", F.concat_ws("/", "class", "source"))
+    found = H.nearest_centroid_by_class(docs)
+    return found.select("class", "n", r6("accuracy", "accuracy"))
+
+
 @query("class_distances", f"""
 WITH {_holdout_sql()} SELECT doc_id, label, round(raw_distance, 6) AS raw_distance,
   round(unit_distance, 6) AS unit_distance FROM dis""")

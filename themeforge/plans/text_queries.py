@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from themeforge.functions.text import ngrams, single_line, split_title, words
+from themeforge.functions.text import line_pieces, ngrams, split_title, words
+from themeforge.functions.porter import stem
 from themeforge.functions.vectors import array_to_vector, vector_to_array
 from themeforge.operators import vocab as V
 from themeforge.operators import weights as X
@@ -23,7 +24,7 @@ from themeforge.plans.registry import (
     r6,
     table,
 )
-from themeforge.session import use_all_cores
+from themeforge.session import ship_package, spread_texts
 
 
 @query("split_title", """
@@ -40,7 +41,7 @@ def _(spark, sf):
 WITH {SRC}, {WORD_LIST} SELECT doc_id, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM wl""")
 def _(spark, sf):
     w = words("text")
-    return use_all_cores(articles(spark, sf), "doc_id").select("doc_id", w.alias("w")).select(
+    return spread_texts(articles(spark, sf), "doc_id").select("doc_id", w.alias("w")).select(
         "doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5")
     )
 
@@ -61,7 +62,7 @@ g AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w
   list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM wl)
 SELECT doc_id, len(g)::INT AS n_grams, md5(array_to_string(g, '|')) AS grams_md5 FROM g""")
 def _(spark, sf):
-    docs = use_all_cores(articles(spark, sf), "doc_id")
+    docs = spread_texts(articles(spark, sf), "doc_id")
     return docs.select("doc_id", ngrams(words("text"), 1, 3).alias("g")).select(
         "doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("grams_md5")
     )
@@ -69,18 +70,37 @@ def _(spark, sf):
 
 @query("stemmed_words")
 def _(spark, sf):
-    stems = V.tokens(articles(spark, sf), stemming=True)
-    return stems.groupBy("token").agg(F.count("*").alias("c"))
+    counts = V.token_stats(V.term_counts(articles(spark, sf)))
+    ship_package(spark)
+    # Every distinct word is stemmed once, after its occurrences were counted.
+    return counts.groupBy(stem("token").alias("token")).agg(F.sum("tf").alias("c"))
 
 
-@query("embedding_text", """
+def _pieces_sql(n: int) -> str:
+    return f"""
 WITH t AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents),
-p AS (SELECT doc_id, t, regexp_split_to_array(trim(t), '\\s+') AS p FROM t)
-SELECT doc_id, md5(CASE WHEN len(p) <= 8000 THEN t ELSE array_to_string(p[1:8000], ' ') END) AS text_md5,
-  length(t)::INT AS n_chars FROM p""")
+p AS (SELECT doc_id, t, regexp_split_to_array(trim(t), '\\s+') AS p FROM t),
+n AS (SELECT *, unnest(range(0, greatest(1, ceil(len(p) / {n})::BIGINT))) AS piece FROM p),
+s AS (SELECT doc_id, piece::INT AS piece, CASE WHEN len(p) <= {n} THEN t
+  ELSE array_to_string(p[piece * {n} + 1:piece * {n} + {n}], ' ') END AS s FROM n)
+SELECT doc_id, piece, md5(s) AS text_md5, length(s)::INT AS n_chars FROM s"""
+
+
+def _pieces(spark, sf, n):
+    pieces = articles(spark, sf).select(
+        "doc_id", F.posexplode(line_pieces("text", n)).alias("piece", "t")
+    )
+    return pieces.select("doc_id", "piece", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+
+
+@query("embedding_text", _pieces_sql(8000))
+def _(spark, sf):
+    return _pieces(spark, sf, 8000)
+
+
+@query("embedding_text_in_short_pieces", _pieces_sql(500))
 def _(spark, sf):
-    line = articles(spark, sf).select("doc_id", "text", single_line("text").alias("t"))
-    return line.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
+    return _pieces(spark, sf, 500)
 
 
 @query("distinct_words", f"""

@@ -53,16 +53,16 @@ def _(spark, sf):
 
 
 @query("dense_inverse_cosine", f"""
-WITH {_VEC}, {_CENTRE} SELECT vec_id, near_label, round(1 / list_cosine_similarity(e, centroid), 4) AS distance
-FROM v CROSS JOIN c WHERE abs(list_cosine_similarity(e, centroid)) > 0.001""")
+WITH {_VEC}, {_CENTRE} SELECT vec_id, near_label, round(list_cosine_similarity(e, centroid), 6) AS cosine
+FROM v CROSS JOIN c""")
 def _(spark, sf):
     found = D.all_scores(
         vectors(spark, sf), _centroids(spark, sf), "vec_id", "embedding", "near_label", "centroid",
         "inverse_cosine",
     )
-    return found.filter(F.abs("distance") < 1000).select(
-        "vec_id", "near_label", F.round("distance", 4).alias("distance")
-    )
+    # The distance itself has no bound near a cosine of 0; its reciprocal has.
+    cosine = F.when(F.col("distance") == float("inf"), 0.0).otherwise(1 / F.col("distance"))
+    return found.select("vec_id", "near_label", r6(cosine, "cosine"))
 
 
 _DIST = "d AS (SELECT vec_id, label, near_label, list_distance(e, centroid) AS d FROM v CROSS JOIN c)"

@@ -10,9 +10,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-_UNKNOWN_BYTES = 2**62  # Spark reports its largest size where it has no estimate
-
-
 def build_session(app: str = "themeforge", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -68,22 +65,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def use_all_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is too small to give every core a scan split.
+def spread_texts(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Deal texts to ``partitions`` tasks before they are tokenised; off by default.
 
-    Large inputs already arrive in more splits than there are cores and are
-    left where they are: their text never goes through a shuffle.
+    Without the argument the session's ``spark.themeforge.textPartitions`` counts, and
+    without that the scan's own splits stay: large inputs have more of them than there
+    are cores, and their text then never goes through a shuffle. Set it only where one
+    file of a single row group would keep most cores idle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    # Scanned bytes: the estimate of a joined table multiplies its sides.
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    known = sum(size for size in sizes if size < _UNKNOWN_BYTES)
-    return df.repartition(cores, key) if 0 < known < cores * split_bytes else df
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.themeforge.textPartitions", "0"))
+    return df.repartition(partitions, key) if partitions else df
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
