@@ -95,6 +95,22 @@ def variance_by_class(
     )
 
 
+def to_own_centroid(
+    labelled: DataFrame, centroids: DataFrame, label: str, key: str = "doc_id", salts: int = 16
+) -> DataFrame:
+    """Join every (document, label) row with its label's row of ``centroids``.
+
+    Each label is dealt to ``salts`` parts by a hash of the document and its centroid
+    is repeated for them, so a label with a large share of the rows meets its centroid
+    in many tasks; sums by label are then combined before they are shuffled.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(salts))
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    left = labelled.withColumn("_salt", part)
+    right = centroids.withColumn("_salt", parts)
+    return left.join(right, [label, "_salt"]).drop("_salt")
+
+
 def dense_centroids(
     vectors: DataFrame,
     label: str = "label",

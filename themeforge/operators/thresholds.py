@@ -49,6 +49,46 @@ def sweep(
     )
 
 
+def quantile_grid(
+    scores: DataFrame, label: str, value: str, steps: int = 20, accuracy: int = 100_000
+) -> DataFrame:
+    """(label, grid): the values at ``steps`` + 1 even quantiles of each label, smallest first.
+
+    Spark's quantile summary keeps at most about ``accuracy`` values per label and is
+    exact up to that many rows.
+    """
+    at = [i / steps for i in range(steps + 1)]
+    grid = F.percentile_approx(value, at, accuracy)
+    return scores.groupBy(label).agg(F.array_sort(F.array_distinct(grid)).alias("grid"))
+
+
+def sweep_grid(
+    scores: DataFrame,
+    grids: DataFrame,
+    truth: Column,
+    label: str,
+    value: str,
+    form: str = "second_term",
+    false_positive: float = 1.0,
+    false_negative: float = 1.0,
+) -> DataFrame:
+    """(label, threshold, loss) as ``sweep``, with each label's own grid of thresholds."""
+    label_type = scores.schema[label].dataType
+    nothing = F.array().cast(f"array<{label_type.simpleString()}>")
+    idle = set_loss(truth, nothing, false_positive, false_negative, form)
+    chosen = set_loss(truth, F.array(F.col(label)), false_positive, false_negative, form)
+    rows = scores.select(
+        F.col(label), F.col(value).alias("_v"), idle.alias("i"), (chosen - idle).alias("d")
+    ).join(grids.select(label, "grid"), label)
+    below = F.size(F.filter("grid", lambda p: F.coalesce(F.col("_v") > p, F.lit(False))))
+    steps = rows.groupBy(label, below.alias("b")).agg(
+        F.sum("i").alias("i"), F.sum("d").alias("d"), F.count("*").alias("m"), F.first("grid").alias("grid")
+    )
+    cells = steps.select(label, "b", "i", "d", "m", F.posexplode("grid").alias("j", "threshold"))
+    passed = F.sum(F.when(F.col("b") > F.col("j"), F.col("d")).otherwise(0.0))
+    return cells.groupBy(label, "threshold").agg(((F.sum("i") + passed) / F.sum("m")).alias("loss"))
+
+
 def best_threshold(losses: DataFrame, label: str) -> DataFrame:
     """(label, threshold, loss) with the least loss, the lowest threshold on ties."""
     best = F.min(F.struct(F.round("loss", 9).alias("loss"), F.col("threshold")))

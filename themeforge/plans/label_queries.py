@@ -147,12 +147,14 @@ cen AS (SELECT category, token, sum(weight) / (any_value(n) + 1) AS v
 def _sparse_model(spark, sf):
     """Head counts with their category lists, vocabulary, head labels, and centroids."""
     docs = multi_label(spark, sf)
-    vocabulary = stage(fit_idf(token_stats(term_counts(docs)), row_total(docs)), "vocabulary")
-    split = head_tail(docs, 0.85, "source", "doc_id")
-    head = split.filter(F.col("part") == "head")
+    # The text is tokenised once; splits and models read ids, categories and counts.
+    all_counts = stage(term_counts(table(spark, sf, "documents"), ("doc_id",)), "counts")
+    vocabulary = stage(fit_idf(token_stats(all_counts), row_total(docs)), "vocabulary")
+    split = head_tail(docs.select("doc_id", "source", "categories"), 0.85, "source", "doc_id")
+    head = stage(split.filter(F.col("part") == "head").select("doc_id", "categories"), "head")
     labelled = L.explode_categories(head)
     sizes = C.category_table(labelled, minimum=6)
-    counts = term_counts(head, ("doc_id", "categories"))
+    counts = all_counts.join(head, "doc_id")
     return counts, vocabulary, labelled, C.category_centroids(counts, vocabulary, sizes)
 
 
@@ -206,7 +208,7 @@ def _dense_model(spark, sf):
         "doc_id", F.explode("categories").alias("category"), "embedding"
     )
     centroids = stage(C.dense_centroids(labelled, "category", smoothing=1, minimum=6), "centroids")
-    own = labelled.join(centroids, "category").select(
+    own = C.to_own_centroid(labelled, centroids, "category").select(
         "category", euclidean(F.col("embedding"), F.col("centroid")).alias("distance")
     )
     variances = own.groupBy("category").agg(F.var_pop("distance").alias("variance"))
@@ -277,22 +279,22 @@ def _(spark, sf):
 
 
 @query("gaussian_ratio_scores", f"""
-WITH {_DENSE}, {_near_sql(10, 'NOT head')}, g AS (SELECT doc_id, category, exp(-0.5 * (distance / (10 * variance + 0.5 + 1e-4)) ** 2) AS g
+WITH {_DENSE}, {_near_sql(10, 'NOT head')}, g AS (SELECT doc_id, category, exp(-0.5 * (distance / (variance + 1e-4)) ** 2) AS g
   FROM nr JOIN vr USING (category)) SELECT doc_id, category, round(g / (g + 1e-4), 6) AS score FROM g""")
 def _(spark, sf):
     split, _labelled, model = _dense_model(spark, sf)
     near = _near(split, model, 10, "tail").join(model.select("category", "variance"), "category")
-    # The spread of these unit-scale vectors is widened so that scores differ from zero.
-    score = gaussian_ratio(F.col("distance"), 10 * F.col("variance") + 0.5)
+    score = gaussian_ratio(F.col("distance"), F.col("variance"))
     return near.select("doc_id", "category", r6(score, "score"))
 
 
 _STEPS = tuple(round(0.05 * i, 2) for i in range(16))
-# The variances of these vectors are tiny, so their ratio is 0 everywhere; the thresholds are
-# learned on distances scaled into the grid instead of the ratio's own units.
-_SET_SWEEP = f"""{_near_sql(50, 'head')},
+_LEARN_NEAR, _PREDICT_NEAR, _RATIO = 500, 50, 0.5
+_SET_SWEEP = f"""{_near_sql(_LEARN_NEAR, 'head')},
 g AS (SELECT unnest([{', '.join(f'{s}::DOUBLE' for s in _STEPS)}]) AS threshold),
-sc AS (SELECT doc_id, categories, category, round(exp(-0.5::DOUBLE * distance), 9) AS s FROM nr),
+gr AS (SELECT doc_id, categories, category, exp(-0.5 * (distance / (variance + 1e-4)) ** 2) AS g
+  FROM nr JOIN vr USING (category)),
+sc AS (SELECT doc_id, categories, category, round(g / (g + 1e-4), 9) AS s FROM gr),
 ls AS (SELECT category, threshold, CASE WHEN s > threshold THEN
   CASE WHEN list_contains(categories, category) THEN len(categories) - 1.0::DOUBLE
     ELSE len(categories) + 1.0::DOUBLE / (len(categories) + 1) END
@@ -301,10 +303,13 @@ lo AS (SELECT category, threshold, avg(loss) AS loss FROM ls GROUP BY category,
 th AS (SELECT category, arg_min(threshold, (round(loss, 9), threshold)) AS threshold FROM lo GROUP BY category)"""
 
 
-def _category_thresholds(split, model):
-    near = _near(split, model, 50, "head")
+def _category_thresholds(split, model, near_categories=_LEARN_NEAR):
+    near = _near(split, model, near_categories, "head").join(
+        model.select("category", "variance"), "category"
+    )
+    ratio = F.round(gaussian_ratio(F.col("distance"), F.col("variance")), 9)
     scored = near.join(split.select("doc_id", "categories"), "doc_id").select(
-        "categories", "category", F.round(F.exp(-0.5 * F.col("distance")), 9).alias("s")
+        "categories", "category", ratio.alias("s")
     )
     return T.sweep(scored, F.col("categories"), "category", "s", _STEPS)
 
@@ -332,17 +337,14 @@ ll AS (SELECT doc_id, array_to_string(p, ',') AS predicted, CASE WHEN u = 0 THEN
 
 
 @query("label_sets_by_ratio", f"""
-WITH {_DENSE}, {_near_sql(50, 'NOT head')},
-g AS (SELECT doc_id, category, exp(-0.5 * (distance / (10 * variance + 0.5 + 1e-4)) ** 2) AS g FROM nr JOIN vr USING (category)),
-pd AS (SELECT doc_id, list_sort(array_agg(category)) AS predicted FROM g WHERE round(g / (g + 1e-4), 9) > 0.9995 GROUP BY doc_id),
+WITH {_DENSE}, {_near_sql(_PREDICT_NEAR, 'NOT head')},
+g AS (SELECT doc_id, category, exp(-0.5 * (distance / (variance + 1e-4)) ** 2) AS g FROM nr JOIN vr USING (category)),
+pd AS (SELECT doc_id, list_sort(array_agg(category)) AS predicted FROM g WHERE g / (g + 1e-4) > {_RATIO} GROUP BY doc_id),
 {_SET_LOSS} SELECT doc_id, predicted, round(loss, 6) AS loss FROM ll""")
 def _(spark, sf):
     split, _labelled, model = _dense_model(spark, sf)
-    # The spread of these unit-scale vectors is widened so that the ratio separates categories.
-    wide = model.select(
-        "category", (10 * F.col("variance") + 0.5).alias("variance"), F.lit(0.9995).alias("threshold")
-    )
-    predicted = T.predict_by_ratio(_near(split, model, 50, "tail"), wide)
+    limits = model.select("category", "variance", F.lit(_RATIO).alias("threshold"))
+    predicted = T.predict_by_ratio(_near(split, model, _PREDICT_NEAR, "tail"), limits)
     tail = split.filter(F.col("part") == "tail")
     return T.label_losses(tail, predicted).select("doc_id", joined("predicted", "predicted"), r6("loss", "loss"))
 
@@ -355,7 +357,7 @@ pd AS (SELECT doc_id, list_sort(array_agg(category)) AS predicted FROM nr JOIN c
 
 def _by_distance(spark, sf):
     split, labelled, model = _dense_model(spark, sf)
-    cuts = labelled.join(model, "category").groupBy("category").agg(
+    cuts = C.to_own_centroid(labelled, model, "category").groupBy("category").agg(
         F.avg(euclidean(F.col("embedding"), F.col("centroid"))).alias("threshold")
     )
     near = _near(split, model, 1000, "tail")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from themeforge.operators import centroids as C
@@ -34,6 +36,7 @@ from themeforge.plans.registry import (
     r6,
     table,
 )
+from themeforge.session import stage
 
 # ---- splits and samples --------------------------------------------------------------
 
@@ -416,6 +419,37 @@ def _(spark, sf):
     return best.select("label", "threshold", r6("loss", "loss"))
 
 
+_DENSITIES = ("raw_gauss", "raw_expo", "unit_gauss", "unit_expo")
+
+
+def _density_sql(score: str) -> str:
+    return f"""SELECT '{score}' AS score, label, threshold, loss FROM (
+WITH s AS (SELECT class, label, round({score}, 9) AS s FROM sc WHERE part = 'train' AND {score} IS NOT NULL),
+r AS (SELECT label, s, row_number() OVER (PARTITION BY label ORDER BY s) AS k, count(*) OVER (PARTITION BY label) AS n FROM s),
+g AS (SELECT DISTINCT label, s AS threshold FROM r, (SELECT unnest(range(0, 21)) AS q)
+  WHERE k = greatest(1, ceil(q / 20 * n)::BIGINT)),
+lo AS (SELECT label, threshold, avg(CASE WHEN s > threshold THEN (CASE WHEN class = label THEN 0.0 ELSE 1.5 END)
+  ELSE 1.0 END::DOUBLE) AS loss FROM s JOIN g USING (label) GROUP BY label, threshold)
+SELECT label, arg_min(threshold, (round(loss, 9), threshold)) AS threshold, round(min(round(loss, 9)), 6) AS loss
+FROM lo GROUP BY label)"""
+
+
+@query("density_thresholds", f"""
+WITH {_holdout_sql()}, {_SCORES} {' UNION ALL '.join(_density_sql(s) for s in _DENSITIES)}""")
+def _(spark, sf):
+    """Thresholds of all four scores, each searched over the quantiles of its class."""
+    scores = stage(_scores(spark, sf), "scores")
+    found = []
+    for name in _DENSITIES:
+        train = scores.filter((F.col("part") == "train") & F.col(name).isNotNull()).select(
+            "class", "label", F.round(name, 9).alias("s")
+        )
+        losses = T.sweep_grid(train, T.quantile_grid(train, "label", "s"), F.array("class"), "label", "s")
+        best = T.best_threshold(losses, "label")
+        found.append(best.select(F.lit(name).alias("score"), "label", "threshold", r6("loss", "loss")))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 _CAND = """pass AS (SELECT doc_id, label, {s} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY {s} DESC, label) AS k
   FROM {t} JOIN th USING (label) WHERE {s} > threshold),
 {n} AS (SELECT d.doc_id, coalesce(string_agg(label, ',' ORDER BY k) FILTER (k <= 2), '') AS {n}
