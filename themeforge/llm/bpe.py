@@ -26,7 +26,6 @@ import hashlib
 import heapq
 import re
 import unicodedata
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -35,13 +34,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeforge.llm.frames import broadcast_value, map_batches
 
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 500_000
 CHUNK_TOKENS = 8_000_000
+GROUP_TOKENS = 65_536
 LIBRARY_CHARS = 200
 CACHE_WORDS = 500_000
 
@@ -144,122 +146,160 @@ def piece_encoder(pattern: str, ranks: dict[bytes, int]) -> Callable[[str], list
 # ---- packing -------------------------------------------------------------------------------
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers below 2**32, byte planes apart, compressed."""
-    planes = numbers.astype("<u4").view("u1").reshape(-1, 4)
-    return zlib.compress(planes.T.tobytes(), 1)
+def _compress(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3, write_checksum=False).compress(raw)
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(blob), "u1").reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _join(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(4, "little") for p in parts) + b"".join(parts)
+
+
+def _parts(raw: bytes, n: int) -> list[bytes]:
+    out, at = [], 4 * n
+    for k in range(n):
+        size = int.from_bytes(raw[4 * k : 4 * k + 4], "little")
+        out.append(raw[at : at + size])
+        at += size
+    return out
 
 
-def _pack_lists(lists: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, lists), "<u4", len(lists))
-    return zlib.compress(len(lists).to_bytes(4, "little") + sizes.tobytes() + b"".join(lists), 1)
+SMALL = 240
 
 
-def _unpack_lists(blob: bytes) -> tuple[np.ndarray, bytes]:
-    raw = zlib.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n :]
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, small ones favoured.
+
+    A number below ``SMALL`` is one byte; of others that byte holds the uppermost part, or
+    255 where this does not fit, and three lower bytes lie in streams of their own. Each
+    stream is compressed by itself, close to the entropy of its bytes.
+    """
+    small = numbers < SMALL
+    rest = (numbers[~small] - SMALL).astype("<u4")
+    upper = rest >> 16
+    first = np.where(small, numbers, 0).astype(np.uint8)
+    first[~small] = SMALL + np.minimum(upper, 255 - SMALL)
+    wide = upper >= 255 - SMALL
+    lower = [rest & 0xFF, rest >> 8 & 0xFF]
+    streams = [first.tobytes(), *[x.astype(np.uint8).tobytes() for x in lower], rest[wide].tobytes()]
+    return _join(*map(_compress, streams))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    streams = [zstandard.ZstdDecompressor().decompress(x) for x in _parts(blob, 4)]
+    first, low, middle = (np.frombuffer(x, np.uint8) for x in streams[:3])
+    out = first.astype(np.uint32)
+    large = first >= SMALL
+    rest = low.astype(np.uint32) | middle.astype(np.uint32) << 8 | (out[large] - SMALL) << 16
+    rest[first[large] == 255] = np.frombuffer(streams[3], "<u4")
+    out[large] = rest + SMALL
+    return out
 
 
 # ---- the three passes ----------------------------------------------------------------------
 
 Fields = tuple[tuple[str, str, pa.DataType], ...]
-WORDS, TEXT = 0, 1
-_ROW = "chunk string, bucket int, kind tinyint, payload binary"
+WORDS, TEXTS = 0, 1
+
+
+def _row(kind: str) -> str:
+    return f"ids array<{kind}>, chunk string, bucket int, kind tinyint, payload binary"
+
+
+_NAMES = ["ids", "chunk", "bucket", "kind", "payload"]
 
 
 def _chunks(docs: DataFrame, pattern: str, buckets: int, kind: str) -> DataFrame:
-    """Pass 1: rows of texts as numbers, and of the words of a chunk by bucket."""
+    """Pass 1: rows of several texts as numbers, and of the words of a chunk by bucket.
+
+    Names and buckets depend on the task's place and input alone, so that a task that runs
+    again after a loss gives the same rows to the same receivers.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = splitter(pattern).findall
+        part = TaskContext.get().partitionId()
         words: defaultdict[str, int] = defaultdict(count().__next__)
-        chunk, tokens, texts = uuid.uuid4().hex, 0, 0
+        done = tokens = sent = 0
 
-        def rows(ids, bucket: list[int], kinds: list[int], payload: list[bytes]) -> pa.RecordBatch:
-            n = len(payload)
+        def row(ids: pa.Array, bucket: int, what: int, payload: bytes) -> pa.RecordBatch:
+            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array([chunk] * n, pa.string()), pa.array(bucket, pa.int32()),
-                 pa.array(kinds, pa.int8()), pa.array(payload, pa.binary())],
-                ["id", "chunk", "bucket", "kind", "payload"],
+                [listed, pa.array([f"{part}-{done}"], pa.string()), pa.array([bucket], pa.int32()),
+                 pa.array([what], pa.int8()), pa.array([payload], pa.binary())], _NAMES,
             )
 
-        def dictionary(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            """The words by bucket, with the numbers they have in this chunk."""
+        def texts(ids: pa.Array, group: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal sent
+            sent += 1
+            counts = np.fromiter(map(len, group), np.uint32, len(group))
+            payload = _join(_pack(counts), _pack(np.concatenate(group)))
+            return row(ids, (part * 31 + sent) % buckets, TEXTS, payload)
+
+        def dictionary(none: pa.Array) -> Iterator[pa.RecordBatch]:
+            """The words by bucket, in the order of their numbers."""
             dealt: dict[int, list[tuple[bytes, int]]] = {}
             for word, number in words.items():
                 raw = word.encode()
                 dealt.setdefault(zlib.crc32(raw) % buckets, []).append((raw, number))
             for bucket, own in dealt.items():
-                own.sort()
-                blob = _pack_lists([raw for raw, _ in own])
-                order = _pack(np.array([number for _, number in own], np.uint32))
-                payload = len(blob).to_bytes(4, "little") + blob + order
-                yield rows(pa.nulls(1, id_type), [bucket], [WORDS], [payload])
+                sizes = np.fromiter((len(raw) for raw, _ in own), np.uint32, len(own))
+                numbers = np.fromiter((number for _, number in own), np.uint32, len(own))
+                joined = _compress(b"".join(raw for raw, _ in own))
+                payload = _join(joined, _pack(sizes), _pack(np.diff(numbers, prepend=np.uint32(0))))
+                yield row(none, bucket, WORDS, payload)
 
-        id_type = None
+        none = None
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            ids, payload, at = batch.column(0), [], 0
+            ids, group, start, held = batch.column(0), [], 0, 0
+            none = ids.slice(0, 0)
             for i, text in enumerate(batch.column(1)):
                 found = find(text.as_py() or "")
-                payload.append(_pack(np.fromiter(map(words.__getitem__, found), np.uint32, len(found))))
-                tokens, texts = tokens + len(found), texts + 1
-                if len(words) >= CHUNK_WORDS or tokens >= CHUNK_TOKENS:
-                    n = len(payload)
-                    yield rows(ids.slice(at, n), [i % buckets] * n, [TEXT] * n, payload)
-                    yield from dictionary(id_type)
-                    at, payload = i + 1, []
+                group.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
+                held += len(found)
+                full = len(words) >= CHUNK_WORDS or tokens + held >= CHUNK_TOKENS
+                if full or held >= GROUP_TOKENS or i + 1 == batch.num_rows:
+                    yield texts(ids.slice(start, len(group)), group)
+                    tokens, group, start, held = tokens + held, [], i + 1, 0
+                if full:
+                    yield from dictionary(none)
                     words = defaultdict(count().__next__)
-                    chunk, tokens, texts = uuid.uuid4().hex, 0, 0
-            if payload:
-                n = len(payload)
-                yield rows(ids.slice(at, n), [texts % buckets] * n, [TEXT] * n, payload)
+                    done, tokens = done + 1, 0
         if words:
-            yield from dictionary(id_type)
+            yield from dictionary(none)
 
-    return map_batches(docs, work, f"id {kind}, {_ROW}")
+    return map_batches(docs, work, _row(kind))
 
 
 def _encode_words(dealt: DataFrame, encoder: Callable[[], Callable], kind: str) -> DataFrame:
     """Pass 2: each word of a bucket is encoded once; texts pass through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(), {}
+        encode = encoder()
+        known: dict[bytes, bytes] = {}
+
+        def ids_of(word: bytes) -> bytes:
+            ids = known.get(word)
+            if ids is None:
+                if len(known) >= CACHE_WORDS:
+                    known.clear()
+                ids = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
+            return ids
+
         for batch in batches:
-            kinds = batch.column(3).to_pylist()
             payload = []
-            for k, blob in zip(kinds, batch.column(4)):
-                if k == TEXT:
-                    payload.append(blob.as_py())
-                    continue
+            for what, blob in zip(batch.column(3).to_pylist(), batch.column(4)):
                 raw = blob.as_py()
-                size = int.from_bytes(raw[:4], "little")
-                sizes, joined = _unpack_lists(raw[4 : 4 + size])
-                found, at = [], 0
-                for n in sizes.tolist():
-                    word = joined[at : at + n]
-                    at += n
-                    ids = known.get(word)
-                    if ids is None:
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        ids = known[word] = np.array(encode(word.decode()), "<u4").tobytes()
-                    found.append(ids)
-                lens = _pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4)
-                flat = _pack(np.frombuffer(b"".join(found), "<u4"))
-                order = raw[4 + size :]
-                payload.append(
-                    len(lens).to_bytes(4, "little") + len(flat).to_bytes(4, "little") + lens + flat + order
-                )
+                if what == WORDS:
+                    joined, sizes, order = _parts(raw, 3)
+                    joined = zstandard.ZstdDecompressor().decompress(joined)
+                    ends = np.cumsum(_unpack(sizes), dtype=np.int64).tolist()
+                    found = [ids_of(joined[a:b]) for a, b in zip([0, *ends], ends)]
+                    lens = np.fromiter(map(len, found), np.uint32, len(found)) // 4
+                    raw = _join(_pack(lens), _pack(np.frombuffer(b"".join(found), "<u4")), order)
+                payload.append(raw)
             yield batch.set_column(4, "payload", pa.array(payload, pa.binary()))
 
-    return map_batches(dealt, work, f"id {kind}, {_ROW}")
+    return map_batches(dealt, work, _row(kind))
 
 
 def _assemble(met: DataFrame, finish: Callable, fields: Fields, kind: str) -> DataFrame:
@@ -267,33 +307,29 @@ def _assemble(met: DataFrame, finish: Callable, fields: Fields, kind: str) -> Da
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = finish()
-        chunk, parts = None, []
-        starts = lens = flat = None
+        chunk, parts, table = None, [], None
         for batch in batches:
             names, kinds = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            at, rows = [], []
-            for i, (name, k) in enumerate(zip(names, kinds)):
+            for i, (name, what) in enumerate(zip(names, kinds)):
                 if name != chunk:
-                    chunk, parts, flat = name, [], None
+                    chunk, parts, table = name, [], None
                 raw = batch.column(4)[i].as_py()
-                if k == WORDS:
-                    a, b = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
-                    parts.append((_unpack(raw[8 : 8 + a]), _unpack(raw[8 + a : 8 + a + b]), _unpack(raw[8 + a + b :])))
+                if what == WORDS:
+                    parts.append([_unpack(x) for x in _parts(raw, 3)])
                     continue
-                if flat is None:
-                    starts, lens, flat = _by_number(parts)
-                    parts = []
-                numbers = _unpack(raw)
+                if table is None:
+                    table, parts = _by_number(parts), []
+                starts, lens, flat = table
+                counts, numbers = (_unpack(x) for x in _parts(raw, 2))
                 n = lens[numbers]
                 ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                place = np.repeat(starts[numbers] - ends + n, n) + np.arange(total)
-                at.append(i)
-                rows.append(make(flat[place]))
-            if rows:
-                ids = batch.column(0).take(pa.array(at, pa.int64()))
+                place = np.repeat(starts[numbers] - ends + n, n) + np.arange(n.sum())
+                ids = flat[place]
+                upto = np.concatenate(([0], ends))[np.cumsum(counts, dtype=np.int64)].tolist()
+                rows = [make(ids[a:b]) for a, b in zip([0, *upto], upto)]
+                own = batch.column(0).slice(i, 1).flatten()
                 columns = [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([ids, *columns], ["id", *[f[0] for f in fields]])
+                yield pa.RecordBatch.from_arrays([own, *columns], ["id", *[f[0] for f in fields]])
 
     return map_batches(met, work, ", ".join([f"id {kind}", *[f"{f[0]} {f[1]}" for f in fields]]))
 
@@ -304,7 +340,7 @@ def _by_number(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
     lens = np.concatenate([p[0] for p in parts]).astype(np.int64)
     flat = np.concatenate([p[1] for p in parts])
-    order = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    order = np.concatenate([np.cumsum(p[2], dtype=np.int64) for p in parts])
     starts = np.cumsum(lens) - lens
     by_start, by_len = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
     by_start[order], by_len[order] = starts, lens
