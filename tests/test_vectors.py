@@ -39,12 +39,44 @@ def test_probing_every_cell_is_exact(frames, block_rows):
     exact = sorted(map(tuple, D.nearest(*frames, 5, "q", "v", "r", "v").select("q", "r", "rank").collect()))
     probed = D.nearest_probed(*frames, 5, "q", "v", "r", "v", cells=6, probes=6, block_rows=block_rows)
     assert sorted(map(tuple, probed.select("q", "r", "rank").collect())) == exact
-    few = D.nearest_probed(*frames, 5, "q", "v", "r", "v", probes=4, block_rows=block_rows)
+    few = D.nearest_probed(*frames, 5, "q", "v", "r", "v", cells=9, probes=4, block_rows=block_rows)
+    assert few.count() == 5 * len(Q)
     found = set(map(tuple, few.select("q", "r").collect()))
     recall = len(found & {(q, r) for q, r, _ in exact}) / len(exact)
     assert 0.5 < recall <= 1.0
 
 
+def test_probing_goes_on_until_k_are_found(frames):
+    found = D.nearest_probed(*frames, 40, "q", "v", "r", "v", cells=30, probes=1)
+    assert {r["count"] for r in found.groupBy("q").count().collect()} == {40}
+    everything = D.nearest_probed(*frames, 500, "q", "v", "r", "v", cells=30, probes=1)
+    assert everything.count() == len(Q) * len(REF)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_values": 1, "block_rows": 2}])
+def test_close_vectors_keep_their_digits(spark, sizes):
+    far = 1e6
+    q = spark.createDataFrame([(1, [far, far])], "q int, v array<double>")
+    r = spark.createDataFrame(
+        [("a", [far + 0.001, far]), ("b", [far, far + 0.0005]), ("c", [far, far])], "r string, v array<double>"
+    )
+    found = sorted(D.nearest(q, r, 3, "q", "v", "r", "v", **sizes).collect(), key=lambda x: x["rank"])
+    assert [x["r"] for x in found] == ["c", "b", "a"]
+    assert [x["distance"] for x in found] == pytest.approx([0.0, 0.0005, 0.001], rel=1e-6)
+    assert {x["r"]: x["distance"] for x in D.all_scores(q, r, "q", "v", "r", "v").collect()}["a"] == pytest.approx(0.001, rel=1e-6)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_values": 1, "block_rows": 2}])
+def test_vectors_of_different_widths_are_an_error(spark, sizes):
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "q int, v array<double>")
+    ragged = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0] * 4 + [1.0])], "r string, v array<double>")
+    with pytest.raises(ValueError, match="components"):
+        D.nearest(q, ragged, 1, "q", "v", "r", "v", **sizes)
+    even = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 0.0, 1.0])], "r string, v array<double>")
+    with pytest.raises(Exception, match="components"):
+        D.nearest(q, even, 1, "q", "v", "r", "v", **sizes).collect()
+
+
 def test_more_neighbours_than_references(frames):
     q, r = frames
     few = r.filter("r < 'r003'")

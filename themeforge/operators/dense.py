@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +28,53 @@ from pyspark.sql.types import (
 )
 
 from themeforge.operators.ordering import order_hash, top_rows
-from themeforge.session import ship_package
+from themeforge.session import ship_package, stage
 
 LOWER_IS_NEARER = {"euclidean": True, "inverse_cosine": True, "cosine": False, "dot": False}
 
 BROADCAST_VALUES = 8_000_000  # at most 64 MB of float64 travels to every task
 BLOCK_ROWS = 20_000
+ALL_PAIRS_ROWS = 1_000
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, width: int) -> np.ndarray:
+    """Lists of numbers as rows; a list of another length than ``width`` is an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    lengths = pc.list_value_length(column)
+    if len(column) and not pc.all(pc.equal(lengths, width)).as_py():
+        odd = next(n for n in lengths.to_pylist() if n != width)
+        raise ValueError(f"a vector has {odd} components where the others have {width}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    return flat.reshape(len(column), width)
+
+
+CLOSE = 1e-3  # squared distances below this share of the squared norms are taken directly
+
+
+def _squared_distances(queries: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """From products where this keeps the digits, from differences where it would lose them."""
+    q = np.einsum("ij,ij->i", queries, queries)
+    r = np.einsum("ij,ij->i", refs, refs)
+    sizes = q[:, None] + r[None, :]
+    squared = np.maximum(sizes - 2.0 * (queries @ refs.T), 0.0)
+    rows, cols = np.nonzero(squared < CLOSE * sizes)
+    for at in range(0, len(rows), 50_000):
+        i, j = rows[at : at + 50_000], cols[at : at + 50_000]
+        gap = queries[i] - refs[j]
+        squared[i, j] = np.einsum("ij,ij->i", gap, gap)
+    return squared
 
 
 def compare(queries: np.ndarray, refs: np.ndarray, measure: str) -> np.ndarray:
     """Matrix of measures, one row per query; NaN where a cosine has a zero norm."""
+    if measure == "euclidean":
+        return np.sqrt(_squared_distances(queries, refs))
     product = queries @ refs.T
     if measure == "dot":
         return product
     q = np.einsum("ij,ij->i", queries, queries)
     r = np.einsum("ij,ij->i", refs, refs)
-    if measure == "euclidean":
-        return np.sqrt(np.maximum(q[:, None] - 2.0 * product + r[None, :], 0.0))
     with np.errstate(divide="ignore", invalid="ignore"):
         similarity = product / np.sqrt(q[:, None] * r[None, :])
         if measure == "cosine":
@@ -58,22 +82,30 @@ def compare(queries: np.ndarray, refs: np.ndarray, measure: str) -> np.ndarray:
         return np.where(similarity == 0.0, np.inf, 1.0 / similarity)
 
 
+RANK_SCALE = 1e12  # scores that agree to this many parts rank by name
+
+
+def _rank_key(score: str, measure: str) -> Column:
+    """What workers rank by, as a column: the same products and roundings."""
+    signed = F.col(score) if LOWER_IS_NEARER[measure] else -F.col(score)
+    return F.rint(signed * RANK_SCALE)
+
+
 def _keep_nearest(k: int, measure: str, q_ids, scores, ref_table) -> pa.Table:
     """The k best references of each query; equal scores rank by reference name."""
-    keyed = np.round(scores if LOWER_IS_NEARER[measure] else -scores, 12)
-    rows, cols, ranks = [], [], []
+    keyed = np.rint((scores if LOWER_IS_NEARER[measure] else -scores) * RANK_SCALE)
+    keyed[np.isnan(keyed)] = np.inf
     width = min(k, keyed.shape[1])
-    for i, line in enumerate(keyed):
-        bound = np.partition(np.where(np.isnan(line), np.inf, line), width - 1)[width - 1]
-        near = np.flatnonzero(line <= bound)
-        near = near[np.argsort(line[near], kind="stable")][:k]
-        rows.append(np.full(len(near), i))
-        cols.append(near)
-        ranks.append(np.arange(1, len(near) + 1))
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    bound = np.partition(keyed, width - 1, axis=1)[:, width - 1]
+    row, col = np.nonzero((keyed <= bound[:, None]) & ~np.isnan(scores))
+    order = np.lexsort((col, keyed[row, col], row))  # references come sorted by name
+    row, col = row[order], col[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    kept = rank <= k
+    row, col, rank = row[kept], col[kept], rank[kept]
     return pa.table(
         [q_ids.take(pa.array(row)), ref_table.column(0).take(pa.array(col)),
-         pa.array(scores[row, col], pa.float64()), pa.array(np.concatenate(ranks), pa.int32())],
+         pa.array(scores[row, col], pa.float64()), pa.array(rank, pa.int32())],
         names=["q", "r", "s", "rank"],
     )
 
@@ -112,14 +144,15 @@ def _arrow_schema(out: StructType) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
 
-def _worker(keep, measure: str, out: StructType, ref_name: str):
+def _worker(keep, measure: str, out: StructType, ref_name: str, width: int):
     """Compare one query block with one reference block and reduce it with ``keep``."""
     arrow_out = _arrow_schema(out)
 
-    def work(q_ids, q_matrix, table: pa.Table) -> pa.Table:
+    def work(q_ids, q_vectors, table: pa.Table) -> pa.Table:
         table = table.sort_by(ref_name)
         ids = q_ids.combine_chunks() if isinstance(q_ids, pa.ChunkedArray) else q_ids
-        found = keep(ids, compare(q_matrix, _matrix(table.column(1)), measure), table)
+        scores = compare(_matrix(q_vectors, width), _matrix(table.column(1), width), measure)
+        found = keep(ids, scores, table)
         return found.rename_columns(arrow_out.names).cast(arrow_out)
 
     return work
@@ -143,7 +176,7 @@ def _meet(left: DataFrame, right: DataFrame, keys: list[str], work, out: StructT
         r = r.drop_columns(keys)
         step = max(1, 4_000_000 // r.num_rows)
         found = [
-            work(part.column(0), _matrix(part.column(1)), r)
+            work(part.column(0), part.column(1), r)
             for part in (q.slice(at, step) for at in range(0, q.num_rows, step))
         ]
         return pa.concat_tables(found)
@@ -169,17 +202,19 @@ def _blockwise(
     ship_package(spark)
     queries = queries.filter(F.col(queries.columns[1]).isNotNull())
     refs = refs.filter(F.col(refs.columns[1]).isNotNull())
-    work = _worker(keep, measure, out, refs.columns[0])
-
-    head = refs.select(F.size(refs.columns[1])).take(1)
-    if not head:
+    # Row count and width are measured, for all rows, before anything is fetched.
+    length = F.size(refs.columns[1])
+    facts = refs.agg(F.count("*").alias("n"), F.min(length).alias("least"), F.max(length).alias("most")).first()
+    n_refs, width = facts["n"], facts["most"]
+    if not n_refs:
         return spark.createDataFrame([], out), True
-    limit = max(1, broadcast_values // max(1, head[0][0]))
-    fetched = refs.limit(limit + 1).toArrow()
+    if facts["least"] != width:
+        raise ValueError(f"vectors have {facts['least']} to {width} components")
+    work = _worker(keep, measure, out, refs.columns[0], width)
 
-    if fetched.num_rows <= limit:
-        # All references are here, and they are at most ``broadcast_values`` numbers.
-        shared = spark.sparkContext.broadcast(fetched)
+    if n_refs * max(1, width) <= broadcast_values:
+        # All references together are at most ``broadcast_values`` numbers.
+        shared = spark.sparkContext.broadcast(refs.toArrow())
 
         def map_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value
@@ -187,12 +222,12 @@ def _blockwise(
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    yield from work(part.column(0), _matrix(part.column(1)), table).to_batches()
+                    yield from work(part.column(0), part.column(1), table).to_batches()
 
         return queries.mapInArrow(map_side, out), True
 
-    n_refs, n_queries = refs.count(), queries.count()
-    blocks, splits = math.ceil(n_refs / block_rows), math.ceil(n_queries / block_rows)
+    n_queries = queries.count()
+    blocks, splits = math.ceil(n_refs / block_rows), max(1, math.ceil(n_queries / block_rows))
 
     left = queries.withColumn("_s", _bucket(queries.columns[0], F.lit(splits)))
     right = refs.withColumn("_b", _bucket(refs.columns[0], F.lit(blocks)))
@@ -256,9 +291,7 @@ def nearest(
     if complete:
         return found
     found = found.drop("rank")
-    ranked = F.round(score, 12)
-    order = [ranked.asc() if LOWER_IS_NEARER[measure] else ranked.desc(), F.col(ref_id).asc()]
-    return top_rows(found, [query_id], order, k)
+    return top_rows(found, [query_id], [_rank_key(score, measure), F.col(ref_id)], k)
 
 
 def nearest_probed(
@@ -269,59 +302,83 @@ def nearest_probed(
     query_vector: str,
     ref_id: str,
     ref_vector: str,
-    cells: int | None = None,
+    cells: int,
     probes: int = 8,
     score: str = "distance",
     block_rows: int = BLOCK_ROWS,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate Euclidean ``nearest``: each query looks only into its ``probes`` closest cells.
+    """Approximate Euclidean ``nearest``: each query looks into its ``probes`` closest cells.
 
     References belong to the cell of their closest pivot; pivots are ``cells``
-    references in hash order (default: the square root of their number). A cell
-    of any size is split into blocks, so crowded cells stay parallel. With as
-    many probes as cells the result is exact.
+    references in hash order. A cell of any size is split into blocks, so crowded
+    cells stay parallel. Queries whose cells hold fewer than ``k`` references go on
+    with twice as many until they have k, or all there are. With as many probes as
+    cells the result is exact.
     """
     ship_package(queries.sparkSession)
     q = _pick(queries, [query_id, query_vector], query_vector)
     r = _pick(refs, [ref_id, ref_vector], ref_vector)
     q, r = q.filter(F.col(query_vector).isNotNull()), r.filter(F.col(ref_vector).isNotNull())
-    cells = cells or max(1, math.isqrt(r.count()))
-    pivots = r.orderBy(order_hash(ref_id, seed)).limit(cells).withColumnRenamed(ref_id, "_cell")
-    homes = nearest(r, pivots, 1, ref_id, ref_vector, "_cell", ref_vector).select(ref_id, "_cell")
-    looks = nearest(q, pivots, probes, query_id, query_vector, "_cell", ref_vector).select(
-        query_id, "_cell"
-    )
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-
-    sizes = parts(homes, "_blocks").join(parts(looks, "_splits"), "_cell")
-    left = q.join(looks, query_id).join(sizes, "_cell").select(
-        query_id, query_vector, "_cell", _bucket(query_id, F.col("_splits")).alias("_s"),
-        _every(F.col("_blocks")).alias("_b"),
+    facts = r.agg(F.count("*").alias("n"), F.max(F.size(ref_vector)).alias("width")).first()
+    out = _score_schema(q, r, query_id, ref_id, score).add("rank", IntegerType())
+    if not facts["n"]:
+        return queries.sparkSession.createDataFrame([], out)
+    wanted, cells = min(k, facts["n"]), min(cells, facts["n"])
+    pivots = stage(
+        r.orderBy(order_hash(ref_id, seed)).limit(cells).withColumnRenamed(ref_id, "_cell"), "pivots"
     )
-    right = r.join(homes, ref_id).join(sizes, "_cell").select(
-        ref_id, ref_vector, "_cell", _bucket(ref_id, F.col("_blocks")).alias("_b"),
-        _every(F.col("_splits")).alias("_s"),
+    homes = stage(
+        nearest(r, pivots, 1, ref_id, ref_vector, "_cell", ref_vector).select(ref_id, "_cell"), "homes"
     )
-    out = _score_schema(q, r, query_id, ref_id, score).add("rank", IntegerType())
 
     def keep(ids, scores, table):
         return _keep_nearest(k, "euclidean", ids, scores, table)
 
-    found = _meet(left, right, ["_cell", "_b", "_s"], _worker(keep, "euclidean", out, ref_id), out)
-    return top_rows(found.drop("rank"), [query_id], [F.round(score, 12), F.col(ref_id)], k)
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    def search(asked: DataFrame, n: int) -> DataFrame:
+        looks = nearest(asked, pivots, n, query_id, query_vector, "_cell", ref_vector).select(
+            query_id, "_cell"
+        )
+        sizes = parts(homes, "_blocks").join(parts(looks, "_splits"), "_cell")
+        left = asked.join(looks, query_id).join(sizes, "_cell").select(
+            query_id, query_vector, "_cell", _bucket(query_id, F.col("_splits")).alias("_s"),
+            _every(F.col("_blocks")).alias("_b"),
+        )
+        right = r.join(homes, ref_id).join(sizes, "_cell").select(
+            ref_id, ref_vector, "_cell", _bucket(ref_id, F.col("_blocks")).alias("_b"),
+            _every(F.col("_splits")).alias("_s"),
+        )
+        work = _worker(keep, "euclidean", out, ref_id, facts["width"])
+        found = _meet(left, right, ["_cell", "_b", "_s"], work, out)
+        order = [_rank_key(score, "euclidean"), F.col(ref_id)]
+        return stage(top_rows(found.drop("rank"), [query_id], order, k), "probed")
+
+    found, done = search(q, min(probes, cells)), []
+    while probes < cells:
+        full = found.groupBy(query_id).agg(F.count("*").alias("_n")).filter(F.col("_n") >= wanted)
+        short = q.join(full, query_id, "left_anti")
+        if not short.limit(1).count():
+            break
+        done.append(found.join(full, query_id, "left_semi"))
+        probes, q = min(cells, 2 * probes), short
+        found = search(q, probes)
+    return reduce(DataFrame.unionByName, [*done, found])
 
 
 def all_scores(
     queries: DataFrame, refs: DataFrame, query_id: str, query_vector: str,
     ref_id: str, ref_vector: str, measure: str = "euclidean", score: str = "distance",
 ) -> DataFrame:
-    """(query_id, ref_id, score) of every query against every one of a few references."""
+    """(query_id, ref_id, score) of every query against every reference.
+
+    Each block gives at most ``ALL_PAIRS_ROWS`` squared rows at a time.
+    """
     found, _ = _scored(
         queries, refs, query_id, query_vector, ref_id, ref_vector, score, measure, _keep_all,
-        (BROADCAST_VALUES, BLOCK_ROWS), False,
+        (BROADCAST_VALUES, ALL_PAIRS_ROWS), False,
     )
     return found
 

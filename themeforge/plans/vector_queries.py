@@ -213,12 +213,23 @@ def _(spark, sf):
     refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
     names = ("vec_id", "embedding", "ref_id", "embedding")
     exact = D.nearest(vecs, refs, 10, *names).select("vec_id", "ref_id")
-    probed = D.nearest_probed(vecs, refs, 10, *names).select("vec_id", "ref_id", F.lit(1).alias("hit"))
+    probed = D.nearest_probed(vecs, refs, 10, *names, cells=22).select("vec_id", "ref_id", F.lit(1).alias("hit"))
     return exact.join(probed, ["vec_id", "ref_id"], "left").groupBy("vec_id").agg(
         r6(F.count("hit") / F.count("*"), "recall")
     )
 
 
+@query("nearest_vectors_probing_all_cells", _KNN)
+def _(spark, sf):
+    vecs = vectors(spark, sf)
+    refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
+    found = D.nearest_probed(vecs, refs, 11, "vec_id", "embedding", "ref_id", "embedding", cells=9, probes=9)
+    others = found.filter(F.col("vec_id") != F.col("ref_id")).drop("rank")
+    return top_rows(others, ["vec_id"], [F.round("distance", 6), F.col("ref_id")], 10).select(
+        "vec_id", "ref_id", r6("distance", "distance"), "rank"
+    )
+
+
 _MASS = """p AS (SELECT q.vec_id, r.label, r.vec_id AS ref_id, exp(-0.5 * list_distance(q.e, r.e) ** 2) AS k,
   list_distance(q.e, r.e) AS d FROM v q CROSS JOIN v r),
 mass AS (SELECT vec_id, label, sum(k) AS mass, count(*) AS n FROM p GROUP BY vec_id, label)"""
