@@ -56,9 +56,25 @@ def test_json_maps(spark, tmp_path):
     (tmp_path / "ok.json").write_text(json.dumps({"a": 1.5, "b": 2}))
     rows = S.read_json_map(spark, str(tmp_path / "ok.json"), "token", "score").collect()
     assert sorted(map(tuple, rows)) == [("a", 1.5), ("b", 2.0)]
-    (tmp_path / "bad.json").write_text("[1, 2]")
-    with pytest.raises(PySparkException):
-        S.read_json_map(spark, str(tmp_path / "bad.json"), "token", "score").collect()
+    for i, text in enumerate(("[1, 2]", '{"a": 1} x', '{"a": 1} {"b": 2}', '{"a": 1}\n7', '{"a": {"b": 1}}')):
+        (tmp_path / f"bad{i}.json").write_text(text)
+        with pytest.raises(PySparkException):
+            S.read_json_map(spark, str(tmp_path / f"bad{i}.json"), "token", "score").collect()
+
+
+def test_json_maps_in_both_layouts(spark, tmp_path):
+    data = {"a": 1.5, 'q"}{': 2.0, "line\nbreak": -3.0, "\\": 4.0}
+    for name, text in (
+        ("flat", json.dumps(data)), ("wide", json.dumps(data, indent=2)),
+        ("lines", "\n".join(json.dumps({k: v}) for k, v in data.items()) + "\n"), ("empty", "{}"),
+    ):
+        (tmp_path / name).write_text(text)
+        rows = dict(map(tuple, S.read_json_map(spark, str(tmp_path / name), "token", "score").collect()))
+        assert rows == ({} if name == "empty" else data), name
+    path = fresh_path(spark, "map")
+    frame = spark.createDataFrame(list(data.items()), "token string, score double")
+    S.write_json_map(frame.coalesce(1), path, "token", "score")
+    assert dict(map(tuple, S.read_json_map(spark, path, "token", "score").collect())) == data
 
 
 def test_category_vectors(spark, tmp_path):

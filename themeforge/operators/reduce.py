@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,10 @@ def weighted_draw(
 
 @dataclass
 class CurFactors:
-    """C: (key, j, value); U: (i, j, value); R: (i, token, value); drawn columns and rows."""
+    """C: (key, j, value); U: (i, j, value); R: (i, token, value); drawn columns and rows.
+
+    ``intersection`` and ``core`` are W and U as arrays, r x r at most.
+    """
 
     c: DataFrame
     u: DataFrame
@@ -47,6 +51,8 @@ class CurFactors:
     columns: DataFrame
     rows: DataFrame
     rank: int
+    intersection: np.ndarray
+    core: np.ndarray
 
 
 def core_matrix(w: np.ndarray, cutoff: float = 1e-6) -> np.ndarray:
@@ -56,14 +62,16 @@ def core_matrix(w: np.ndarray, cutoff: float = 1e-6) -> np.ndarray:
     return yt.T @ np.diag(inverse**2) @ x.T
 
 
-def cur(weights: DataFrame, r: int, key: str = "doc_id", seed: int = 42) -> CurFactors:
+def cur(
+    weights: DataFrame, r: int, key: str = "doc_id", seed: int = 42, max_rank: int = MAX_RANK
+) -> CurFactors:
     """CUR factors of a (key, token, weight) table with ``r`` drawn columns and rows.
 
     C and R are joins with the drawn names, scaled by 1 / sqrt(r p). Only the
-    names (r each) and their r x r intersection visit the driver.
+    names (r each) and their r x r intersection visit the driver; ``max_rank`` bounds them.
     """
-    if not 1 <= r <= MAX_RANK:
-        raise ValueError(f"r must lie between 1 and {MAX_RANK}")
+    if not 1 <= r <= max_rank:
+        raise ValueError(f"r must lie between 1 and {max_rank}")
     spark = weights.sparkSession
 
     def drawn(name: str, salt: str, index: str) -> DataFrame:
@@ -84,15 +92,15 @@ def cur(weights: DataFrame, r: int, key: str = "doc_id", seed: int = 42) -> CurF
         weights.join(F.broadcast(columns.select("token", "j")), "token")
         .join(F.broadcast(rows.select(key, "i")), key)
         .select("i", "j", "weight")
-        .collect()
+        .toArrow()
     )
     w = np.zeros((rows.count(), columns.count()))
-    for i, j, value in cells:
-        w[i, j] = value
+    w[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("weight").to_numpy()
     u = core_matrix(w)
-    entries = [(int(i), int(j), float(u[i, j])) for i, j in zip(*np.nonzero(u))]
+    i, j = np.nonzero(u)
+    entries = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "value": u[i, j]})
     u_table = spark.createDataFrame(entries, "i int, j int, value double")
-    return CurFactors(c, u_table, rr, columns, rows, r)
+    return CurFactors(c, u_table, rr, columns, rows, r, w, u)
 
 
 def reduced_vectors(factors: CurFactors, docs: DataFrame, key: str = "doc_id") -> DataFrame:

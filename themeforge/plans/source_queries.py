@@ -79,7 +79,21 @@ WITH {CATEGORIES}, {PAIRS} SELECT category, count(*)::BIGINT AS n FROM pairs GRO
 def _(spark, sf):
     path = fresh_path(spark, "counts")
     S.write_json_map(L.count_categories(multi_label(spark, sf)), path, "category", "n")
-    return S.read_json_entries(spark, path, "category", "n", "long")
+    return S.read_json_map(spark, path, "category", "n", "long")
+
+
+@query("class_folders", """
+WITH t AS (SELECT lang AS class, text || chr(10) AS text, split_part(text, chr(10), 1) AS title FROM documents)
+SELECT class, title, md5(CASE WHEN title = '' THEN text ELSE replace(text, title, '') END) AS body_md5 FROM t""")
+def _(spark, sf):
+    """One file per document in a folder per class, written and scanned."""
+    path = fresh_path(spark, "folders")
+    table(spark, sf, "documents").select("lang", "text").write.option("maxRecordsPerFile", 1).partitionBy(
+        "lang"
+    ).text(path)
+    found = S.read_labeled_text(spark, path)
+    name = F.regexp_replace("class", "^lang=", "")
+    return found.select(name.alias("class"), "title", F.md5("text").alias("body_md5"))
 
 
 @query("event_properties", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from themeforge.functions.scores import exponential, gaussian, log_gaussian
@@ -278,18 +280,53 @@ def _(spark, sf):
     return drawn.select("token", F.round("p", 9).alias("p"), r6("draw_key", "draw_key"))
 
 
-@query("cur_document_vectors")
+_RANK = 40
+
+
+def _drawn(name: str, salt: str, index: str) -> str:
+    """SQL for the drawn names of one side with their probability and number."""
+    hashed = f"(('0x' || substr(md5('42:{salt}:' || {name}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    return f"""{salt}_p AS (SELECT {name}, sq / sum(sq) OVER () AS p
+  FROM (SELECT {name}, sum(weight * weight) AS sq FROM wt GROUP BY {name})),
+{salt}_k AS (SELECT {name}, p, row_number() OVER (ORDER BY -ln({hashed}) / p, {name}) - 1 AS {index} FROM {salt}_p),
+{salt}_d AS (SELECT * FROM {salt}_k WHERE {index} < {_RANK})"""
+
+
+_CUR = f"{TFIDF_ONE}, {_drawn('token', 'column', 'j')}, {_drawn('doc_id', 'row', 'i')}"
+
+
+@query("cur_document_vectors", f"""
+WITH {_CUR}, c AS (SELECT doc_id, sum(weight / sqrt({_RANK} * p)) AS total FROM wt JOIN column_d USING (token) GROUP BY doc_id)
+SELECT doc_id, {_RANK}::INT AS dims, round(coalesce(total, 0), 6) AS total FROM src LEFT JOIN c USING (doc_id)""")
 def _(spark, sf):
     docs, weights = _unigram_weights(spark, sf)
-    reduced = R.reduced_vectors(R.cur(weights, 40), docs)
+    reduced = R.reduced_vectors(R.cur(weights, _RANK), docs)
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
     return reduced.select("doc_id", F.size("vector").alias("dims"), r6(total, "total"))
 
 
-@query("cur_core")
+@query("cur_row_factors", f"""
+WITH {_CUR} SELECT i::INT AS i, token, round(weight / sqrt({_RANK} * p), 6) AS value FROM wt JOIN row_d USING (doc_id)""")
 def _(spark, sf):
     _docs, weights = _unigram_weights(spark, sf)
-    return R.cur(weights, 40).u.select("i", "j", r6("value", "value"))
+    return R.cur(weights, _RANK).r.select("i", "token", r6("value", "value"))
+
+
+@query("cur_core", f"""
+WITH {_CUR}, g AS (SELECT i, j, doc_id, token FROM row_d CROSS JOIN column_d)
+SELECT i::INT AS i, j::INT AS j, round(coalesce(weight, 0), 5) AS value FROM g LEFT JOIN wt USING (doc_id, token)""")
+def _(spark, sf):
+    """The core by an identity: with U = Y S^-2 X^T of W = X S Y^T, (W U W) W^T (W U W) is W."""
+    _docs, weights = _unigram_weights(spark, sf)
+    factors = R.cur(weights, _RANK)
+    w = factors.intersection
+    inner = w @ factors.core @ w
+    found = inner @ w.T @ inner
+    i, j = (x.ravel() for x in np.indices(found.shape))
+    cells = pa.table({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "value": found.ravel()})
+    return spark.createDataFrame(cells, "i int, j int, value double").select(
+        "i", "j", (F.round("value", 5) + F.lit(0.0)).alias("value")
+    )
 
 
 @query("principal_components")

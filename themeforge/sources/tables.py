@@ -130,19 +130,31 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_json_map(
     spark: SparkSession, path: str, key: str, value: str, value_type: str = "double"
 ) -> DataFrame:
-    """(key, value) rows of JSON files that hold one object each; anything else is an error."""
+    """(key, value) rows of JSON maps, saved as one object per file or as one object per line.
+
+    JSON strings hold no raw line breaks, so a line break between ``}`` and ``{`` can
+    only end an object. Whatever else stands in a file is an error.
+    """
     text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
-    checked = F.when(F.trim("value").startswith("{"), parsed).otherwise(
-        F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_metadata.file_path")))
+    where = F.col("_metadata.file_path")
+    pieces = F.split(F.trim(F.regexp_replace("value", r"(\})\s*\n\s*(\{)", "$1\u0000$2")), "\u0000")
+    found = text.filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").select(
+        where.alias("_where"), F.explode(pieces).alias("piece")
     )
-    return text.select(F.explode(checked).alias(key, value))
+    # Outside its strings an object of scalars has one opening and one closing brace.
+    bare = F.regexp_replace("piece", r'"[^"\\]*(?:\\.[^"\\]*)*"', "")
+    whole = bare.rlike(r"^\s*\{[^{}]*\}\s*$")
+    parsed = F.from_json("piece", f"map<string,{value_type}>", {"mode": "FAILFAST"})
+    checked = F.when(whole, parsed).otherwise(
+        F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_where")))
+    )
+    return found.select(F.explode(checked).alias(key, value))
 
 
 def write_json_map(
     df: DataFrame, path: str, key: str, value: str, mode: str = "errorifexists"
 ) -> None:
-    """One JSON object per line with a single entry each, readable by ``read_json_entries``.
+    """One JSON object per line with a single entry each, readable by ``read_json_map``.
 
     A map as large as a vocabulary is not folded into one value; it stays a
     table of entries in many files.
@@ -151,15 +163,6 @@ def write_json_map(
     df.select(entry.alias("value")).write.mode(mode).text(path)
 
 
-def read_json_entries(
-    spark: SparkSession, path: str, key: str, value: str, value_type: str = "double"
-) -> DataFrame:
-    """(key, value) rows from one JSON object per line."""
-    lines = spark.read.text(path)
-    parsed = F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"})
-    return lines.select(F.explode(parsed).alias(key, value))
-
-
 def read_category_vectors(spark: SparkSession, path: str, extra: Sequence[str] = ()) -> DataFrame:
     """Rows (category, embedding, extra...) from files that hold one struct of parallel arrays."""
     numbers = ", ".join(f"`{name}` array<double>" for name in extra)
