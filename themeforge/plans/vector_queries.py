@@ -329,7 +329,30 @@ def _(spark, sf):
     )
 
 
-@query("principal_components")
+def _component(n: int, matrix: str) -> str:
+    """SQL for the first eigenvector of a symmetric matrix: its power by repeated squaring."""
+    return f"""q{n}(k, m) AS (SELECT 0, m FROM {matrix} UNION ALL
+  SELECT k + 1, list_transform(s, lambda r: list_transform(r, lambda x: x / t)) FROM (
+    SELECT k, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) AS t FROM (
+      SELECT k, list_transform(m, lambda r: list_transform(m, lambda q: list_inner_product(r, q))) AS s FROM q{n} WHERE k < 14))),
+r{n} AS (SELECT unnest(m) AS r FROM q{n} WHERE k = 14),
+u{n} AS (SELECT list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS v
+  FROM r{n} ORDER BY list_inner_product(r, r) DESC LIMIT 1),
+e{n} AS (SELECT list_transform(v, lambda x: x * sign(list_max(v) + list_min(v))) AS v FROM u{n})"""
+
+
+@query("principal_components", f"""
+WITH RECURSIVE {_VEC}, x AS (SELECT vec_id, unnest(e) AS x, unnest(range(1, len(e) + 1)) AS i FROM v),
+c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM x),
+cc AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS s FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i),
+mr AS (SELECT i, array_agg(s ORDER BY j) AS r FROM cc GROUP BY i), m1 AS (SELECT array_agg(r ORDER BY i) AS m FROM mr),
+{_component(1, 'm1')},
+w1 AS (SELECT v, m, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS l FROM e1, m1),
+m2 AS (SELECT list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, len(v) + 1),
+  lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM w1),
+{_component(2, 'm2')},
+g AS (SELECT vec_id, array_agg(x ORDER BY i) AS x FROM c GROUP BY vec_id)
+SELECT vec_id, round(list_inner_product(x, e1.v), 6) AS pc1, round(list_inner_product(x, e2.v), 6) AS pc2 FROM g, e1, e2""")
 def _(spark, sf):
     found = R.principal_components(vectors(spark, sf), "vec_id", "embedding", 2)
     return found.select("vec_id", r6("pc1", "pc1"), r6("pc2", "pc2"))
