@@ -7,7 +7,7 @@ weights with Euclidean distance, unit-length weights with 1 / cosine.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,13 @@ from themeforge.operators.centroids import (
     variance_by_class,
 )
 from themeforge.operators.scoring import highest, lowest
-from themeforge.operators.similarity import cosine_from_dot, euclidean_from_dot, sparse_dots
+from themeforge.operators.similarity import (
+    ClassBlocks,
+    class_blocks,
+    cosine_from_dot,
+    euclidean_from_dot,
+    sparse_dots,
+)
 from themeforge.operators.splits import folds, holdout_part
 from themeforge.operators.vocab import term_counts, token_stats
 from themeforge.operators.weights import (
@@ -90,22 +96,43 @@ def class_distances(
     return centroid_distances(docs, weights, centroids, classes, spaces)
 
 
+@dataclass
+class CentroidModel:
+    """Centroids laid out for scoring: their norms (label, csq_<space>) and their blocks."""
+
+    norms: DataFrame
+    blocks: ClassBlocks
+
+
+def centroid_model(
+    centroids: DataFrame, classes: DataFrame, spaces: Sequence[str] = SPACES, staged: bool = False
+) -> CentroidModel:
+    """Lay centroids out; ``staged`` writes the layout once, for use by many batches."""
+    values = {s: _VALUE[s] for s in spaces}
+    norms = centroid_norms(centroids, "label", tuple(values.values())).select(
+        "label", *[F.col(f"sq_{v}").alias(f"csq_{s}") for s, v in values.items()]
+    )
+    blocks = class_blocks(centroids, classes.select(F.col("class").alias("label")), values)
+    if staged:
+        norms = stage(norms, "norms")
+        blocks = replace(blocks, wide=stage(blocks.wide, "blocks"), members=stage(blocks.members, "members"))
+    return CentroidModel(norms, blocks)
+
+
 def centroid_distances(
     docs: DataFrame,
     weights: DataFrame,
     centroids: DataFrame,
     classes: DataFrame,
     spaces: Sequence[str] = SPACES,
+    model: CentroidModel | None = None,
 ) -> DataFrame:
     """(docs columns, label, <space>_distance) from ready centroids (label, token, values)."""
-    values = tuple(_VALUE[s] for s in spaces)
-    norms = centroid_norms(centroids, "label", values).select(
-        "label", *[F.col(f"sq_{_VALUE[s]}").alias(f"csq_{s}") for s in spaces]
-    )
+    model = model or centroid_model(centroids, classes, spaces)
     dots = sparse_dots(
-        docs, weights, centroids, classes.select(F.col("class").alias("label")),
-        {s: (_VALUE[s], _VALUE[s]) for s in spaces},
-    ).join(norms, "label")
+        docs, weights, centroids, classes, {s: (_VALUE[s], _VALUE[s]) for s in spaces},
+        blocks=model.blocks,
+    ).join(model.norms, "label")
     measured = {}
     if "raw" in spaces:
         measured["raw_distance"] = euclidean_from_dot(

@@ -14,16 +14,22 @@ from themeforge.operators.labels import explode_categories
 from themeforge.operators.scoring import lowest
 from themeforge.operators.vocab import term_counts
 from themeforge.operators.weights import tf_idf
-from themeforge.plans.holdout import centroid_distances
+from themeforge.plans.holdout import CentroidModel, centroid_distances, centroid_model
 
 
-def score_batch(docs: DataFrame, vocabulary: DataFrame, centroids: DataFrame, classes: DataFrame) -> DataFrame:
+def score_batch(
+    docs: DataFrame, vocabulary: DataFrame, centroids: DataFrame, classes: DataFrame,
+    model: CentroidModel | None = None,
+) -> DataFrame:
     """(doc_id, predicted, distance): the nearest saved centroid of each document.
 
-    ``vocabulary`` is (token, idf), ``centroids`` (label, token, weight), ``classes`` (class).
+    ``vocabulary`` is (token, idf), ``centroids`` (label, token, weight), ``classes`` (class);
+    ``model`` is their layout, if it was made before.
     """
     weights = tf_idf(term_counts(docs, ngram_range=(1, 2)), vocabulary)
-    distances = centroid_distances(docs.select("doc_id"), weights, centroids, classes, ("raw",))
+    distances = centroid_distances(
+        docs.select("doc_id"), weights, centroids, classes, ("raw",), model
+    )
     return distances.groupBy("doc_id").agg(
         lowest(F.col("raw_distance"), F.col("label")).alias("predicted"),
         F.min("raw_distance").alias("distance"),
@@ -36,11 +42,13 @@ def score_stream(
 ) -> StreamingQuery:
     """Score each micro-batch of (doc_id, text) against a saved model, Parquet per batch id.
 
-    A replayed batch overwrites its own folder, so results appear once.
+    A replayed batch overwrites its own folder, so results appear once. The model is
+    laid out once, before the first batch.
     """
+    model = centroid_model(centroids, classes, ("raw",), staged=True)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_batch(batch, vocabulary, centroids, classes)
+        scored = score_batch(batch, vocabulary, centroids, classes, model)
         scored.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
