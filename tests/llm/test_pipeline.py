@@ -28,7 +28,7 @@ def expected(spark, docs, items):
     labels = {r["doc_id"]: r for r in rows(langid.identify(docs, model))}
     kept = sorted(
         (r["doc_id"], r["text"]) for r in rows(docs)
-        if labels[r["doc_id"]]["lang_pred"] != "und" and labels[r["doc_id"]]["score"] >= 0.5
+        if labels[r["doc_id"]]["lang_pred"] != "und" and labels[r["doc_id"]]["score"] >= 1 / 3
     )
     keys = [k for k, _ in kept]
     label = smallest_reachable(keys, np.array([simhash_of(t) for _, t in kept], np.uint64), 3)

@@ -284,7 +284,7 @@ def identify(
 
 
 def keep_identified(
-    docs: DataFrame, model: dict, min_score: float = 0.5, text: str = "text", penalty: float = 12.0
+    docs: DataFrame, model: dict, min_score: float = 1 / 3, text: str = "text", penalty: float = 12.0
 ) -> DataFrame:
     """The rows, unchanged, whose language is known and holds ``min_score`` of their letters."""
     shared = broadcast_value(docs.sparkSession, model)
