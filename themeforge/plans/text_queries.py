@@ -24,6 +24,7 @@ from themeforge.plans.registry import (
     r6,
     table,
 )
+from themeforge.plans.stem_sql import stem_ctes
 from themeforge.session import ship_package, spread_texts
 
 
@@ -68,7 +69,9 @@ def _(spark, sf):
     )
 
 
-@query("stemmed_words")
+@query("stemmed_words", f"""
+WITH {SRC}, {WORD_LIST}, {UNIGRAMS}, words AS (SELECT token, count(*) AS n FROM tok GROUP BY token), {stem_ctes('words')}
+SELECT stem AS token, sum(n)::BIGINT AS c FROM stems GROUP BY stem""")
 def _(spark, sf):
     counts = V.token_stats(V.term_counts(articles(spark, sf)))
     ship_package(spark)
