@@ -14,12 +14,12 @@ from themeforge.operators import thresholds as T
 from themeforge.operators.dense import nearest
 from themeforge.operators.similarity import own_distances
 from themeforge.operators.splits import head_tail
-from themeforge.operators.vocab import term_counts, token_stats, top_entries
+from themeforge.operators.vocab import corpus_frequency, term_counts, token_stats, top_entries
 from themeforge.operators.weights import fit_idf, row_total, tf_idf
 from themeforge.plans.registry import (
     CATEGORIES,
+    ONE,
     PAIRS,
-    SRC,
     TFIDF_ONE,
     articles,
     embedded,
@@ -124,13 +124,16 @@ def _(spark, sf):
     return E.equal_width_histogram(L.count_categories(parts), "n", 30)
 
 
+_EDGES = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1_000, 10_000, 100_000, 1_000_000_000)
+
+
 @query("word_frequency_histogram", f"""
-WITH {SRC}, s AS (SELECT doc_id, length(text) AS n FROM src)
-SELECT (CASE WHEN n = 500000 THEN 9 ELSE list_sum(list_transform([0, 50, 100, 500, 1000, 5000, 10000, 50000, 100000, 500000],
-  lambda e: (n >= e)::INT)) END)::INT AS bin, count(*)::BIGINT AS n FROM s WHERE n <= 500000 GROUP BY 1""")
+WITH {ONE}, f AS (SELECT token, sum(c) AS n FROM cnt GROUP BY token)
+SELECT (list_sum(list_transform({list(_EDGES)}, lambda e: (n >= e)::INT)))::INT AS bin, count(*)::BIGINT AS n FROM f GROUP BY 1""")
 def _(spark, sf):
-    sizes = articles(spark, sf).select(F.length("text").alias("n"))
-    return E.edge_histogram(sizes, "n", (0, 50, 100, 500, 1000, 5000, 10000, 50000, 100000, 500000))
+    """How many words occur once, two to four times, and so on."""
+    frequency = corpus_frequency(term_counts(articles(spark, sf)))
+    return E.edge_histogram(frequency, "frequency", _EDGES)
 
 
 # ---- sparse category model -----------------------------------------------------------
