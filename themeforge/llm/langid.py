@@ -28,7 +28,9 @@ from themeforge.llm.frames import broadcast_value, map_batches, slices
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-PIECE_CHARS = 1 << 19
+PIECE_CHARS = 1 << 19  # features are computed for so many characters at a time
+GROUP_CHARS = 1 << 22  # and labels found for so many
+EXCLUDED = -1e4  # score of a word in a language that does not use its script
 MAX_LANGUAGES = 1000
 
 # First and last code point of the letters of a script (Unicode blocks).
@@ -211,35 +213,38 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return labels
 
 
+def _scored(texts: list[str | None], weights: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
+    """Scores, text numbers, letters, starts and sizes of the words, some texts or a piece at a time."""
+    for a, b in slices(texts, PIECE_CHARS):
+        group = [t or "" for t in texts[a:b]]
+        parts = [(0, group)] if b - a > 1 else [(o, [p]) for o, p in _pieces(group[0])]
+        for offset, part in parts:
+            w = Words(part)
+            if w.n:
+                score = np.add.reduceat(weights[w.features], w.begin).astype(float)
+                score = np.where(known[w.script], score, EXCLUDED)
+                yield score, w.text + a, w.letters, w.start + offset, w.size
+
+
 def _label(texts: list[str | None], model: dict, penalty: float, with_spans: bool):
     """(language, score, spans) of each text."""
     langs, weights, known = model["langs"], model["weights"], model["known"]
     out: list[tuple[str, float, list]] = [(UNDETERMINED, 0.0, [])] * len(texts)
     if not langs:
         return out
-    for a, b in slices(texts, PIECE_CHARS):
-        group = [t or "" for t in texts[a:b]]
-        parts = [(0, Words(group))] if b - a > 1 else [
-            (o, Words([p])) for o, p in _pieces(group[0])
-        ]
-        parts = [(o, w) for o, w in parts if w.n]
+    for a, b in slices(texts, GROUP_CHARS):
+        parts = list(_scored(texts[a:b], weights, known))
         if not parts:
             continue
-        score = np.concatenate([
-            np.where(known[w.script], np.add.reduceat(weights[w.features], w.begin).astype(float), -1e4)
-            for _, w in parts
-        ])
-        text = np.concatenate([w.text for _, w in parts])
-        letters = np.concatenate([w.letters for _, w in parts])
+        score, text, letters, start, size = (np.concatenate(column) for column in zip(*parts))
         counts = np.bincount(text, minlength=b - a)
         labels = viterbi(score, counts, penalty)
-        share = np.zeros((b - a, len(langs)), np.int64)
-        np.add.at(share, (text, labels), letters)
+        cells = np.bincount(text * len(langs) + labels, letters, (b - a) * len(langs))
+        share = cells.astype(np.int64).reshape(b - a, len(langs))
         whole = share.sum(1)
         best = share.argmax(1)
         if with_spans:
-            start = np.concatenate([o + w.start for o, w in parts])
-            end = start + np.concatenate([w.size for _, w in parts])
+            end = start + size
             edge = np.flatnonzero(np.concatenate(
                 ([True], (np.diff(text) > 0) | (np.diff(labels) != 0))
             ))
