@@ -4,7 +4,7 @@ A paragraph is a line of a text. Its features are the word pairs and triples tha
 in the licence templates, present or not; a multinomial logistic regression (Spark ML)
 tells the families apart, and from paragraphs that are no licence. It is trained on the
 templates, whole and with words left out, and on a bounded sample of ``NEGATIVES``
-paragraphs of the corpus that share less than a fifth of any template. Every fourth row
+different paragraphs of the corpus that share less than a fifth of any template. Every fourth row
 is held out to calibrate the probabilities by one temperature; a paragraph whose likeliest
 family stays below ``LEAST`` is unknown. A prediction counts when a template of the
 family confirms it: enough of its word pairs stand in the paragraph.
@@ -155,14 +155,18 @@ def _positives() -> Iterator[tuple[str, list[int]]]:
 
 
 def _negative_sample(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """The features of the first ``n`` paragraphs in hash order that are like no template.
+    """The features of up to ``n`` different paragraphs, lowest hashes first, that are like no template.
 
-    Each task keeps its first ``n`` only.
+    All lines are counted first. Only those in the share of the hash range that holds about
+    ``2 * n`` of them go on, each different line once, so what is sorted does not grow.
     """
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    chosen = lines.filter(F.length(F.trim("line")) > 0).select(
-        F.xxhash64("line").alias("h"), "line"
-    ).orderBy("h", "line").limit(n)
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    total = docs.agg(F.sum(F.size(lines))).first()[0] or 0
+    spread = docs.select(F.explode(lines).alias("line")).filter(F.length(F.trim("line")) > 0)
+    hashed = spread.select(F.xxhash64("line").alias("h"), "line")
+    if total > 2 * n:
+        hashed = hashed.filter(F.shiftrightunsigned("h", 1) < int(2 * n / total * 2**63))
+    chosen = hashed.distinct().orderBy("h", "line").limit(n)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _features()
