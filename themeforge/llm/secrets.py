@@ -12,8 +12,10 @@ threshold of its class is a secret, unless the allow list suppresses it. Counts
 the entropy as integers (millionths of n * log2(n)), so that it does not depend on the
 order of additions.
 
-A key made of letters only is no candidate class (long words are not secrets); decimal
-digits only are not either.
+Single-case keys with punctuation have classes of their own, whose limits are lower
+because fewer characters spell them; paths and names in one case reach the same entropy,
+so the allow list tells them by their segments. A key without digits is of no class (long
+words and names are not secrets); one without letters is not either.
 
 Defined cases: a null or empty text has no spans; matches of different kinds may overlap
 and all stay; a repeated row is scanned each time. Positions are code points, end
@@ -47,13 +49,30 @@ BLOCK = 256
 CLASSES = (
     ("hex", "^[0-9a-f]+$", ("[0-9]", "[a-f]"), 3.0),
     ("alphanumeric", "^[A-Za-z0-9]+$", ("[0-9]", "[A-Za-z]"), 3.5),
+    ("lower", "^[a-z0-9+/_-]+$", ("[0-9]", "[a-z]"), 3.0),
+    ("upper", "^[A-Z0-9+/_-]+$", ("[0-9]", "[A-Z]"), 3.2),
     ("base64", "^[A-Za-z0-9+/_-]+$", ("[0-9]", "[a-z]", "[A-Z]"), 3.75),
 )
-#: Candidates that are no secrets: examples and placeholders, and names of tables or paths.
+
+
+def _names(vowel: str, consonant: str, letter: str) -> str:
+    """Paths and names: segments that are words or abbreviations with up to two digits, or
+    one or two digits, padded counters, years or dates. Each text fits in one way only."""
+    segment = (
+        f"(({consonant}*{vowel}{letter}*|{consonant}{{1,3}})[0-9]{{0,2}}"
+        "|[0-9]{1,2}|0[0-9]{2,5}|(19|20)[0-9]{2}([01][0-9][0-3][0-9])?)"
+    )
+    return f"^[+/_-]*{segment}([+/_-]+{segment}){{1,64}}[+/_-]*$"
+
+
+#: Candidates that are no secrets: examples and placeholders, UUIDs, and paths or names.
 ALLOWED = (
     "(?i)example|sample|placeholder|dummy|changeme|xxxx",
     "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
+    "^[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12}$",
     "(0123456789|abcdefgh)",
+    _names("[aeiouy]", "[b-df-hj-np-tv-xz]", "[a-z]"),
+    _names("[AEIOUY]", "[B-DF-HJ-NP-TV-XZ]", "[A-Z]"),
 )
 
 _UNITS = 1_000_000
