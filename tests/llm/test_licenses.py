@@ -50,3 +50,22 @@ def test_odd_rows_and_empty_tables(spark):
     assert len(rows(licenses.find_licenses(odd_docs(spark), model))) == odd_docs(spark).count()
     assert found[1]["n_paragraphs"] == found[2]["n_paragraphs"] == found[3]["n_paragraphs"] == 0
     assert not any(r["licenses"] for r in found.values())
+
+
+def test_wrapped_and_dual_notices(spark):
+    wrapped = [
+        "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated "
+        "documentation files, to deal in\nthe Software without restriction, including",
+        "The code.\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted "
+        "provided that the\nfollowing conditions are met:\n\nmore",
+        "you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 2 of the License,\nor any later version.",
+        "Dual: Released under the MIT License. Or licensed under the Apache License, Version 2.0.",
+        "word " * 500 + "Released under the MIT License. " + "word " * 500 + "Released under the BSD 3-Clause License.",
+        "This library is licensed under the GNU Lesser General\nPublic License, version 3.",
+    ]
+    found = rows(licenses.find_licenses(docs_of(spark, wrapped), licenses.train(documents(spark))))
+    shown = {r["doc_id"]: sorted(x["family"] for x in r["licenses"]) for r in found}
+    assert shown == {0: ["mit"], 1: ["bsd"], 2: ["gpl"], 3: ["apache", "mit"], 4: ["bsd", "mit"], 5: ["lgpl"]}
+    held = {r["doc_id"]: r["licenses"] for r in found}
+    assert wrapped[0][held[0][0]["start"] : held[0][0]["end"]].startswith("Permission is hereby granted")

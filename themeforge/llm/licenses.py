@@ -1,6 +1,12 @@
 """Licence scans: a trained paragraph classifier, with templates to confirm it.
 
-A paragraph is a line of a text. Its features are the word pairs and triples that occur
+A paragraph is a line of a text; notices that are wrapped over lines, or that share one
+with others, are found by windows of words. A window a quarter longer than a template slides
+over each run of non-blank lines; where it holds enough of the template, it runs from the
+first to the last word pair of it. Every family so confirmed is reported, once for each
+place, and without asking the classifier; what a line already reported is not repeated.
+
+The features of a paragraph are the word pairs and triples that occur
 in the licence templates, present or not; a multinomial logistic regression (Spark ML)
 tells the families apart, and from paragraphs that are no licence. It is trained on the
 templates, whole and with words left out, and on a bounded sample of ``NEGATIVES``
@@ -82,6 +88,7 @@ TEMPLATES = {
     ),
 }
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_WORD_IN_TEXT = re.compile(_WORD.pattern, re.IGNORECASE | re.ASCII)
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -129,6 +136,76 @@ def confirmed(features: list[int], family: str) -> float:
     )
 
 
+@cache
+def _windows() -> dict[str, tuple[tuple[str, frozenset[str], int], ...]]:
+    """By n-gram, the templates that hold it: family, n-grams and number of words."""
+    by_gram: dict[str, list] = {}
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            words = words_of(t)
+            entry = (family, frozenset(grams_of(words)), len(words))
+            for g in entry[1]:
+                by_gram.setdefault(g, []).append(entry)
+    return {g: tuple(v) for g, v in by_gram.items()}
+
+
+def blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the runs of consecutive lines that are not blank."""
+    start = end = None
+    for a, b in paragraphs(text):
+        if end is not None and a == end + 1:
+            end = b
+            continue
+        if start is not None:
+            yield start, end
+        start, end = a, b
+    if start is not None:
+        yield start, end
+
+
+def notices(text: str, start: int, end: int, confirm: float) -> list[tuple[int, int, str, float]]:
+    """(start, end, family, share) of the templates held by windows of words of a block.
+
+    Where windows of one family overlap, the one with the greatest share counts; a family
+    whose notice lies inside a better one of another family is not reported.
+    """
+    known = _feature_words()
+    spots = [(m.start(), m.end(), m.group().lower()) for m in _WORD_IN_TEXT.finditer(text, start, end)]
+    words = [w for _, _, w in spots]
+    if sum(w in known for w in words) < 2:
+        return []
+    places: dict[tuple, list[tuple[int, int, str]]] = {}
+    by_gram = _windows()
+    for size in (2, 3):
+        for i in range(len(words) - size + 1):
+            g = " ".join(words[i : i + size])
+            for entry in by_gram.get(g, ()):
+                places.setdefault(entry, []).append((i, i + size, g))
+    found = []
+    for (family, grams, length), hits in places.items():
+        hits.sort()
+        low = 0
+        counts: dict[str, int] = {}
+        for at, (_, last, g) in enumerate(hits):
+            counts[g] = counts.get(g, 0) + 1
+            # a window of a quarter more words than the template has
+            while hits[low][0] < last - length - length // 4:
+                gone = hits[low][2]
+                counts[gone] -= 1
+                if not counts[gone]:
+                    del counts[gone]
+                low += 1
+            share = len(counts) / len(grams)
+            if share >= confirm:
+                ends = max(h[1] for h in hits[low : at + 1])
+                found.append((share, spots[hits[low][0]][0], spots[ends - 1][1], family))
+    kept: list[tuple[int, int, str, float]] = []
+    for share, a, b, family in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1], x[3])):
+        if all(b <= c or d <= a for c, d, _, _ in kept):
+            kept.append((a, b, family, share))
+    return sorted(kept)
+
+
 def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
     """Places of the lines of a text that are not blank."""
     at = 0
@@ -269,6 +346,17 @@ def find_licenses(
                             "start": a, "end": b, "family": family, "probability": probability,
                             "template_share": share,
                         })
+                lines = list(found)
+                for start, end in blocks(text):
+                    for a, b, family, share in notices(text, start, end, confirm):
+                        if any(x["family"] == family and x["start"] < b and a < x["end"] for x in lines):
+                            continue
+                        _, probability = classify(features_of(text[a:b]), model)
+                        found.append({
+                            "start": a, "end": b, "family": family, "probability": probability,
+                            "template_share": share,
+                        })
+                found.sort(key=lambda x: (x["start"], x["end"], x["family"]))
                 counts.append(n)
                 predicted.append(hits)
                 licenses.append(found)
