@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeforge.llm import (
-    bpe, chat, decontaminate, langid, licenses, pii, secrets, shards, simhash, topk,
+    bpe, chat, decontaminate, langid, licenses, pieces, pii, secrets, shards, simhash, topk,
 )
 from themeforge.llm.sql import ORACLES
 
@@ -150,6 +150,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids of each document and of what they decode to."""
+    return pieces.encode_and_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(QUERIES.items()))
 
