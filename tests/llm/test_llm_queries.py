@@ -15,13 +15,16 @@ import __spark_entry__ as entry  # noqa: E402
 from themeforge.llm.queries import oracles, registered  # noqa: E402
 
 
+OTHER_TABLES = ("op1_top_k", "op7_chat", "op12_prefix_trie")
+
+
 @pytest.fixture(scope="module")
 def duck():
     return compare.connect(SF)
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in registered()} == {f"op{i}" for i in (*range(1, 11), 13)}
+    assert {n.split("_")[0] for n in registered()} == {f"op{i}" for i in range(1, 14)}
     assert set(registered()) | {"pipeline"} <= set(entry.queries())
     assert set(oracles()) <= set(entry.oracle_sql())
 
@@ -96,7 +99,7 @@ def test_languages(spark):
 
 def test_every_document_is_answered(spark):
     for name in registered():
-        if name not in ("op1_top_k", "op7_chat"):
+        if name not in OTHER_TABLES:
             assert set(by_id(spark, name)) == set(texts(spark)), name
 
 
@@ -104,5 +107,5 @@ def test_odd_documents_pass_the_queries(spark, tmp_path):
     odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "here and there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, run in registered().items():
-        if name not in ("op1_top_k", "op7_chat"):
+        if name not in OTHER_TABLES:
             assert run(spark, str(tmp_path)).count() == odd_docs(spark).count(), name

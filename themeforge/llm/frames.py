@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from themeforge.session import ship_package
 
@@ -49,3 +50,16 @@ def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)
     ]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def join_by_share(rows: DataFrame, table: DataFrame, on: list[str], share: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with a table of unique keys, where a few keys may have most rows.
+
+    ``share`` is the column of ``table`` with the number of rows that have its key, and
+    ``total`` is at least the number of rows. Keys with more than a thousandth of the rows
+    are fewer than a thousand, so they are broadcast; the rows of the others are shuffled.
+    """
+    often = F.col(share) * 1000 > total
+    hot, others = F.broadcast(table.filter(often).drop(share)), table.filter(~often).drop(share)
+    spread = rows.join(hot.select(on), on, "left_anti").join(others, on, "left")
+    return rows.join(hot, on).unionByName(spread)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeforge.llm import (
-    bpe, chat, decontaminate, langid, licenses, pieces, pii, secrets, shards, simhash, topk,
+    bpe, chat, decontaminate, langid, licenses, merkle, pieces, pii, secrets, shards, simhash, topk, trie,
 )
 from themeforge.llm.sql import ORACLES
 
@@ -150,6 +150,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and which of them fail after line ends were deleted."""
+    text = F.col("text")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(chosen, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.manifest(table(spark, sf_dir, "documents"), fields, {"text": tampered})
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the conversations, each rebuilt with the first turns of its block."""
+    return trie.prefix_trie(trie.with_heads(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 @query
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the piece ids of each document and of what they decode to."""

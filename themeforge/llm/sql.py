@@ -6,6 +6,7 @@ from themeforge.llm.decontaminate import LOWER, UPPER, WORD_PATTERN, WINDOW_WORD
 from themeforge.llm.secrets import (
     _N_LOG, _limit, ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, WINDOW,
 )
+from themeforge.llm.trie import WORD
 
 ORACLES: dict[str, str] = {}
 
@@ -126,3 +127,89 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
     coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
     coalesce(spans, '') AS spans
 FROM src LEFT JOIN lists USING (doc_id)"""
+
+
+def _crc32(digits: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    step = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    chars = f"list_transform(string_split({digits}, ''), lambda c: ascii(c)::BIGINT)"
+    return (
+        f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {chars}), "
+        f"lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, i: {step})))"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}, '-')"
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+_UP = """SELECT {keys}, l + 1 AS l, list_transform(range(0, (len(nodes) + 2) // 3),
+        lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) AS nodes
+    FROM {name} WHERE len(nodes) > 1"""
+_CLIMB = """SELECT c.{key}, c.l + 1 AS l, c.p // 3 AS p,
+        sha256(array_to_string(list_concat(t.nodes[3 * (c.p // 3) + 1:c.p], [c.fold], t.nodes[c.p + 2:3 * (c.p // 3) + 3]), '')) AS fold,
+        array_to_string(list_concat(t.nodes[3 * (c.p // 3) + 1:c.p], t.nodes[c.p + 2:3 * (c.p // 3) + 3]), '') AS sib"""
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE hashed AS (
+    SELECT row_number() OVER () AS k, doc_id, source,
+        sha256({' || '.join(map(_field, (*_FIELDS, 'text')))}) AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND {_crc32('doc_id::VARCHAR')} % 2 = 0
+            THEN sha256({' || '.join(map(_field, (*_FIELDS, "replace(text, chr(10), '')")))})
+            ELSE sha256({' || '.join(map(_field, (*_FIELDS, 'text')))}) END AS found
+    FROM documents),
+placed AS (
+    SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS s,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS p FROM hashed),
+lower_levels AS (
+    SELECT s, 0 AS l, list(leaf ORDER BY p) AS nodes FROM placed GROUP BY s
+    UNION ALL {_UP.format(keys='s', name='lower_levels')}),
+subroots AS (SELECT s, nodes[1] AS subroot FROM lower_levels WHERE len(nodes) = 1),
+upper_levels AS (
+    SELECT 0 AS t, 0 AS l, list(subroot ORDER BY s) AS nodes FROM subroots
+    UNION ALL {_UP.format(keys='t', name='upper_levels')}),
+inner_climb AS (
+    SELECT k, s, 0 AS l, p, found AS fold, '' AS sib FROM placed
+    UNION ALL {_CLIMB.format(key='k, c.s')} FROM inner_climb c JOIN lower_levels t ON t.s = c.s AND t.l = c.l
+    WHERE len(t.nodes) > 1),
+outer_climb AS (
+    SELECT k, 0 AS l, s AS p, arg_max(fold, l) AS fold, '' AS sib FROM inner_climb GROUP BY k, s
+    UNION ALL {_CLIMB.format(key='k')} FROM outer_climb c JOIN upper_levels t ON t.l = c.l
+    WHERE len(t.nodes) > 1),
+proofs AS (
+    SELECT k, string_agg(sib, '' ORDER BY part, l) AS proof FROM (
+        SELECT k, 0 AS part, l, sib FROM inner_climb UNION ALL SELECT k, 1, l, sib FROM outer_climb) GROUP BY k),
+folds AS (SELECT k, arg_max(fold, l) AS folded_root FROM outer_climb GROUP BY k),
+top AS (SELECT nodes[1] AS root FROM upper_levels WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN subroots USING (s) JOIN proofs USING (k) JOIN folds USING (k), top"""
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH own AS (
+    SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, s, c - c % 20 AS base, ({_crc32('c::VARCHAR')} % 4)::BIGINT AS h FROM own),
+rebuilt AS (
+    SELECT h.c, list_concat(coalesce(b.s, [])[1:h.h], h.s[h.h + 1:]) AS s
+    FROM h LEFT JOIN own b ON b.c = h.base),
+inside AS (
+    SELECT c, s[1:d] AS node, d, len(s) = d AS whole
+    FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT node, d, min(c) AS c, count(*) AS n,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (whole), '')) AS ends,
+        CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) *
+            len(regexp_extract_all(node[d].t, '{WORD}')) END AS saved
+    FROM inside GROUP BY node, d),
+linked AS (
+    SELECT x.*, p.c AS parent FROM nodes x LEFT JOIN nodes p ON x.d > 0 AND p.d = x.d - 1 AND p.node = x.node[1:x.d - 1]),
+kids AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (
+    SELECT node[1:a] AS node, a AS d, sum(saved) AS saved, count(*) FILTER (n_children IS NULL) AS leaves FROM (
+        SELECT x.node, x.saved, k.n_children, unnest(range(0, x.d + 1)) AS a
+        FROM nodes x LEFT JOIN kids k ON k.d = x.d AND k.node = x.node) GROUP BY ALL)
+SELECT x.c::BIGINT AS conv_id, x.d::BIGINT AS depth, x.parent::BIGINT AS parent_conv_id, x.n::BIGINT AS n_convs,
+    coalesce(k.n_children, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+    b.saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM linked x LEFT JOIN kids k ON k.d = x.d AND k.node = x.node JOIN below b ON b.d = x.d AND b.node = x.node"""
