@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from themeforge.functions.scores import exponential, gaussian, log_gaussian
 from themeforge.functions.vectors import drop_positions, unit
+from themeforge.operators import cells as K
 from themeforge.operators import centroids as C
 from themeforge.operators import dense as D
 from themeforge.operators import labels as L
@@ -208,16 +209,49 @@ def _(spark, sf):
     return _neighbours(spark, sf, broadcast_values=1, block_rows=200)
 
 
-@query("probed_neighbour_recall")
+@query("nearest_vectors_by_cells", _KNN)
 def _(spark, sf):
-    """Of the ten exact neighbours, how many the probed search finds, per vector."""
+    """The exact neighbours, visiting only the cells within each vector's reach."""
     vecs = vectors(spark, sf)
+    found = K.search(vecs, _cells(vecs), 11, "vec_id", "embedding")
+    others = found.filter(F.col("vec_id") != F.col("ref_id")).drop("rank")
+    return top_rows(others, ["vec_id"], [F.round("distance", 6), F.col("ref_id")], 10).select(
+        "vec_id", "ref_id", r6("distance", "distance"), "rank"
+    )
+
+
+def _cells(vecs):
     refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
-    names = ("vec_id", "embedding", "ref_id", "embedding")
-    exact = D.nearest(vecs, refs, 10, *names).select("vec_id", "ref_id")
-    probed = D.nearest_probed(vecs, refs, 10, *names, cells=22).select("vec_id", "ref_id", F.lit(1).alias("hit"))
+    return K.build_cells(refs, "ref_id", "embedding", cells=22)
+
+
+def _recall(spark, sf):
+    """(vec_id, hits, wanted): of the ten exact neighbours, how many the probed search finds."""
+    vecs = vectors(spark, sf)
+    index, names = _cells(vecs), ("vec_id", "embedding")
+    refs = vecs.select(F.col("vec_id").alias("ref_id"), "embedding")
+    probes = K.learn_probes(vecs, index, 10, *names)
+    probed = K.search_probed(vecs, index, 10, *names, probes=probes).select("vec_id", "ref_id", F.lit(1).alias("hit"))
+    exact = D.nearest(vecs, refs, 10, *names, "ref_id", "embedding").select("vec_id", "ref_id")
     return exact.join(probed, ["vec_id", "ref_id"], "left").groupBy("vec_id").agg(
-        r6(F.count("hit") / F.count("*"), "recall")
+        F.count("hit").alias("hits"), F.count("*").alias("wanted")
+    )
+
+
+@query("probed_neighbour_recall")
+def _(spark, sf):
+    """The recall of the probed search per vector."""
+    return _recall(spark, sf).select("vec_id", r6(F.col("hits") / F.col("wanted"), "recall"))
+
+
+@query("probed_recall_reached", f"""
+WITH {_VEC} SELECT count(*)::BIGINT AS vectors, sum(least(10, n))::BIGINT AS neighbours, true AS reached
+FROM v, (SELECT count(*) AS n FROM v)""")
+def _(spark, sf):
+    """Whether the probed search finds nine tenths of all exact neighbours, the vector itself included."""
+    return _recall(spark, sf).agg(
+        F.count("*").alias("vectors"), F.sum("wanted").alias("neighbours"),
+        (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("reached"),
     )
 
 
