@@ -1,10 +1,10 @@
 import re
 
 import corpus_pipeline
-import numpy as np
-from helpers import SF, documents, odd_docs, rows, simhash_of, smallest_reachable
+from helpers import SF, documents, odd_docs, rows
 from test_bpe import digests
 from test_decontaminate import plain
+from test_near_copies import plain_kept
 from test_secrets import plain_base, plain_entropy
 
 from themeforge.llm import langid
@@ -14,11 +14,16 @@ def masked(text):
     spans = sorted(
         [s for own in plain_base(text).values() for s in own] + plain_entropy(text)
     )
-    out, at = [], 0
+    united = []
     for a, b in spans:
-        if a >= at:
-            out += [text[at:a], "[SECRET]"]
-        at = max(at, b)
+        if united and a < united[-1][1]:
+            united[-1][1] = max(b, united[-1][1])
+        else:
+            united.append([a, b])
+    out, at = [], 0
+    for a, b in united:
+        out += [text[at:a], "[SECRET]"]
+        at = b
     return "".join([*out, text[at:]])
 
 
@@ -30,9 +35,8 @@ def expected(spark, docs, items):
         (r["doc_id"], r["text"]) for r in rows(docs)
         if labels[r["doc_id"]]["lang_pred"] != "und" and labels[r["doc_id"]]["score"] >= 1 / 3
     )
-    keys = [k for k, _ in kept]
-    label = smallest_reachable(keys, np.array([simhash_of(t) for _, t in kept], np.uint64), 3)
-    kept = [(k, t) for k, t in kept if label[k] == k]
+    alone = plain_kept(dict(kept))
+    kept = [(k, t) for k, t in kept if k in alone]
     hits = plain([t for _, t in kept], items)
     kept = [(k, t) for (k, t), h in zip(kept, hits) if not h[1]]
     return {k: {"doc_id": k, **digests(masked(t))} for k, t in kept}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,22 @@ def slices(texts: list[str | None], most_chars: int) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def text_parts(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most_bytes`` of text together, before they become Python strings.
+
+    A longer text forms a part of its own.
+    """
+    lens = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, n in enumerate(lens.tolist()):
+        if i > start and held + n > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lens):
+        yield batch.slice(start)
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A batch of the schema's types from plain columns."""
     arrays = [

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeforge.llm.frames import broadcast_value, map_batches, slices
+from themeforge.llm.frames import broadcast_value, map_batches, slices, text_parts
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 PIECE_CHARS = 1 << 19  # features are computed for so many characters at a time
-GROUP_CHARS = 1 << 22  # and labels found for so many
+GROUP_CHARS = 1 << 20  # and labels found for so many
 EXCLUDED = -1e4  # score of a word in a language that does not use its script
 MAX_LANGUAGES = 1000
 
@@ -122,7 +122,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole, 1, GROUP_CHARS)):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in dict.fromkeys(langs):
                 own = [t for n, t in zip(langs, texts) if n == name]
@@ -269,7 +269,7 @@ def identify(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole, 1, GROUP_CHARS)):
             found = _label(batch.column(1).to_pylist(), shared.value, penalty, with_spans)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -296,7 +296,7 @@ def keep_identified(
     place = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_parts(whole, place, GROUP_CHARS)):
             found = _label(batch.column(place).to_pylist(), shared.value, penalty, False)
             keep = [lang != UNDETERMINED and score >= min_score for lang, score, _ in found]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeforge.llm.frames import broadcast_value, map_batches, slices
+from themeforge.llm.frames import broadcast_value, map_batches, slices, text_parts
 
 SPACE = "▁"
 GROUP_CHARS = 2_000_000
@@ -433,13 +433,11 @@ def encode(
         model = shared.value
         encoder, make = Encoder(model), finish(model)
         for batch in batches:
-            sizes = batch.column(1).fill_null("")
-            lens = pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False)
-            for a, b in _ranges(lens, GROUP_CHARS):
-                rows = [make(ids) for ids in encoder.encode(sizes.slice(a, b - a).to_pylist())]
+            for part in text_parts(batch, 1, GROUP_CHARS):
+                rows = [make(ids) for ids in encoder.encode(part.column(1).to_pylist())]
                 columns = [pa.array([r[k] for r in rows], f[2]) for k, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *columns], ["id", *[f[0] for f in fields]]
+                    [part.column(0), *columns], ["id", *[f[0] for f in fields]]
                 )
 
     kind = slim.schema["id"].dataType.simpleString()
@@ -447,18 +445,6 @@ def encode(
     return map_batches(slim, work, schema).withColumnRenamed("id", id)
 
 
-def _ranges(lens: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive rows of about ``most`` bytes together, before they become Python strings."""
-    start = held = 0
-    for i, n in enumerate(lens.tolist()):
-        if i > start and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(lens):
-        yield start, len(lens)
-
-
 def encode_and_decode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of what they decode to."""
     return encode(docs, path, _digests, DIGESTS, id, text)
