@@ -208,8 +208,32 @@ def _on_value(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda span: test(span["value"])
 
 
-def _masked(test: Callable[[Column], Column] | None, mask: str) -> Callable[[Column], Column]:
-    return lambda m: F.when(test(m), F.lit(mask)).otherwise(m) if test else F.lit(mask)
+def _ends(span: Column) -> Column:
+    return F.struct(span["start"].alias("start"), span["end"].alias("end"))
+
+
+def _united(spans: Column) -> Column:
+    """Sorted spans with those that overlap as one."""
+
+    def step(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (F.try_element_at(done, F.lit(-1))["end"] <= span["start"])
+        return F.when(apart, F.concat(done, F.array(span))).otherwise(
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))
+        )
+
+    return F.aggregate(spans, F.array().cast("array<struct<start: int, end: int>>"), step)
+
+
+def _with_masks(text: Column, spans: Column, mask: str) -> Column:
+    """The text with every span, which are apart and in order, replaced by the mask."""
+    before = F.transform(spans, lambda s, i: F.struct(
+        F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0)).alias("start"), s["start"].alias("end")
+    ))
+    kept = F.transform(before, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    rest = F.substring(text, F.try_element_at(spans, F.lit(-1))["end"] + 1, F.length(text))
+    return F.concat(F.array_join(kept, mask), F.lit(mask), rest)
 
 
 def _named(k: int, name: str) -> Callable[[Column], Column]:
@@ -242,19 +266,23 @@ def listed(*names: str) -> Column:
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars", mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every secret in ``text`` replaced by ``mask``; ``length`` is renewed.
 
-    Kinds are taken in turn, so that what one kind replaced is no part of the next.
-    Texts without secrets, null texts and all other columns stay as they are.
+    Spans of all kinds are found in the original text; those that overlap are one, with one
+    mask, so no character of a reported span stays. Texts without secrets, null texts and
+    all other columns stay as they are.
     """
     # The row travels as one value, so that no column of it can clash.
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("now"))
-    for name, pattern, test in KINDS:
-        out = _matches(out, "k", pattern, "now")
-        kept = F.transform(F.col("k_m"), _masked(test, mask))
-        joined = F.array_join(
-            F.zip_with("k_p", F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
-        )
-        now = F.when(F.size("k_m") > 0, joined).otherwise(F.col("now"))
-        out = out.select("row", now.alias("now"))
+    given = F.coalesce(F.col(text), F.lit(""))
+    out = docs.select(F.struct(*docs.columns).alias("row"), given.alias("text"))
+    for name, pattern, _ in KINDS:
+        out = _matches(out, name, pattern)
+    for name, _, test in KINDS:
+        out = _spans(out, name).drop(f"{name}_m", f"{name}_p")
+        if test:
+            out = out.withColumn(name, F.filter(name, _on_value(test)))
+    spans = F.flatten(F.array(*[F.transform(name, _ends) for name, _, _ in KINDS]))
+    out = out.withColumn("spans", _united(F.array_sort(spans)))
+    masked = F.when(F.size("spans") > 0, _with_masks(F.col("text"), F.col("spans"), mask))
+    out = out.select("row", F.coalesce(masked, F.col("row")[text]).alias("now"))
     columns = []
     for c in docs.columns:
         if c == text:
