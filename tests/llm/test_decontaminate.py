@@ -17,15 +17,17 @@ def plain(texts, items, n=10):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is not None and w:
+        if w:
             for i in range(max(1, len(w) - n + 1)):
-                windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+                named = windows.setdefault(tuple(w[i : i + n]), set())
+                named |= set() if item is None else {str(item)}
     out = []
     for text in texts:
         w, hit, found = words(text), set(), set()
         for size in {len(k) for k in windows}:
             for i in range(len(w) - size + 1):
-                if names := windows.get(tuple(w[i : i + size])):
+                names = windows.get(tuple(w[i : i + size]))
+                if names is not None:
                     hit.update(range(i, i + size))
                     found |= names
         out.append((len(w), sorted(hit), sorted(found)))
@@ -77,6 +79,13 @@ def test_clean_rows_stay_unchanged(spark, most):
     assert all(r["text"] == TEXTS[r["doc_id"]] for r in kept)
 
 
+def test_items_without_an_id_hit_too(spark):
+    found = {r["doc_id"]: shown(r) for r in rows(decontaminate.scan(docs_of(spark, TEXTS), benchmark(spark, ITEMS)))}
+    assert found[6] == (3, [0, 1, 2], [])
+    kept = rows(decontaminate.keep_clean(docs_of(spark, TEXTS), benchmark(spark, ITEMS)))
+    assert 6 not in {r["doc_id"] for r in kept}
+
+
 def test_empty_tables_and_clashing_columns(spark):
     none = benchmark(spark, [])
     assert all(not r["items"] for r in rows(decontaminate.scan(odd_docs(spark), none)))

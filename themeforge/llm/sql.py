@@ -17,7 +17,7 @@ def _words(text: str) -> str:
 
 ORACLES["op2_decontamination"] = f"""
 WITH items AS (
-    SELECT item_id::VARCHAR AS item, {_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    SELECT item_id::VARCHAR AS item, {_words('text')} AS w FROM benchmark),
 starts AS (
     SELECT item, w, least(len(w), {WINDOW_WORDS}) AS n,
         unnest(range(1, greatest(len(w) - {WINDOW_WORDS} + 1, 1) + 1)) AS i
