@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from themeforge.functions.scores import exponential, gaussian, log_gaussian
 from themeforge.functions.vectors import drop_positions, unit
+from themeforge.operators import batch_cur as BC
 from themeforge.operators import cells as K
 from themeforge.operators import centroids as C
 from themeforge.operators import dense as D
@@ -317,13 +318,13 @@ def _(spark, sf):
 _RANK = 40
 
 
-def _drawn(name: str, salt: str, index: str) -> str:
+def _drawn(name: str, salt: str, index: str, rank: int = _RANK) -> str:
     """SQL for the drawn names of one side with their probability and number."""
     hashed = f"(('0x' || substr(md5('42:{salt}:' || {name}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
     return f"""{salt}_p AS (SELECT {name}, sq / sum(sq) OVER () AS p
   FROM (SELECT {name}, sum(weight * weight) AS sq FROM wt GROUP BY {name})),
 {salt}_k AS (SELECT {name}, p, row_number() OVER (ORDER BY -ln({hashed}) / p, {name}) - 1 AS {index} FROM {salt}_p),
-{salt}_d AS (SELECT * FROM {salt}_k WHERE {index} < {_RANK})"""
+{salt}_d AS (SELECT * FROM {salt}_k WHERE {index} < {rank})"""
 
 
 _CUR = f"{TFIDF_ONE}, {_drawn('token', 'column', 'j')}, {_drawn('doc_id', 'row', 'i')}"
@@ -363,6 +364,86 @@ def _(spark, sf):
     )
 
 
+_BATCH_RANK = 20
+
+
+def _batch_drawn(name: str, salt: str, index: str) -> str:
+    """SQL for the drawn names of one side of each batch."""
+    hashed = f"(('0x' || substr(md5('42:{salt}:' || {name}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+    return f"""{salt}_p AS (SELECT batch, {name}, sq / sum(sq) OVER (PARTITION BY batch) AS p
+  FROM (SELECT batch, {name}, sum(weight * weight) AS sq FROM bw GROUP BY batch, {name})),
+{salt}_d AS (SELECT batch, {name}, p, row_number() OVER (PARTITION BY batch ORDER BY -ln({hashed}) / p, {name}) - 1 AS {index}
+  FROM {salt}_p QUALIFY {index} < {_BATCH_RANK})"""
+
+
+_BATCHES = f"""{TFIDF_ONE}, b AS (SELECT doc_id, source || '-' ||
+  ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {BC.BATCH_ROWS})::VARCHAR AS batch FROM src),
+bw AS (SELECT batch, doc_id, token, weight FROM wt JOIN b USING (doc_id))"""
+
+
+def _batch_factors(spark, sf):
+    docs, weights = _unigram_weights(spark, sf)
+    batches = stage(BC.batches_of(docs, "doc_id", "source"), "batches")
+    return batches, BC.cur_by_batch(weights.join(batches, "doc_id"), _BATCH_RANK)
+
+
+@query("cur_batch_vectors", f"""
+WITH {_BATCHES}, {_batch_drawn('token', 'column', 'j')},
+c AS (SELECT batch, doc_id, sum(weight / sqrt({_BATCH_RANK} * p)) AS total FROM bw JOIN column_d USING (batch, token) GROUP BY batch, doc_id)
+SELECT batch, doc_id, {_BATCH_RANK}::INT AS dims, round(coalesce(total, 0), 6) AS total FROM b LEFT JOIN c USING (batch, doc_id)""")
+def _(spark, sf):
+    batches, factors = _batch_factors(spark, sf)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return BC.batch_vectors(factors, batches, _BATCH_RANK).select(
+        "batch", "doc_id", F.size("vector").alias("dims"), r6(total, "total")
+    )
+
+
+@query("cur_batch_rows", f"""
+WITH {_BATCHES}, {_batch_drawn('doc_id', 'row', 'i')}
+SELECT batch, i::INT AS i, doc_id, token, round(weight / sqrt({_BATCH_RANK} * p), 6) AS value FROM bw JOIN row_d USING (batch, doc_id)""")
+def _(spark, sf):
+    _batches, factors = _batch_factors(spark, sf)
+    factors = stage(factors, "batch-factors")
+    rows = factors.filter("part = 'row'").select("batch", "i", "doc_id")
+    values = factors.filter("part = 'r'").select("batch", "i", "token", r6("value", "value"))
+    return rows.join(values, ["batch", "i"]).select("batch", "i", "doc_id", "token", "value")
+
+
+_RANKS = (1, 2, 5, 10)
+
+
+def _augmented(side: str, gram: str, cross: str) -> str:
+    """SQL for a Gram matrix with a matrix beside it, as lists, for each rank."""
+    return f"""{side}_rows AS (SELECT r, x.i, list_concat(list(coalesce(g.x, 0) ORDER BY x.j), list(coalesce(m.x, 0) ORDER BY x.j)) AS a
+  FROM cells x LEFT JOIN {gram} g ON g.i = x.i AND g.j = x.j LEFT JOIN m ON {cross} GROUP BY r, x.i),
+{side} AS (SELECT '{side}' AS side, r, list(a ORDER BY i) AS a FROM {side}_rows GROUP BY r)"""
+
+
+@query("cur_errors", f"""
+WITH RECURSIVE {TFIDF_ONE}, {_drawn('token', 'column', 'j', max(_RANKS))}, {_drawn('doc_id', 'row', 'i', max(_RANKS))},
+c AS (SELECT doc_id, j, weight AS w FROM wt JOIN column_d USING (token)),
+rr AS (SELECT i, token, weight AS w FROM wt JOIN row_d USING (doc_id)),
+gc AS (SELECT a.j AS i, b.j, sum(a.w * b.w) AS x FROM c a JOIN c b USING (doc_id) GROUP BY a.j, b.j),
+gr AS (SELECT a.i, b.i AS j, sum(a.w * b.w) AS x FROM rr a JOIN rr b USING (token) GROUP BY a.i, b.i),
+s AS (SELECT wt.doc_id, rr.i, sum(wt.weight * rr.w) AS w FROM wt JOIN rr USING (token) GROUP BY wt.doc_id, rr.i),
+m AS (SELECT c.j AS i, s.i AS j, sum(c.w * s.w) AS x FROM c JOIN s USING (doc_id) GROUP BY c.j, s.i),
+ranks AS (SELECT unnest({list(_RANKS)}) AS r), ids AS (SELECT r, unnest(range(0, r)) AS i FROM ranks),
+cells AS (SELECT r, a.i, b.i AS j FROM ids a JOIN ids b USING (r)),
+{_augmented('left_side', 'gc', 'm.i = x.i AND m.j = x.j')},
+{_augmented('right_side', 'gr', 'm.i = x.j AND m.j = x.i')},
+solved AS (SELECT side, r, 1 AS k, a FROM (SELECT * FROM left_side UNION ALL SELECT * FROM right_side) UNION ALL
+  SELECT side, r, k + 1, list_transform(range(1, r + 1), lambda i: CASE WHEN i = k THEN list_transform(a[k], lambda x: x / a[k][k])
+    ELSE list_transform(range(1, 2 * r + 1), lambda j: a[i][j] - a[i][k] * a[k][j] / a[k][k]) END) FROM solved WHERE k <= r),
+held AS (SELECT r, list_sum(list_transform(range(1, r + 1), lambda i:
+    list_sum(list_transform(range(1, r + 1), lambda j: x.a[i][r + j] * z.a[j][r + i])))) AS h
+  FROM solved x JOIN solved z USING (r, k) WHERE x.side = 'left_side' AND z.side = 'right_side' AND k = r + 1)
+SELECT r::INT AS rank, round(sqrt(greatest(0, 1 - h / (SELECT sum(weight * weight) FROM wt))), 6) AS error FROM held""")
+def _(spark, sf):
+    _docs, weights = _unigram_weights(spark, sf)
+    return BC.rebuilding_errors(weights, _RANKS).select("rank", r6("error", "error"))
+
+
 def _component(n: int, matrix: str) -> str:
     """SQL for the first eigenvector of a symmetric matrix: its power by repeated squaring."""
     return f"""q{n}(k, m) AS (SELECT 0, m FROM {matrix} UNION ALL
