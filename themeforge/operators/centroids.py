@@ -87,10 +87,10 @@ def category_centroids(
 
 
 def variance_by_class(
-    distances: DataFrame, own: Column, label: str, values: tuple[str, ...] = ("distance",)
+    distances: DataFrame, own: Column, label: str | list[str], values: tuple[str, ...] = ("distance",)
 ) -> DataFrame:
     """(label, var_<value>): population variance of the distances where ``own`` holds."""
-    return distances.filter(own).groupBy(label).agg(
+    return distances.filter(own).groupBy(*([label] if isinstance(label, str) else label)).agg(
         *[F.var_pop(v).alias(f"var_{v}") for v in values]
     )
 

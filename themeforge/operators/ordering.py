@@ -111,6 +111,33 @@ def hash_cuts(
     return cuts
 
 
+def hash_cuts_by_seed(
+    df: DataFrame, key: Column | str, seeds: Sequence[int], rank: Column
+) -> list[str]:
+    """For each seed the hash at the 1-based ``rank`` of its order, found for all seeds in one pass.
+
+    ``rank`` is an expression over the row count ``n``. See ``hash_cuts``: the bucket
+    histogram has at most 65,536 rows a seed, and one row a seed reaches the driver.
+    """
+    hashes = F.array(*[order_hash(key, seed) for seed in seeds])
+    hashed = df.select(F.posexplode(hashes).alias("run", "h"))
+    bucket = F.substring("h", 1, _PREFIX)
+    sizes = hashed.groupBy("run", bucket.alias("b")).agg(F.count("*").alias("m"))
+    own = W.partitionBy("run")
+    steps = sizes.select(
+        "run", "b", "m", F.sum("m").over(own.orderBy("b")).alias("upto"), F.sum("m").over(own).alias("n")
+    ).withColumn("k", rank.cast("long"))
+    before = F.col("upto") - F.col("m")
+    targets = steps.filter((F.col("k") > before) & (F.col("k") <= F.col("upto"))).select(
+        "run", "b", (F.col("k") - before).alias("nth")
+    )
+    # One target a seed; each names a bucket of about 1/65,536 of the rows.
+    chosen = hashed.withColumn("b", bucket).join(F.broadcast(targets), ["run", "b"])
+    placed = chosen.withColumn("place", F.row_number().over(W.partitionBy("run").orderBy("h")))
+    found = {r["run"]: r["h"] for r in placed.filter("place = nth").select("run", "h").collect()}
+    return [found.get(i, "") for i in range(len(seeds))]
+
+
 def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their 1-based ``rank``.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeforge.operators.ordering import (
     group_positions,
     hash_cuts,
+    hash_cuts_by_seed,
     order_hash,
     row_positions,
     top_rows,
@@ -26,6 +29,15 @@ def holdout_part(
     return F.when(order_hash(key, seed) <= cuts["train"], "train").otherwise("test")
 
 
+def train_runs(
+    docs: DataFrame, key: Column | str, seeds: Sequence[int], ratio: float = 0.7
+) -> Column:
+    """The numbers of the seeds in whose shuffle a row is a ``train`` row, see ``holdout_part``."""
+    cuts = hash_cuts_by_seed(docs, key, seeds, F.floor(F.lit(ratio) * F.col("n")))
+    inside = [F.when(order_hash(key, seed) <= cut, F.lit(i)) for i, (seed, cut) in enumerate(zip(seeds, cuts))]
+    return F.array_compact(F.array(*inside))
+
+
 def holdout(
     df: DataFrame, key: Column | str = "doc_id", seed: int = 42, ratio: float = 0.7
 ) -> DataFrame:

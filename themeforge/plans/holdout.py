@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeforge.functions.scores import exponential, gaussian
@@ -21,15 +20,17 @@ from themeforge.operators.centroids import (
     class_table,
     variance_by_class,
 )
+from themeforge.operators.nearest_class import nearest_class
 from themeforge.operators.scoring import highest, lowest
 from themeforge.operators.similarity import (
+    BLOCK_CLASSES,
     ClassBlocks,
     class_blocks,
     cosine_from_dot,
     euclidean_from_dot,
     sparse_dots,
 )
-from themeforge.operators.splits import folds, holdout_part
+from themeforge.operators.splits import folds, holdout_part, train_runs
 from themeforge.operators.vocab import term_counts, token_stats
 from themeforge.operators.weights import (
     class_sums,
@@ -146,19 +147,20 @@ def centroid_distances(
 
 
 def class_scores(
-    distances: DataFrame, spaces: Sequence[str] = SPACES, alpha: float = 1e-3
+    distances: DataFrame, spaces: Sequence[str] = SPACES, alpha: float = 1e-3, by: Sequence[str] = ()
 ) -> DataFrame:
     """Add <space>_gauss and <space>_expo, spreads taken from the train part's own classes.
 
+    ``by`` names columns, such as the run of an evaluation, that have spreads of their own.
+
     The distances are staged: spreads and scores both read them, and they are a
     few numbers per document where the weights they come from are hundreds.
     """
     distances = stage(distances, "distances")
     own = (F.col("part") == "train") & (F.col("class") == F.col("label"))
-    variances = variance_by_class(
-        distances, own, "label", tuple(f"{s}_distance" for s in spaces)
-    )
-    joined = distances.join(variances, "label", "left")
+    keys = [*by, "label"]
+    variances = variance_by_class(distances, own, keys, tuple(f"{s}_distance" for s in spaces))
+    joined = distances.join(variances, keys, "left")
     columns = [F.col(c) for c in distances.columns]
     for s in spaces:
         d, v = F.col(f"{s}_distance"), F.col(f"var_{s}_distance")
@@ -166,8 +168,10 @@ def class_scores(
     return joined.select(*columns)
 
 
-def predictions(scores: DataFrame, spaces: Sequence[str] = SPACES) -> DataFrame:
-    """(doc_id, class, part, <scorer>_<space>): the class each scorer picks for each document."""
+def predictions(
+    scores: DataFrame, spaces: Sequence[str] = SPACES, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, doc_id, class, part, <scorer>_<space>): the class each scorer picks for each document."""
     picks = []
     for s in spaces:
         picks += [
@@ -175,18 +179,20 @@ def predictions(scores: DataFrame, spaces: Sequence[str] = SPACES) -> DataFrame:
             highest(F.col(f"{s}_gauss"), F.col("label")).alias(f"gauss_{s}"),
             highest(F.col(f"{s}_expo"), F.col("label")).alias(f"expo_{s}"),
         ]
-    return scores.groupBy("doc_id", "class", "part").agg(*picks)
+    return scores.groupBy(*by, "doc_id", "class", "part").agg(*picks)
 
 
-def accuracies(predicted: DataFrame, scorers: Sequence[str] = SCORERS) -> DataFrame:
-    """(scorer, n, accuracy) over the test part."""
+def accuracies(
+    predicted: DataFrame, scorers: Sequence[str] = SCORERS, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, scorer, n, accuracy) over the test part."""
     test = predicted.filter(F.col("part") == "test")
-    wide = test.agg(
+    wide = test.groupBy(*by).agg(
         F.count("*").alias("n"),
         *[F.avg(F.coalesce(F.col(s) == F.col("class"), F.lit(False)).cast("int")).alias(s)
           for s in scorers],
     )
-    return wide.unpivot(["n"], list(scorers), "scorer", "accuracy")
+    return wide.unpivot([*by, "n"], list(scorers), "scorer", "accuracy")
 
 
 def evaluate_holdout(
@@ -215,48 +221,85 @@ def nearest_centroid_by_class(
     model = stage(profile_sums(profile, vocabulary, "class"), "centroids")
     idf = model.groupBy("token").agg(F.first("idf").alias("idf"))
     centroids = class_centroids(model, classes).withColumnRenamed("class", "label")
-    distances = centroid_distances(
-        test.docs, tf_idf(test.counts, idf), centroids, classes, ("raw",)
-    )
-    picked = distances.groupBy("doc_id", "class").agg(
-        lowest(F.col("raw_distance"), F.col("label")).alias("predicted")
-    )
+    picked = nearest_class(test.docs, tf_idf(test.counts, idf), centroids, classes.withColumnRenamed("class", "label"))
+    picked = picked.withColumnRenamed("label", "predicted")
     hit = F.coalesce(F.col("predicted") == F.col("class"), F.lit(False)).cast("int")
     return picked.groupBy("class").agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"))
 
 
+def run_accuracies(docs: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
+    """(run, scorer, n, accuracy) of several splits at once, from one pass over the weights.
+
+    ``docs`` (doc_id, class, train_in) and ``weights`` (and token, weight, unit) carry
+    the numbers of the runs in which the document trains. Centroids of all runs are columns
+    of one row per (class, token), so each document meets them in one join.
+    """
+    numbers = range(runs)
+    inside = [F.array_contains("train_in", i) for i in numbers]
+    cells = [(s, i) for s in SPACES for i in numbers]
+    sizes = docs.groupBy("class").agg(*[F.count_if(inside[i]).alias(f"n_{i}") for i in numbers])
+    sums = weights.groupBy("class", "token").agg(
+        *[F.sum(F.when(inside[i], F.col(_VALUE[s]))).alias(f"{s}_{i}") for s, i in cells]
+    )
+    centroids = sums.join(sizes, "class").select(
+        F.col("class").alias("label"), "token",
+        *[F.when(F.col(f"n_{i}") > 0, F.col(f"{s}_{i}") / F.col(f"n_{i}")).alias(f"{s}_{i}") for s, i in cells],
+    )
+    centroids = stage(centroids, "run-centroids")
+    norms = centroid_norms(centroids, "label", tuple(f"{s}_{i}" for s, i in cells))
+    labels = sizes.withColumnRenamed("class", "label")
+    dots = sparse_dots(
+        docs, weights, centroids, labels, {f"{s}_{i}": (_VALUE[s], f"{s}_{i}") for s, i in cells},
+        block_classes=max(1, BLOCK_CLASSES // runs),
+    ).join(labels, "label").join(norms.withColumnsRenamed({f"sq_{s}_{i}": f"csq_{s}_{i}" for s, i in cells}), "label", "left")
+
+    def measured(i: int) -> Column:
+        name = lambda kind, s: F.coalesce(f"{kind}_{s}_{i}", F.lit(0.0))
+        raw = euclidean_from_dot(name("dot", "raw"), name("sq", "raw"), name("csq", "raw"))
+        cosine = cosine_from_dot(name("dot", "unit"), name("sq", "unit"), name("csq", "unit"))
+        # A class without a document in the run's train part is no candidate there.
+        return F.when(F.col(f"n_{i}") > 0, F.struct(
+            F.lit(i).alias("run"), F.when(inside[i], "train").otherwise("test").alias("part"),
+            raw.alias("raw_distance"), inverse_cosine(cosine).alias("unit_distance"),
+        ))
+
+    each = F.explode(F.array_compact(F.array(*[measured(i) for i in numbers])))
+    distances = dots.select("doc_id", "class", "label", each.alias("m")).select("doc_id", "class", "label", "m.*")
+    scores = class_scores(distances, by=["run"]).filter("part = 'test'")
+    return accuracies(predictions(scores, by=["run"]), by=["run"])
+
+
+def _weighed_once(docs: DataFrame, min_df: int) -> DataFrame:
+    """Weights of all documents, fitted on all of them."""
+    whole = docs.withColumn("part", F.lit("all"))
+    counts = term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2))
+    return weigh(Split(whole.select("doc_id", "class", "part"), counts), "all", min_df).drop("part")
+
+
 def repeated_holdout(
     docs: DataFrame, seeds: Sequence[int], ratio: float = 0.7, min_df: int = 5
 ) -> DataFrame:
-    """(seed, scorer, n, accuracy): weights fitted once on all rows, one split per seed."""
-    whole = docs.withColumn("part", F.lit("all"))
-    base = whole.select("doc_id", "class", "part")
-    counts = term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2))
-    weights = weigh(Split(base, counts), "all", min_df).drop("part")
-    runs = []
-    for seed in seeds:
-        part = holdout_part(base, "doc_id", seed, ratio)
-        scores = class_scores(
-            class_distances(base.withColumn("part", part), weights.withColumn("part", part))
-        )
-        runs.append(accuracies(predictions(scores)).select(F.lit(seed).alias("seed"), "*"))
-    return reduce(DataFrame.unionByName, runs)
+    """(seed, scorer, n, accuracy): weights fitted once on all rows, one split per seed.
+
+    All seeds are evaluated together: one pass finds their cuts, one their sums, one join
+    their distances.
+    """
+    base = docs.select("doc_id", "class")
+    train_in = train_runs(base, "doc_id", seeds, ratio)
+    weights = stage(_weighed_once(docs, min_df).withColumn("train_in", train_in), "run-weights")
+    found = run_accuracies(base.withColumn("train_in", train_in), weights, len(seeds))
+    names = F.array(*[F.lit(s) for s in seeds])
+    return found.select(F.get(names, F.col("run")).alias("seed"), "scorer", "n", "accuracy")
 
 
 def fold_accuracy(docs: DataFrame, k: int = 5, seed: int = 42, min_df: int = 5) -> DataFrame:
-    """(fold, scorer, n, accuracy): every fold once as test part, weights fitted on all rows."""
-    whole = docs.withColumn("part", F.lit("all"))
-    placed = stage(folds(whole.select("doc_id", "class"), k, "doc_id", seed), "folds")
-    counts = term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2))
-    weights = weigh(Split(whole.select("doc_id", "class", "part"), counts), "all", min_df)
-    weights = stage(weights.drop("part").join(placed.select("doc_id", "fold"), "doc_id"), "folded")
-    runs = []
-    for fold in range(k):
-        part = F.when(F.col("fold") == fold, "test").otherwise("train")
-        scores = class_scores(
-            class_distances(
-                placed.select("doc_id", "class", part.alias("part")), weights.withColumn("part", part)
-            )
-        )
-        runs.append(accuracies(predictions(scores)).select(F.lit(fold).alias("fold"), "*"))
-    return reduce(DataFrame.unionByName, runs)
+    """(fold, scorer, n, accuracy): every fold once as test part, weights fitted on all rows.
+
+    A document trains in every run but that of its own fold; all runs are one pass.
+    """
+    placed = folds(docs.select("doc_id", "class"), k, "doc_id", seed)
+    others = F.array_remove(F.array(*[F.lit(i) for i in range(k)]), F.col("fold"))
+    members = stage(placed.select("doc_id", "class", others.alias("train_in")), "folds")
+    weights = _weighed_once(docs, min_df).join(members.select("doc_id", "train_in"), "doc_id")
+    found = run_accuracies(members, stage(weights, "run-weights"), k)
+    return found.withColumnRenamed("run", "fold")
