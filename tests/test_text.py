@@ -109,3 +109,20 @@ def test_counts_keep_token_zero(docs):
     bags = {r["doc_id"]: r for r in V.bag_of_words(docs, indexed).collect()}
     assert bags[3]["token_ids"] == [ids["banks"]] and ids["banks"] == 0
     assert bags[1]["token_ids"] == [] and bags[1]["n_words"] == 0 and len(bags) == len(ROWS)
+
+
+def test_stems_are_put_back_by_position(spark):
+    words = ["running", "banks", "skies", "the", "running", "dies"] * 40
+    rows = [(1, " ".join(words)), (1, "banks"), (2, None), (3, ""), (None, "running skies")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    found = V.gram_lists(df, ["doc_id"], stop_words=["the"], stemming=True)
+    got = sorted(((r["doc_id"] or 0), r["_g"] or []) for r in found.collect())
+    stems = [porter_stem(w) for w in words if w != "the"]
+    assert got == sorted([(1, stems), (1, ["bank"]), (2, []), (3, []), (0, ["run", "sky"])])
+
+
+def test_stemmed_counts_keep_python_off_the_documents(spark):
+    df = spark.createDataFrame([(1, "running runs"), (2, "banks")], "doc_id int, text string")
+    counts = V.term_counts(df, stemming=True)
+    assert {(r["doc_id"], r["token"]): r["c"] for r in counts.collect()} == {(1, "run"): 2, (2, "bank"): 1}
+    assert "Python" not in counts._jdf.queryExecution().toString()

@@ -103,3 +103,34 @@ def test_pruning_keeps_both_sides(docs):
     assert {r["token"]: r["kept"] for r in scores.collect()}["bank"] is False  # equal is dropped
     left = X.prune_tokens(counts, scores.filter("not kept")).select("token").distinct()
     assert sorted(r["token"] for r in left.collect()) == ["film", "oil"]
+
+
+@pytest.mark.parametrize("n_classes, n_tokens, n", [(3, 8, 5), (6, 40, 4), (2, 5, 9), (1, 6, 3)])
+def test_strongest_tokens_equal_those_of_the_grid(spark, n_classes, n_tokens, n):
+    import numpy as np
+
+    rng = np.random.default_rng(n_tokens)
+    names = [f"w{t}" if t % 2 else f"w{t} v" for t in range(n_tokens)]
+    cells = [
+        (f"c{c}", names[t], float(rng.integers(1, 5)))
+        for c in range(n_classes) for t in range(n_tokens) if rng.random() < (0.2 if c else 1.0)
+    ]
+    sums = spark.createDataFrame(cells, "class string, token string, weight double")
+    # One class without a token, and documents without a class.
+    sizes = [(f"c{c}", 3 + c) for c in range(n_classes)] + ([("empty", 2), (None, 4)] if n_classes > 1 else [])
+    classes = spark.createDataFrame(sizes, "class string, n long")
+    grid = K.chi_square(sums, classes).withColumn("chi2", F.round("chi2", 9))
+    key = lambda r: (str(r["class"]), r["length"], r["rank"], r["token"], r["chi2"])
+    wanted = sorted(key(r) for r in K.top_tokens(grid, n).collect())
+    found = sorted(key(r) for r in K.strongest_tokens(sums, classes, n).collect())
+    assert [f[:4] for f in found] == [w[:4] for w in wanted]
+    assert [f[4] for f in found] == pytest.approx([w[4] for w in wanted])
+    expected = 0.0
+    total_n = sum(x for _, x in sizes)
+    totals = {t: sum(w for _, s, w in cells if s == t) for t in {c[1] for c in cells}}
+    held = {(c, t): w for c, t, w in cells}
+    for c, size in sizes:
+        for t, total in totals.items():
+            e = size / total_n * total
+            expected += (held.get((c, t), 0.0) - e) ** 2 / e
+    assert K.total_chi_square(sums, classes).first()["chi2"] == pytest.approx(expected)

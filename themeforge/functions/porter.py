@@ -12,7 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 # Suffix rules of the paper, step 2, step 3 and step 4.
 _STEP2 = (
@@ -179,14 +179,3 @@ def _stem_batch(tokens: pd.Series) -> pd.Series:
 def stem(token: Column | str) -> Column:
     """Stem a token column; each Arrow batch stems its distinct tokens once."""
     return _stem_batch(token)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _stem_lists(lists: pd.Series) -> pd.Series:
-    known = {w: porter_stem(w) for w in {w for ws in lists if ws is not None for w in ws}}
-    return lists.map(lambda ws: None if ws is None else [known[w] for w in ws])
-
-
-def stem_list(word_list: Column) -> Column:
-    """Stem every word of an array column."""
-    return _stem_lists(word_list)

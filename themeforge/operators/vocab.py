@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeforge.functions.porter import stem_list
+from themeforge.functions.porter import stem
 from themeforge.functions.text import ENGLISH_STOP_WORDS, ngrams, run_counts, words
 from themeforge.operators.ordering import row_positions
-from themeforge.session import ship_package, spread_texts
+from themeforge.session import ship_package, spread_texts, stage
 
 
 def tokens(
@@ -40,13 +40,32 @@ def gram_lists(
     word_list = words(text, stop_words, mode)
     rows = spread_texts(docs.select(*keys, text), keys[0])
     if stemming:
-        ship_package(docs.sparkSession)
         # Stems must be known before words are joined into n-grams.
-        rows, word_list = rows.select(*keys, stem_list(word_list).alias("_w")), F.col("_w")
+        rows, word_list = stemmed_lists(rows.select(*keys, word_list.alias("_w")), keys), F.col("_w")
     grams = word_list if ngram_range == (1, 1) else ngrams(word_list, *ngram_range)
     return rows.select(*keys, grams.alias("_g"))
 
 
+def stemmed_lists(rows: DataFrame, keys: Sequence[str], word_list: str = "_w", salts: int = 16) -> DataFrame:
+    """(keys, word_list) with every word replaced by its stem.
+
+    Only distinct words visit Python. Their stems are joined back to the occurrences, a
+    word's in ``salts`` parts so that frequent words meet it in many tasks, and put in
+    place by position.
+    """
+    ship_package(rows.sparkSession)
+    held = stage(rows.select(*keys, word_list).withColumn("_row", F.monotonically_increasing_id()), "word-lists")
+    each = held.select("_row", F.posexplode(word_list).alias("_at", "_word"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    stems = each.select("_word").distinct().select("_word", stem("_word").alias("_stem"))
+    spread = stage(stems, "stems").withColumn("_part", parts)
+    joined = each.withColumn("_part", F.col("_at") % salts).join(spread, ["_word", "_part"])
+    back = joined.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_stem"))).alias("_s"))
+    whole = held.join(back, "_row", "left")
+    empty = F.when(F.col(word_list).isNotNull(), F.array().cast("array<string>"))
+    return whole.select(*keys, F.coalesce(F.col("_s._stem"), empty).alias(word_list))
+
+
 def term_counts(docs: DataFrame, keys: Sequence[str] = ("doc_id",), **options) -> DataFrame:
     """(keys, token, c): how often each token occurs in each document.
 

@@ -131,15 +131,15 @@ SELECT class, token, length, rank, round(chi2, 6) AS chi2 FROM t WHERE rank <= 5
 @query("top_chi_square_tokens", f"WITH {TFIDF}, {_CHI2.format(w='wt')}, {_TOP}")
 def _(spark, sf):
     classes, sums = _sums(spark, sf)
-    chi2 = K.chi_square(sums, classes).withColumn("chi2", F.round("chi2", 9))
-    return K.top_tokens(chi2, 5).select("class", "token", "length", "rank", r6("chi2", "chi2"))
+    found = K.strongest_tokens(sums, classes, 5)
+    return found.select("class", "token", "length", "rank", r6("chi2", "chi2"))
 
 
 @query("top_chi_square_tokens_unit", f"WITH {TFIDF}, {_UNIT}, {_CHI2.format(w='un')}, {_TOP}")
 def _(spark, sf):
     classes, sums = _unit_sums(spark, sf)
-    chi2 = K.chi_square(sums, classes).withColumn("chi2", F.round("chi2", 9))
-    return K.top_tokens(chi2, 5).select("class", "token", "length", "rank", r6("chi2", "chi2"))
+    found = K.strongest_tokens(sums, classes, 5)
+    return found.select("class", "token", "length", "rank", r6("chi2", "chi2"))
 
 
 @query("total_chi_square", f"""

@@ -79,6 +79,20 @@ def _(spark, sf):
     return counts.groupBy(stem("token").alias("token")).agg(F.sum("tf").alias("c"))
 
 
+@query("stemmed_ngrams", f"""
+WITH {SRC}, {WORD_LIST}, occ AS (SELECT doc_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS i FROM wl),
+words AS (SELECT DISTINCT token, token AS n FROM occ), {stem_ctes('words')},
+sw AS (SELECT doc_id, list(stem ORDER BY i) AS w FROM occ JOIN stems ON stems.n = occ.token GROUP BY doc_id),
+g AS (SELECT doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM sw)
+SELECT doc_id, coalesce(len(g), 0)::INT AS n_grams, md5(coalesce(array_to_string(g, '|'), '')) AS grams_md5
+FROM src LEFT JOIN g USING (doc_id)""")
+def _(spark, sf):
+    """Words are stemmed before they are joined; the distinct words are stemmed once."""
+    found = V.gram_lists(articles(spark, sf), ["doc_id"], ngram_range=(1, 2), stemming=True)
+    grams = F.coalesce("_g", F.array().cast("array<string>"))
+    return found.select("doc_id", F.size(grams).alias("n_grams"), F.md5(F.array_join(grams, "|")).alias("grams_md5"))
+
+
 def _pieces_sql(n: int) -> str:
     return f"""
 WITH t AS (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents),
