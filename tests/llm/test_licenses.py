@@ -1,3 +1,6 @@
+import re
+
+import numpy as np
 from helpers import docs_of, documents, odd_docs, rows
 
 from themeforge.llm import licenses
@@ -69,3 +72,68 @@ def test_wrapped_and_dual_notices(spark):
     assert shown == {0: ["mit"], 1: ["bsd"], 2: ["gpl"], 3: ["apache", "mit"], 4: ["bsd", "mit"], 5: ["lgpl"]}
     held = {r["doc_id"]: r["licenses"] for r in found}
     assert wrapped[0][held[0][0]["start"] : held[0][0]["end"]].startswith("Permission is hereby granted")
+
+
+def test_identifiers_and_titles(spark):
+    texts = [
+        "// SPDX-License-Identifier: Apache-2.0\npackage x", "ISC License\n\nPermission to use, copy, modify, and/or distribute this\n"
+        "software for any purpose with or without fee is hereby\ngranted, provided", "Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING",
+        "The MIT License (MIT)\n\nCopyright", "the spdx list names a license identifier for mit and others",
+    ]
+    found = rows(licenses.find_licenses(docs_of(spark, texts), licenses.train(documents(spark))))
+    shown = {r["doc_id"]: sorted({x["family"] for x in r["licenses"]}) for r in found}
+    assert shown == {0: ["apache"], 1: ["isc"], 2: ["epl"], 3: ["mit"], 4: []}
+
+
+def plain_licenses(text, model, confirm=0.6):
+    """Lines and candidate windows, each predicted and then confirmed, in plain loops."""
+
+    def grams(t):
+        w = re.findall("[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower())
+        return {" ".join(w[i : i + k]) for k in (2, 3) for i in range(len(w) - k + 1)}
+
+    def judged(part):
+        own = grams(part)
+        every = sorted({g for ts in licenses.TEMPLATES.values() for t in ts for g in grams(t)})
+        held = [i for i, g in enumerate(every) if g in own]
+        scores = (model["weights"][:, held].sum(1) + model["intercepts"]) / model["temperature"]
+        p = np.exp(scores - scores.max())
+        p /= p.sum()
+        best = int(p.argmax())
+        if best == 0 or p[best] < model["least"]:
+            return None
+        family = model["families"][best]
+        share = max(len(own & grams(t)) / len(grams(t)) for t in licenses.TEMPLATES[family])
+        return (family, round(float(p[best]), 9), round(share, 9)) if share >= confirm else None
+
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line.strip() and (hit := judged(line)):
+            out.append((at, at + len(line), *hit))
+        at += len(line) + 1
+    lines = list(out)
+    for start, end in licenses.blocks(text):
+        for a, b, family, _ in licenses.notices(text, start, end, confirm):
+            if any(x[2] == family and x[0] < b and a < x[1] for x in lines):
+                continue
+            hit = judged(text[a:b])
+            if hit and not any(x[2] == hit[0] and x[0] < b and a < x[1] for x in out):
+                out.append((a, b, *hit))
+    return sorted(out)
+
+
+def test_documents_match_a_plain_version(spark):
+    model = licenses.train(documents(spark))
+    texts = {r["doc_id"]: r["text"] for r in rows(documents(spark))}
+    extra = {-1 - i: t for i, t in enumerate(
+        [t for ts in licenses.TEMPLATES.values() for t in ts] + ["Or ".join(ts) for ts in licenses.TEMPLATES.values()]
+    )}
+    docs = docs_of(spark, list(extra.values()), -len(extra))
+    for frame, given in ((documents(spark), texts), (docs, {-len(extra) + i: t for i, t in enumerate(extra.values())})):
+        found = {
+            r["doc_id"]: [
+                (x["start"], x["end"], x["family"], round(x["probability"], 9), round(x["template_share"], 9)) for x in r["licenses"]
+            ] for r in rows(licenses.find_licenses(frame, model))
+        }
+        for k, text in given.items():
+            assert found[k] == plain_licenses(text, model), text[:80]

@@ -17,7 +17,8 @@ family confirms it: enough of its word pairs stand in the paragraph.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none; repeated
 rows are scanned each time; without any paragraph in the corpus the templates alone
-train the model; ties go to the family that sorts first.
+train the model; ties go to the family that sorts first; very long texts are read whole;
+other columns, whatever their names, are not read; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from themeforge.llm.frames import broadcast_value, map_batches
 NEGATIVES = 4000
 LEAST = 0.5
 CONFIRM = 0.6
+#: Rows by which the classifier learns a short template.
+REPEATED = 14
 UNKNOWN = "unknown"
 
 # Sentences by which a licence is granted or named.
@@ -43,16 +46,19 @@ TEMPLATES = {
     "agpl": (
         "This program is free software under the GNU Affero General Public License, version 3.",
         "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the License. You may obtain a copy of "
         "the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:",
         "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
@@ -69,22 +75,44 @@ TEMPLATES = {
     "cc0": (
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
         "Released under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "epl": (
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License which accompanies this distribution",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation, either version 2 of the License, or any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "isc": (
+        "ISC License",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted",
+        "SPDX-License-Identifier: ISC",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
         "and associated documentation files, to deal in the Software without restriction",
+        "The MIT License (MIT)", "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "SPDX-License-Identifier: Unlicense",
     ),
 }
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -218,13 +246,15 @@ def paragraphs(text: str | None) -> Iterator[tuple[int, int]]:
 def _positives() -> Iterator[tuple[str, list[int]]]:
     """Templates whole, with each word left out, and their first and last halves.
 
-    A variant that is as much like another family's template teaches neither.
+    A variant that is as much like another family's template teaches neither. A short
+    template, which has hardly any variants, is repeated as often as a long one varies.
     """
     for family, texts in TEMPLATES.items():
         for template in texts:
             words = words_of(template)
             half = (len(words) + 1) // 2
-            for w in (words, words[:half], words[half:], *(words[:i] + words[i + 1 :] for i in range(len(words)))):
+            whole = [words] * max(1, REPEATED - len(words))
+            for w in (*whole, words[:half], words[half:], *(words[:i] + words[i + 1 :] for i in range(len(words)))):
                 features = features_of(" ".join(w))
                 own = confirmed(features, family)
                 if all(confirmed(features, other) < own for other in TEMPLATES if other != family):
@@ -298,7 +328,7 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def classify(features: list[int], model: dict) -> tuple[str, float]:
-    """(family, calibrated probability); below the threshold the family is unknown."""
+    """(family, its calibrated probability); below the threshold the family is unknown."""
     p = _softmax((model["weights"][:, features].sum(1) + model["intercepts"]) / model["temperature"])
     best = int(p.argmax())
     if best == 0 or p[best] < model["least"]:
@@ -348,10 +378,18 @@ def find_licenses(
                         })
                 lines = list(found)
                 for start, end in blocks(text):
-                    for a, b, family, share in notices(text, start, end, confirm):
+                    for a, b, family, _ in notices(text, start, end, confirm):
                         if any(x["family"] == family and x["start"] < b and a < x["end"] for x in lines):
                             continue
-                        _, probability = classify(features_of(text[a:b]), model)
+                        features = features_of(text[a:b])
+                        family, probability = classify(features, model)
+                        if family == UNKNOWN:
+                            continue
+                        share = confirmed(features, family)
+                        if share < confirm or any(
+                            x["family"] == family and x["start"] < b and a < x["end"] for x in found
+                        ):
+                            continue
                         found.append({
                             "start": a, "end": b, "family": family, "probability": probability,
                             "template_share": share,
