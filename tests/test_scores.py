@@ -122,3 +122,21 @@ def test_sweep_equals_brute_force(spark):
     for label in ("x", "yy", "z"):
         least = min(round(found[label, t], 9) for t in grid)
         assert best[label]["threshold"] == min(t for t in grid if round(found[label, t], 9) == least)
+
+
+def test_quantiles_are_exact_for_large_labels(spark):
+    from themeforge.operators.thresholds import quantile_grid
+
+    n = 150_000
+    value = F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double") / 7
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "small").otherwise("large").alias("label"), value.alias("s"))
+    held = {}
+    for r in rows.toPandas().itertuples():
+        held.setdefault(r.label, []).append(r.s)
+    odd = spark.createDataFrame([("one", 2.5), ("one", None), ("none", None), (None, 1.0)], "label string, s double")
+    found = {r["label"]: r["grid"] for r in quantile_grid(rows.unionByName(odd), "label", "s").collect()}
+    for label, values in held.items():
+        values.sort()
+        ranks = {max(1, math.ceil(i / 20 * len(values))) for i in range(21)}
+        assert found[label] == sorted({values[k - 1] for k in ranks})
+    assert found["one"] == [2.5] and "none" not in found and found[None] == [1.0]

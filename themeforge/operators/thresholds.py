@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeforge.functions.scores import gaussian_ratio
 from themeforge.functions.sets import set_loss
+from themeforge.operators.ordering import group_positions
 
 
 def sweep(
@@ -49,17 +52,19 @@ def sweep(
     )
 
 
-def quantile_grid(
-    scores: DataFrame, label: str, value: str, steps: int = 20, accuracy: int = 100_000
-) -> DataFrame:
+def quantile_grid(scores: DataFrame, label: str, value: str, steps: int = 20) -> DataFrame:
     """(label, grid): the values at ``steps`` + 1 even quantiles of each label, smallest first.
 
-    Spark's quantile summary keeps at most about ``accuracy`` values per label and is
-    exact up to that many rows.
+    Exact for labels of any size: the value at quantile q of n is the one of rank ceil(q n),
+    at least 1. All ranks come from one range sort of (label, value); only the rows at those
+    ranks are gathered. Null values have no rank.
     """
-    at = [i / steps for i in range(steps + 1)]
-    grid = F.percentile_approx(value, at, accuracy)
-    return scores.groupBy(label).agg(F.array_sort(F.array_distinct(grid)).alias("grid"))
+    known = scores.select(label, value).filter(F.col(value).isNotNull())
+    placed = group_positions(known, [label], [value], "_p")
+    rank = F.col("_p") + 1
+    at = [F.greatest(F.lit(1), F.ceil(F.lit(i / steps) * F.col("group_rows"))) for i in range(steps + 1)]
+    chosen = placed.filter(reduce(or_, [rank == k for k in at]))
+    return chosen.groupBy(label).agg(F.array_sort(F.collect_set(value)).alias("grid"))
 
 
 def sweep_grid(
