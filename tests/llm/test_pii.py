@@ -55,25 +55,33 @@ def test_documents(spark):
     assert sum(map(len, found.values())) > 10
 
 
-def plain_found(texts, rounds=3, confidence=0.6, support=3):
+def plain_context(text, start):
+    return " ".join(re.findall(r"[^\W\d_]+", text[:start])[-2:]).lower()
+
+
+def plain_found(texts, still=pii.STILL, confidence=0.6, support=3):
     """The method with dictionaries instead of tables."""
     mentions = []
     for i, text in enumerate(texts):
         base = pii.base_spans(text)
         for a, b, seed in [(a, b, True) for a, _, b in base] + [(a, b, False) for a, b in pii.identifiers(text, base)]:
-            if p := pii.context(text, a):
+            if p := plain_context(text, a):
                 mentions.append((i, a, b, p, text[a:b].lower(), seed))
     edges = {}
     for _, _, _, p, x, seed in mentions:
         n, s = edges.get((p, x), (0, False))
         edges[p, x] = (n + 1, s or seed)
     score = {e: float(s) for e, (_, s) in edges.items()}
-    for i in range(rounds):
+    before = None
+    while True:
         good = {}
         for pattern in {p for p, _ in edges}:
             own = {e: v for e, v in edges.items() if e[0] == pattern}
             conf = sum(n * score[e] for e, (n, _) in own.items()) / (sum(n for n, _ in own.values()) + 1)
             good[pattern] = (conf, sum(score[e] >= 0.5 for e in own))
+        if before is not None and all(abs(good[p][0] - before[p][0]) <= still for p in good):
+            break
+        before = good
         for x in {x for _, x in edges}:
             doubt = 1.0
             for (p, y) in edges:
@@ -103,6 +111,31 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(not shown[i] for i in range(11, 16))
 
 
+def test_contexts_reach_as_far_as_the_words(spark):
+    rng, gap = random.Random(2), " ".join(["....", "1234567", "- - -"] * 30)
+    texts = [f"Customer number {gap} +49 30 {rng.randint(10**6, 10**7)}" for _ in range(6)]
+    texts += [f"Customer number {gap} AB-{i}5550" for i in range(3)]
+    for text in texts:
+        starts = [a for a, _, _ in pii.base_spans(text)] + [len(text) - 3, 0, 5]
+        assert pii.contexts(text, starts) == [plain_context(text, a) or None for a in starts]
+    found = rows(pii.find_personal_data(docs_of(spark, texts)))
+    shown = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in found}
+    assert shown == plain_found(texts) and any(shown.values())
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    # Each context shares identifiers with the next one only; the first has seeds.
+    texts = [f"reach him at +49 30 555{i}00" for i in range(20)] + [f"reach him at ID0{i}777" for i in range(4)]
+    for link in range(6):
+        name = f"step {'abcdefg'[link]}"
+        texts += [f"{name} ID{link}{i}777" for i in range(4) for _ in range(6)]
+        texts += [f"{name} ID{link + 1}{i}777" for i in range(4)]
+    found = rows(pii.find_personal_data(docs_of(spark, texts)))
+    shown = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in found}
+    assert shown == plain_found(texts)
+    assert shown[len(texts) - 1]
+
+
 def test_odd_rows_and_empty_table(spark):
     found = rows(pii.find_personal_data(odd_docs(spark)))
     assert len(found) == odd_docs(spark).count() and not any(r["base"] or r["found"] for r in found)

@@ -14,12 +14,14 @@ rounds are written to the shared folder.
 
 Defined cases: a null or empty text has no spans; base spans always stay, spans of
 different kinds may overlap; repeated rows count each time; ids of any type, null too,
-are carried along; a text is read whole, in time linear in its length.
+are carried along; a very long text is read whole, in time linear in its length; an empty
+table has no rows and no patterns; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,11 +31,11 @@ from pyspark.sql import functions as F
 from themeforge.llm.frames import map_batches
 from themeforge.session import stage
 
-ROUNDS = 3
 CONFIDENCE = 0.6
 SUPPORT = 3
 PRIOR = 1.0
-CONTEXT_CHARS = 80
+#: Rounds end when no confidence changes by more.
+STILL = 0.01
 KINDS = ("email", "ip", "card", "phone", "id")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -135,11 +137,21 @@ def identifiers(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
             yield a, b
 
 
-def context(text: str, start: int) -> str | None:
-    """The lexical pattern of a place: the two words before it, in lower case."""
-    words = _WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])
-    # the first word of the window may be cut
-    return " ".join(words[-2:]).lower() if len(words) > 2 or words and start <= CONTEXT_CHARS else None
+def contexts(text: str, starts: list[int]) -> list[str | None]:
+    """The lexical pattern of each place: the two words before it, in lower case.
+
+    One word is a pattern too where the text has no other; none is no pattern. The words
+    are found once, up to the last place.
+    """
+    words = [m.span() for m in _WORD.finditer(text, 0, max(starts, default=0))]
+    begins = [a for a, _ in words]
+    out: list[str | None] = []
+    for start in starts:
+        k = bisect_left(begins, start)
+        # A word that goes on beyond the place ends there.
+        found = [text[a : min(b, start)] for a, b in words[max(0, k - 2) : k]]
+        out.append(" ".join(found).lower() or None)
+    return out
 
 
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
@@ -165,8 +177,8 @@ def _read(docs: DataFrame) -> DataFrame:
                 places = [(a, b, True) for a, _, b in base]
                 places += [(a, b, False) for a, b in identifiers(text, base)]
                 rows = []
-                for a, b, seed in places:
-                    pattern = context(text, a)
+                patterns = contexts(text, [a for a, _, _ in places])
+                for (a, b, seed), pattern in zip(places, patterns):
                     if pattern:
                         rows.append({
                             "start": a, "end": b, "pattern": pattern,
@@ -181,16 +193,17 @@ def _read(docs: DataFrame) -> DataFrame:
     return map_batches(docs, work, f"row bigint, id {kind}, base {_SPAN}, mentions {_MENTION}")
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, confidence, support) from (pattern, instance, n, seed) after some rounds.
+def score_patterns(edges: DataFrame, still: float = STILL) -> DataFrame:
+    """(pattern, confidence, support) from (pattern, instance, n, seed), when the scores stand still.
 
     A pattern's confidence is the share of its mentions, weighted by the scores of their
     instances, with one doubtful mention added; its support counts the instances that are
     more likely than not. An instance that is no seed scores 1 - product(1 - confidence).
+    Confidences only grow from round to round and are below 1, so the rounds end.
     """
     weight = F.col("n") * F.col("score")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for i in range(rounds):
+    scored, before = edges.withColumn("score", F.col("seed").cast("double")), None
+    while True:
         patterns = stage(
             scored.groupBy("pattern").agg(
                 (F.sum(weight) / (F.sum("n") + PRIOR)).alias("confidence"),
@@ -198,8 +211,12 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             ),
             "patterns",
         )
-        if i + 1 == rounds:
-            break
+        if before is not None:
+            change = patterns.join(before.select("pattern", F.col("confidence").alias("was")), "pattern")
+            most = change.agg(F.max(F.abs(F.col("confidence") - F.col("was"))).alias("x")).first()["x"]
+            if most is None or most <= still:
+                return patterns
+        before = patterns
         doubt = F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))
         instances = stage(
             edges.join(patterns, "pattern").groupBy("instance").agg(
@@ -208,11 +225,10 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             "instances",
         )
         scored = edges.join(instances, "instance")
-    return patterns
 
 
 def find_personal_data(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", rounds: int = ROUNDS,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", still: float = STILL,
     confidence: float = CONFIDENCE, support: int = SUPPORT,
 ) -> DataFrame:
     """(id, base, found) of each row: spans (start, kind, end), ``kind`` an index of ``KINDS``.
@@ -229,7 +245,7 @@ def find_personal_data(
         mentions.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")),
         "edges",
     )
-    good = score_patterns(edges, rounds).filter(
+    good = score_patterns(edges, still).filter(
         (F.col("confidence") >= confidence) & (F.col("support") >= support)
     )
     added = mentions.filter(~F.col("seed")).join(good.select("pattern"), "pattern").groupBy("row").agg(
