@@ -5,8 +5,11 @@ in lower case. An item's windows are its runs of ten consecutive words, or all i
 if it has fewer. All distinct windows form one automaton over word numbers; each text is
 scanned once, and every hit is mapped back to word and character offsets of the original.
 
-The automaton is limited to ``MAX_WINDOWS`` windows. A larger benchmark is dealt by the
-hash of the window to several automata, which scan in turn and add to the same hits.
+Each distinct window has a number. The automaton knows windows by their number only; which
+items have a window is a table that meets the numbers found in a join, so a window that
+a large part of a benchmark shares is no heavier than another. The automaton is limited to
+``MAX_WINDOWS`` windows. A larger benchmark is dealt by number to several automata,
+which scan in turn and add to the same hits.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no
 windows; an item without an id hits words like others but is named and counted nowhere;
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themeforge.llm.frames import broadcast_value, map_batches
+from themeforge.session import stage
 
 WINDOW_WORDS = 10
 MAX_WINDOWS = 2_000_000
@@ -45,37 +49,42 @@ def _small(text: str) -> str:
 def item_windows(
     items: DataFrame, id: str = "item_id", text: str = "text", words: int = WINDOW_WORDS
 ) -> DataFrame:
-    """(window, items): each distinct window, an array of words, with the ids that have it."""
+    """(window, item): each window of each item, an array of words, with the item's id."""
     found = F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(WORD_PATTERN), F.lit(0))
     listed = items.select(F.col(id).cast("string").alias("item"), found.alias("w")).filter("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
-    spread = listed.select("item", "w", F.explode(starts).alias("at")).select(
+    return listed.select("item", "w", F.explode(starts).alias("at")).select(
         "item", F.slice("w", F.col("at"), words).alias("window")
     )
-    return spread.groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
+def _numbered(windows: DataFrame) -> DataFrame:
+    """(window, number) of the distinct windows; staged, so that a number stays what it is."""
+    distinct = windows.select("window").distinct()
+    return stage(distinct.select("window", F.monotonically_increasing_id().alias("number")), "windows")
 
 
 class Scanner:
-    """The automaton of some windows over the numbers of their words."""
+    """The automaton of some (window, number) over the numbers of their words."""
 
-    def __init__(self, windows: list[tuple[list[str], list[str]]]):
+    def __init__(self, windows: list[tuple[list[str], int]]):
         self.numbers: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, items in windows:
+        for window, number in windows:
             key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in window)
-            self.automaton.add_word(key, (len(key), tuple(items)))
+            self.automaton.add_word(key, (len(key), number))
         if windows:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[str]) -> list[tuple[int, int, tuple[str, ...]]]:
-        """(first word, end, items) of every occurrence of a window."""
+    def scan(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first word, end, number) of every occurrence of a window."""
         if not self.numbers:
             return []
         number = self.numbers.get
         text = tuple([number(w, 0) for w in words])
         if not any(text):
             return []
-        return [(end + 1 - n, end + 1, items) for end, (n, items) in self.automaton.iter(text)]
+        return [(end + 1 - n, end + 1, window) for end, (n, window) in self.automaton.iter(text)]
 
 
 _scanners: dict[str, Scanner] = {}
@@ -103,7 +112,7 @@ def _union(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 SCANNED = (
     "n_words bigint, ranges array<struct<first: bigint, end: bigint>>, "
-    "spans array<struct<start: bigint, end: bigint>>, items array<string>"
+    "spans array<struct<start: bigint, end: bigint>>, windows array<bigint>"
 )
 
 
@@ -111,7 +120,7 @@ def _scan_once(docs: DataFrame, shared, first: bool) -> DataFrame:
     """One pass over ``docs`` (id, text, and after the first pass the hits so far)."""
     kind = docs.schema["id"].dataType.simpleString()
     pair = lambda a, b: pa.list_(pa.struct([(a, pa.int64()), (b, pa.int64())]))
-    types = [pa.int64(), pair("first", "end"), pair("start", "end"), pa.list_(pa.string())]
+    types = [pa.int64(), pair("first", "end"), pair("start", "end"), pa.list_(pa.int64())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(shared)
@@ -123,10 +132,10 @@ def _scan_once(docs: DataFrame, shared, first: bool) -> DataFrame:
                 words = WORD.findall(low)
                 hits = scanner.scan(words)
                 ranges = [(a, b) for a, b, _ in hits]
-                items = {x for _, _, names in hits for x in names}
+                found = {window for _, _, window in hits}
                 if not first:
                     ranges += [(r["first"], r["end"]) for r in batch.column(3)[i].as_py()]
-                    items.update(batch.column(5)[i].as_py())
+                    found.update(batch.column(5)[i].as_py())
                 ranges = _union(ranges)
                 spans = []
                 if ranges:
@@ -134,12 +143,12 @@ def _scan_once(docs: DataFrame, shared, first: bool) -> DataFrame:
                     spans = [(int(place[a, 0]), int(place[b - 1, 1])) for a, b in ranges]
                 rows.append((
                     len(words), [{"first": a, "end": b} for a, b in ranges],
-                    [{"start": a, "end": b} for a, b in spans], sorted(items),
+                    [{"start": a, "end": b} for a, b in spans], sorted(found),
                 ))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns],
-                ["id", "text", "n_words", "ranges", "spans", "items"],
+                ["id", "text", "n_words", "ranges", "spans", "windows"],
             )
 
     return map_batches(docs, work, f"id {kind}, text string, {SCANNED}")
@@ -149,11 +158,11 @@ def _automata(docs: DataFrame, windows: DataFrame, most: int) -> list:
     """Broadcasts of at most about ``most`` windows each; empty benchmarks give one empty list."""
     spark = docs.sparkSession
     parts = max(1, -(-windows.count() // most))
-    number = F.pmod(F.xxhash64("window"), F.lit(parts))
+    place = F.pmod(F.xxhash64("number"), F.lit(parts))
     out = []
     for k in range(parts):
-        rows = windows.filter(number == k).toArrow()
-        pairs = list(zip(rows.column("window").to_pylist(), rows.column("items").to_pylist()))
+        rows = windows.filter(place == k).toArrow()
+        pairs = list(zip(rows.column("window").to_pylist(), rows.column("number").to_pylist()))
         out.append(broadcast_value(spark, (uuid.uuid4().hex, pairs)))
     return out
 
@@ -168,11 +177,21 @@ def scan(
     ``ranges`` are the hit words as (first, end), ``spans`` the same in code points of the
     original text, both merged and in order; ``items`` are the sorted ids found.
     """
-    windows = item_windows(benchmark, item, item_text, words)
+    held = stage(item_windows(benchmark, item, item_text, words), "item-windows")
+    windows = _numbered(held)
     out = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     for k, shared in enumerate(_automata(docs, windows, max_windows)):
         out = _scan_once(out, shared, k == 0)
-    return out.drop("text").withColumnRenamed("id", id)
+    found = stage(out.drop("text").withColumn("row", F.monotonically_increasing_id()), "scanned")
+    named = held.filter("item IS NOT NULL").join(windows, "window").select("number", "item").distinct()
+    items = found.select("row", F.explode("windows").alias("number")).join(named, "number").groupBy("row").agg(
+        F.array_sort(F.collect_set("item")).alias("items")
+    )
+    whole = found.join(items, "row", "left")
+    return whole.select(
+        F.col("id").alias(id), "n_words", "ranges", "spans",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def keep_clean(
@@ -180,7 +199,7 @@ def keep_clean(
     item_text: str = "text", words: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
     """The rows of ``docs``, unchanged, in which no window of the benchmark occurs."""
-    windows = item_windows(benchmark, item, item_text, words)
+    windows = _numbered(item_windows(benchmark, item, item_text, words))
     place = docs.columns.index(text)
     out = docs
     for shared in _automata(docs, windows, max_windows):
