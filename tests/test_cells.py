@@ -77,3 +77,21 @@ def test_nulls_ties_and_empty_tables(spark):
     ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "r long, v array<double>")
     with pytest.raises(ValueError, match="components"):
         K.build_cells(ragged, "r", "v", 2)
+
+
+@pytest.mark.parametrize("matrix, sigma", [(CLUSTERED, 2.0), (EVEN, 1.0), (CLUSTERED, 200.0)], ids=["far cells", "even", "flat"])
+@pytest.mark.parametrize("tolerance", [1e-9, 1e-2])
+def test_kernel_mass_is_right_within_its_error(spark, matrix, sigma, tolerance):
+    q, r = frame(spark, matrix[:40] + 0.05, "q"), frame(spark, matrix, "r")
+    groups = r.selectExpr("r", "r % 3 AS g")
+    index = K.build_cells(r, "r", "v", 24)
+    got = {(x["q"], x["g"]): x for x in K.kernel_mass(q, groups, index, "q", "g", "v", sigma, tolerance).collect()}
+    values = np.exp(-0.5 * (D.compare(matrix[:40] + 0.05, matrix, "euclidean") / sigma) ** 2)
+    used = 0
+    for i in range(40):
+        for g in range(3):
+            x, mine = got[i, g], values[i, g::3]
+            assert x["n"] == len(mine) and x["error"] <= tolerance * x["n"]
+            assert abs(x["mass"] - mine.sum()) <= x["error"] + 1e-9 * x["n"]
+            used += x["error"] > 0
+    assert len(got) == 120 and (used > 0 or matrix is EVEN or sigma * tolerance < 1e-6)

@@ -161,3 +161,32 @@ def test_accuracy_spread(spark):
     df = spark.createDataFrame([("s", a) for a in (0.5, 0.7, 0.9)], "scorer string, accuracy double")
     r = E.accuracy_spread(df).first()
     assert (r["minimum"], r["median"], r["maximum"]) == (0.5, 0.7, 0.9) and r["lower"] == pytest.approx(0.6)
+
+
+def test_all_runs_in_one_pass_equal_one_after_another(spark):
+    from themeforge.operators.splits import holdout_part
+    from themeforge.plans import holdout as H
+
+    rng = np.random.default_rng(5)
+    words = [[f"{c}{'abcdefgh'[i]}word" for i in range(8)] for c in "xyz"]
+    rows = []
+    for i in range(90):
+        c = i % 3
+        own = list(rng.choice(words[c], 12)) + list(rng.choice(words[(c + 1) % 3], 5))
+        rows.append((i, "pqr"[c], " ".join(own) if i % 17 else ""))
+    rows.append((90, "rare", "xaword xaword"))
+    docs = spark.createDataFrame(rows, "doc_id long, class string, text string")
+    seeds = (1, 2, 5)
+    found = {(r["seed"], r["scorer"]): (r["n"], r["accuracy"]) for r in H.repeated_holdout(docs, seeds, min_df=2).collect()}
+    whole = docs.withColumn("part", F.lit("all"))
+    split = H.Split(whole.select("doc_id", "class", "part"), term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2)))
+    weights = H.weigh(split, "all", 2).drop("part")
+    for seed in seeds:
+        part = holdout_part(docs, "doc_id", seed, 0.7)
+        base = docs.select("doc_id", "class").withColumn("part", part)
+        scores = H.class_scores(H.class_distances(base, weights.withColumn("part", part)))
+        for r in H.accuracies(H.predictions(scores)).collect():
+            assert found[seed, r["scorer"]] == (r["n"], pytest.approx(r["accuracy"]))
+    assert len(found) == 18
+    folds = {(r["fold"], r["scorer"]): r["n"] for r in H.fold_accuracy(docs, 4, min_df=2).collect()}
+    assert len(folds) == 24 and sum(n for (_, s), n in folds.items() if s == "distance_raw") == 91

@@ -12,7 +12,9 @@ for up to ``PIVOTS`` centres, the least and the greatest distance of its rows to
 - ``search_probed`` looks into the closest ``probes`` cells only. ``learn_probes`` finds how
   many that must be for a wanted recall, by exact search for a bounded sample of queries.
 
-How much either saves depends on the data: where vectors form clusters, few cells are
+- ``kernel_mass`` sums a Gaussian kernel; cells in which it hardly varies are not visited.
+
+How much these save depends on the data: where vectors form clusters, few cells are
 visited; where they are spread evenly in many dimensions, all distances are alike and
 most cells must be. Cells of any size are split into blocks, so a crowded one stays parallel.
 
@@ -30,10 +32,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from themeforge.operators.dense import (
-    BLOCK_ROWS, _bucket, _every, _keep_nearest, _matrix, _meet, _pick, _rank_key, _score_schema,
+    BLOCK_ROWS, _bucket, _every, _keep_kernel_mass, _keep_nearest, _matrix, _meet, _pick, _rank_key, _score_schema,
     _squared_distances, _worker,
 )
 from themeforge.operators.ordering import order_hash, top_rows
@@ -164,31 +166,39 @@ def _looks(queries: DataFrame, index: Cells, id: str, choose, extra: list[str])
     return _batches(queries, 1, index.centres.shape[1], work, f"`{id}` {kind}, cell int")
 
 
-def _best_in(
-    asked: DataFrame, looks: DataFrame, index: Cells, k: int, id: str, vector: str, score: str, block_rows: int
+def _met(
+    asked: DataFrame, looks: DataFrame, index: Cells, members: DataFrame, id: str, vector: str, work, out,
+    block_rows: int,
 ) -> DataFrame:
-    """(id, ref, score): the k best rows of the cells each query looks into, per block."""
+    """Bring the queries of a cell and its members together, in blocks of ``block_rows``."""
     splits = looks.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_splits"))
     sizes = asked.sparkSession.createDataFrame(
         [(int(c), -(-int(n) // block_rows)) for c, n in enumerate(index.sizes) if n], "cell int, _blocks int"
     )
     deals = splits.join(F.broadcast(sizes), "cell")
-    refs = index.members.withColumnRenamed("cell", "_cell")
+    rest = [c for c in members.columns if c != "cell"]
     left = asked.join(looks, id).join(deals, "cell").select(
         id, vector, F.col("cell").alias("_cell"), _bucket(id, F.col("_splits")).alias("_s"),
         _every(F.col("_blocks")).alias("_b"),
     )
-    right = refs.join(deals.withColumnRenamed("cell", "_cell"), "_cell").select(
-        index.id, index.vector, "_cell", _bucket(index.id, F.col("_blocks")).alias("_b"),
+    right = members.join(deals, "cell").select(
+        *rest, F.col("cell").alias("_cell"), _bucket(index.id, F.col("_blocks")).alias("_b"),
         _every(F.col("_splits")).alias("_s"),
     )
+    return _meet(left, right, ["_cell", "_b", "_s"], work, out)
+
+
+def _best_in(
+    asked: DataFrame, looks: DataFrame, index: Cells, k: int, id: str, vector: str, score: str, block_rows: int
+) -> DataFrame:
+    """(id, ref, score): the k best rows of the cells each query looks into, per block."""
     out = _score_schema(asked, index.members, id, index.id, score).add("rank", IntegerType())
 
     def keep(ids, scores, table):
         return _keep_nearest(k, "euclidean", ids, scores, table)
 
     work = _worker(keep, "euclidean", out, index.id, index.centres.shape[1])
-    return _meet(left, right, ["_cell", "_b", "_s"], work, out).drop("rank")
+    return _met(asked, looks, index, index.members, id, vector, work, out, block_rows).drop("rank")
 
 
 def _ranked(found: DataFrame, index: Cells, k: int, id: str, score: str) -> DataFrame:
@@ -297,3 +307,63 @@ def learn_probes(
         if found >= recall * all_found:
             return closer + 1
     return len(index.centres)
+
+
+def kernel_mass(
+    queries: DataFrame, refs: DataFrame, index: Cells, id: str, group: str, vector: str, sigma: float = 1.0,
+    tolerance: float = 1e-9, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, group, mass, n, error): Gaussian kernel sums over each group, right within ``error``.
+
+    ``refs`` (ref id, group) names the group of each row of the index. The distances of a
+    query to a cell lie between two bounds, and so do its kernel values. Where these differ
+    by at most twice the tolerance, every row of the cell counts as their middle;
+    the other cells are summed exactly. ``error`` is at most ``tolerance`` times ``n``.
+    """
+    asked = stage(_asked(queries, id, vector), "asked")
+    kinds = (asked.schema[id], refs.schema[group])
+    out = StructType([
+        *kinds, StructField("mass", DoubleType()), StructField("n", LongType()),
+    ])
+    if not index.rows:
+        return queries.sparkSession.createDataFrame([], out.add("error", DoubleType()))
+    named = index.members.join(refs.select(index.id, group), index.id)
+    members = stage(named.select(index.id, index.vector, group, "cell"), "grouped-members")
+    centres = queries.sparkSession.sparkContext.broadcast(index.centres)
+    least, most, sizes = index.least, index.most, index.sizes
+
+    def bounds(batch: pa.RecordBatch, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gaps = _distances(matrix, centres.value)
+        low, high = np.zeros(gaps.shape), np.full(gaps.shape, np.inf)
+        for p in range(least.shape[1]):
+            d = gaps[:, p, None]
+            slack = SLACK * (1.0 + d)
+            np.maximum(low, np.maximum(d - most[None, :, p], least[None, :, p] - d) - slack, out=low)
+            np.minimum(high, d + most[None, :, p] + slack, out=high)
+        upper, lower = np.exp(-0.5 * (low / sigma) ** 2), np.exp(-0.5 * (high / sigma) ** 2)
+        row, cell = np.nonzero(np.broadcast_to(sizes > 0, gaps.shape))
+        half = (upper - lower)[row, cell] / 2
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(row)), pa.array(cell, pa.int32()),
+             pa.array((upper + lower)[row, cell] / 2), pa.array(half), pa.array(half <= tolerance)],
+            [id, "cell", "middle", "half", "far"],
+        )
+
+    kind = kinds[0].dataType.simpleString()
+    schema = f"`{id}` {kind}, cell int, middle double, half double, far boolean"
+    looks = stage(_batches(asked, 1, index.centres.shape[1], bounds, schema), "kernel-looks")
+    counts = members.groupBy("cell", group).agg(F.count("*").alias("n"))
+    far = looks.filter("far").join(counts, "cell").select(
+        id, group, (F.col("middle") * F.col("n")).alias("mass"), "n", (F.col("half") * F.col("n")).alias("error")
+    )
+
+    def keep(ids, scores, table):
+        return _keep_kernel_mass(sigma, ids, scores, table)
+
+    work = _worker(keep, "euclidean", out, index.id, index.centres.shape[1])
+    near = _met(
+        asked, looks.filter("NOT far").select(id, "cell"), index, members, id, vector, work, out, block_rows
+    ).withColumn("error", F.lit(0.0))
+    return far.unionByName(near).groupBy(id, group).agg(
+        F.sum("mass").alias("mass"), F.sum("n").alias("n"), F.sum("error").alias("error")
+    )

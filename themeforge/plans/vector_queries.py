@@ -281,6 +281,17 @@ def _(spark, sf):
     return found.select("vec_id", "label", r6("mass", "mass"), "n")
 
 
+@query("kernel_mass_by_cells", f"""
+WITH {_VEC}, {_MASS} SELECT vec_id, label, round(mass, 6) AS mass, n::BIGINT AS n, true AS within FROM mass""")
+def _(spark, sf):
+    """Kernel sums with cells that may count as one value, right within 1e-9 a row."""
+    vecs = vectors(spark, sf)
+    groups = vecs.select(F.col("vec_id").alias("ref_id"), "label")
+    found = K.kernel_mass(vecs, groups, _cells(vecs), "vec_id", "label", "embedding")
+    within = F.col("error") <= 1e-9 * F.col("n")
+    return found.select("vec_id", "label", r6("mass", "mass"), "n", within.alias("within"))
+
+
 @query("kernel_rows", f"""
 WITH {_VEC}, {_MASS}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 12), ref_id) AS rk FROM p QUALIFY rk <= 5)
 SELECT vec_id, ref_id, t.label, round(k / mass, 6) AS pmf FROM t JOIN mass USING (vec_id, label)""")
