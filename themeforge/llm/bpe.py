@@ -16,7 +16,9 @@ whatever the input. A chunk's rows come from one task, whose input must come in
 same order if it is run again (a scan of files does).
 
 Defined cases: a null text is an empty text with no ids; special tokens are ordinary
-text; repeated rows are encoded each time; ids of any type, null too, are carried along.
+text; repeated rows are encoded each time; ids of any type, null too, are carried along;
+very long texts are encoded whole, one to a chunk; an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

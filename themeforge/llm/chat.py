@@ -13,7 +13,8 @@ Defined cases: a null text or role is empty; a node whose parent is missing or n
 root; a conversation of one turn is a path of one node; several rows of one turn follow
 each other by role and text; repeated rows are turns of their own; rows without a
 conversation id form one conversation; ties between branches go to the smaller leaf.
-A cycle has no leaf that leads to a root and is left out.
+A cycle has no leaf that leads to a root and is left out. Very long texts are formatted
+whole; an empty table has no conversations; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

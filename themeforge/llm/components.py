@@ -1,4 +1,9 @@
-"""Connected components of a graph of any size, by alternating star joins."""
+"""Connected components of a graph of any size, by alternating star joins.
+
+Defined cases: a pair may repeat, in either order; a pair of a node with itself links nothing,
+and a node with no other pair has no row; nodes of any type that Spark can order; a pair
+with a null end is left out; no pairs give no rows.
+"""
 
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ of all letters the score.
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and no
 spans; without any training text everything is ``und``; ties go to the language that
 sorts first; a repeated row is labelled each time; texts of any length are read whole,
-in pieces that end between words.
+in pieces that end between words; an empty table gives no rows; columns of any name are
+kept by ``keep_identified`` and not read by ``identify``.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ off its target by at most one row.
 
 Defined cases: a null text has no bytes; rows are ordered by id (nulls first), then by
 size and checksum, so equal rows may change places among themselves; an empty table has
-no shards; there may be shards without rows when a row is larger than a target.
+no shards; there may be shards without rows when a row is larger than a target; very long
+texts are measured whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ radius one and two instead, whose meetings prove the distance by themselves.
 Defined cases: null and empty texts have fingerprint zero and are linked like others;
 fewer words than a shingle form one shingle; equal fingerprints share a component;
 rows repeat as they come; a null id takes part, and counts last when the smallest id
-of a component is sought.
+of a component is sought; very long texts are read whole; an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ rows; they influence speed only.
 Defined cases: vectors that are null or hold null or non-finite components take no part,
 nor do rows without an id; rows that repeat id and vector count once; a query's own row,
 which is every row with its id, is no candidate; missing trailing components count as
-zero; ties go to the smaller id; fewer candidates than k give fewer rows.
+zero; ties go to the smaller id; fewer candidates than k give fewer rows; an empty table
+gives none; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
