@@ -36,7 +36,6 @@ from themeforge.operators.weights import (
     class_sums,
     count_profile,
     fit_idf,
-    normalise,
     profile_stats,
     profile_sums,
     row_total,
@@ -72,7 +71,7 @@ def split_documents(
 
 
 def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:
-    """Staged ``weight`` (TF-IDF) and ``unit`` (its L2-normalised form) of all documents.
+    """``weight`` (TF-IDF) and ``unit`` (its L2-normalised form) of all documents.
 
     The vocabulary is fitted on the ``train`` part or on ``all`` documents.
     """
@@ -80,9 +79,12 @@ def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:
         raise ValueError(f"unknown fit_on: {fit_on}")
     fit = split.only("train") if fit_on == "train" else split
     vocabulary = fit_idf(token_stats(fit.counts), row_total(fit.docs), min_df)
-    weights = tf_idf(split.counts, vocabulary)
-    unit = normalise(weights.withColumn("unit", F.col("weight")), "l2", value="unit")
-    return stage(unit, "weights")
+    # Norms are one number per document, summed before they are shuffled; written first,
+    # the weights are neither computed twice nor sorted by document.
+    weights = stage(tf_idf(split.counts, vocabulary), "weights")
+    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_size"))
+    unit = F.when(F.col("_size") > 0, F.col("weight") / F.col("_size"))
+    return weights.join(stage(norms, "norms"), "doc_id").withColumn("unit", unit).drop("_size")
 
 
 def class_distances(
