@@ -126,3 +126,11 @@ def test_stemmed_counts_keep_python_off_the_documents(spark):
     counts = V.term_counts(df, stemming=True)
     assert {(r["doc_id"], r["token"]): r["c"] for r in counts.collect()} == {(1, "run"): 2, (2, "bank"): 1}
     assert "Python" not in counts._jdf.queryExecution().toString()
+
+
+def test_stems_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, "running runs"), (2, "banks")], "doc_id int, text string")
+    found = V.gram_lists(df, ["doc_id"], stemming=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_word" in line]
+    assert len(joins) == 1 and "ShuffledHashJoin" in joins[0]

@@ -46,20 +46,19 @@ def gram_lists(
     return rows.select(*keys, grams.alias("_g"))
 
 
-def stemmed_lists(rows: DataFrame, keys: Sequence[str], word_list: str = "_w", salts: int = 16) -> DataFrame:
+def stemmed_lists(rows: DataFrame, keys: Sequence[str], word_list: str = "_w") -> DataFrame:
     """(keys, word_list) with every word replaced by its stem.
 
-    Only distinct words visit Python. Their stems are joined back to the occurrences, a
-    word's in ``salts`` parts so that frequent words meet it in many tasks, and put in
-    place by position.
+    Only distinct words visit Python. Their stems are joined back to the occurrences and put
+    in place by position. The stems are shuffled, never broadcast: how many words there are
+    grows with the texts, and the file they are read from says little of their size in
+    memory. Adaptive execution splits the occurrences of a frequent word.
     """
     ship_package(rows.sparkSession)
     held = stage(rows.select(*keys, word_list).withColumn("_row", F.monotonically_increasing_id()), "word-lists")
     each = held.select("_row", F.posexplode(word_list).alias("_at", "_word"))
-    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     stems = each.select("_word").distinct().select("_word", stem("_word").alias("_stem"))
-    spread = stage(stems, "stems").withColumn("_part", parts)
-    joined = each.withColumn("_part", F.col("_at") % salts).join(spread, ["_word", "_part"])
+    joined = each.join(stage(stems, "stems").hint("shuffle_hash"), "_word")
     back = joined.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_stem"))).alias("_s"))
     whole = held.join(back, "_row", "left")
     empty = F.when(F.col(word_list).isNotNull(), F.array().cast("array<string>"))
