@@ -27,10 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies.
 
-    Near copies have a Jaccard similarity of 0.8 on five-word shingles, which the fingerprints
-    of the stage's name do not settle; bands of minima and the sets themselves do.
+    Documents are near copies if their SimHash fingerprints link at three bits or fewer. The
+    groups that gives are then joined by what such fingerprints miss: a Jaccard similarity
+    of 0.8 on five-word shingles.
     """
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(docs, fingerprints=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

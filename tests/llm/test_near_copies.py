@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from helpers import docs_of, documents, odd_docs, rows
 
-from themeforge.llm import near_copies
+from themeforge.llm import near_copies, simhash
 
 
 def plain_kept(texts: dict, words: int = 5) -> set:
@@ -87,3 +87,15 @@ def test_rows_that_repeat_an_id_or_have_none_are_rows_like_others(spark):
     kept = rows(near_copies.keep_one(spark.createDataFrame(data, "doc_id long, text string")))
     expected = [(1, "a a a a"), (1, "b b b b"), (2, "c d e f"), (None, "n o p q")]
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(k), t) for k, t in expected)
+
+
+def test_stage_joins_what_fingerprints_link(spark):
+    """Texts within three bits leave one, although five-word shingles keep them apart."""
+    rng, line = random.Random(5), [f"w{i}" for i in range(13)]
+    base = line * 60
+    texts = [" ".join(base), " ".join(base[:260] + [f"n{i}" for i in range(6)] + base[260:])]
+    texts.append(" ".join(f"x{rng.randrange(10**6)}" for _ in range(60)))
+    assert (simhash.fingerprint(texts[0]) ^ simhash.fingerprint(texts[1])).bit_count() <= 3
+    assert plain_kept(dict(enumerate(texts))) == {0, 1, 2}
+    found = corpus_pipeline.simhash_near_dedup(spark, docs_of(spark, texts), "")
+    assert {r["doc_id"] for r in rows(found)} == {0, 2}

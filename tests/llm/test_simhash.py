@@ -53,6 +53,16 @@ def test_every_link_is_found(spark, limit):
     assert found == {k: v for k, v in label.items() if groups.count(v) > 1}
 
 
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_shared_blocks_find_every_link(spark, limit):
+    signed = sorted(simhash._signed(v) for v in planted(8, 150))
+    frame = spark.createDataFrame([(v,) for v in signed], "fp long")
+    found = {r["node"]: r["component"] for r in rows(simhash.linked_fingerprints(frame, limit, simhash.shared_blocks))}
+    label = smallest_reachable(signed, np.array(signed, np.int64).view(np.uint64), 3)
+    groups = list(label.values())
+    assert found == {k: v for k, v in label.items() if groups.count(v) > 1}
+
+
 def test_links_at_each_distance(spark):
     for distance in range(1, 6):
         for bits in (range(distance), range(20, 20 + distance), range(64 - distance, 64), (0, 22, 45, 63, 30)[:distance]):

@@ -2,7 +2,9 @@
 
 Candidates come from MinHash bands, links from the true similarity of the shingle sets.
 A pair at the threshold shares none of the ``BANDS`` bands of ``BAND_ROWS`` minima with a
-probability of (1 - 0.8 ** 4) ** 32 = 5e-8. SimHash was no basis: copies at 0.8 differ
+probability of (1 - 0.8 ** 4) ** 32 = 5e-8. With ``fingerprints``, texts whose SimHash
+fingerprints link at three bits or fewer (``simhash``) are near copies too, and are joined
+first; bands then look only for what the fingerprints left apart, since copies at 0.8 differ
 in ten bits on average, and a ball of that radius holds too much to be written.
 
 Texts with the same shingle set are one node. In a bucket, the values that share a band,
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from themeforge.llm import simhash
 from themeforge.llm.components import components
 from themeforge.llm.frames import map_batches, text_parts
 from themeforge.session import stage
@@ -78,22 +81,25 @@ def bands(values: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _sketches(numbered: DataFrame, words: int) -> DataFrame:
-    """(row, digest of the shingle set, its size n, bands) of each row."""
+def _sketches(numbered: DataFrame, words: int, fingerprints: bool) -> DataFrame:
+    """(row, digest of the shingle set, its size n, bands, SimHash fp or null) of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_parts(whole, 1, PART_BYTES)):
             found = [shingles(t.as_py(), words) for t in batch.column(1)]
+            prints = [simhash.fingerprint(t.as_py()) if fingerprints else None for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([xxhash.xxh128_digest(v.tobytes()) for v in found], pa.binary()),
                     pa.array(list(map(len, found)), pa.int64()),
                     pa.array(list(map(bands, found)), pa.list_(pa.int64())),
+                    pa.array(prints, pa.uint64()).view(pa.int64()),
                 ],
-                ["row", "digest", "n", "bands"],
+                ["row", "digest", "n", "bands", "fp"],
             )
 
-    return map_batches(numbered.select("row", "text"), work, "row long, digest binary, n long, bands array<long>")
+    schema = "row long, digest binary, n long, bands array<long>, fp long"
+    return map_batches(numbered.select("row", "text"), work, schema)
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -158,16 +164,30 @@ def _by_prefix(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.selectExpr("node AS a", "n", "b", "m")
 
 
-def linked(nodes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """Links (a, b) that join the nodes of (node, fp) whose fingerprints are equal or linked, one per row."""
+    found = simhash.linked_fingerprints(prints.select("fp").distinct(), keys=simhash.shared_blocks)
+    named = prints.join(found.withColumnsRenamed({"node": "fp", "component": "linked"}), "fp", "left")
+    grouped = stage(named.select("node", F.coalesce("linked", "fp").alias("group")), "fingerprint-groups")
+    hubs = stage(grouped.groupBy("group").agg(F.min("node").alias("b")), "fingerprint-hubs")
+    return grouped.join(hubs, "group").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def linked(
+    nodes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS, links: DataFrame | None = None
+) -> DataFrame:
     """(node, component) of every node that has a near copy.
 
     ``nodes`` holds (node, n, bands) with different shingle sets, ``texts`` the (node, text).
+    Nodes that the ``links`` (a, b) join are near copies without a comparison.
     """
     emitted = nodes.select(F.explode("bands").alias("key"), "node", "n")
     shared = emitted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     met = stage(emitted.join(stage(shared.select("key"), "buckets"), "key"), "met")
-    sets = stage(_sets(texts.join(met.select("node").distinct(), "node", "left_semi"), words), "shingle-sets")
-    links = found = None
+    found = sets = None
+    if links is not None:
+        links = stage(links, "near-links")
+        found = stage(components(links), "near-components")
     for candidates in (
         lambda m: _with_hub(m, F.col("node")),
         lambda m: _with_hub(m, F.xxhash64("key", "node")),
@@ -182,28 +202,41 @@ def linked(nodes: DataFrame, texts: DataFrame, words: int = SHINGLE_WORDS) -> Da
             apart = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
             open = stage(apart.filter("x < y").select("key"), "open")
             members = stage(known.join(open, "key"), "members")
+        if sets is None:
+            # Later rounds have fewer members, never others.
+            sets = stage(_sets(texts.join(members.select("node").distinct(), "node", "left_semi"), words), "shingle-sets")
         new = _links(stage(_in_order(candidates(members)), "candidates"), sets)
         links = stage(new if links is None else links.union(new), "near-links")
         found = stage(components(links), "near-components")
     return found
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs``, one of each group of near copies: the one with the smallest id."""
+def keep_one(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, fingerprints: bool = False
+) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: the one with the smallest id.
+
+    With ``fingerprints`` groups are joined by SimHash first, see ``fingerprint_links``.
+    """
     # The row travels as one value, so that no column of it can clash.
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"))
     held = stage(whole, "numbered")
     numbered = held.select("row", F.col("doc")[id].alias("id"), F.col("doc")[text].alias("text"))
-    sketches = stage(_sketches(numbered, words), "sketches")
+    sketches = stage(_sketches(numbered, words, fingerprints), "sketches")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row")
     keyed = sketches.join(numbered.select("row", "id"), "row")
     nodes = stage(
         keyed.groupBy("digest").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .select(F.col("first.row").alias("node"), "first", "n", "bands"),
+        .select(F.col("first.row").alias("node"), "first", "n", "bands", "digest"),
         "nodes",
     )
     texts = numbered.select(F.col("row").alias("node"), "text")
-    group = nodes.join(linked(nodes, texts, words), "node", "left").select(
+    links = None
+    if fingerprints:
+        # Texts with the same shingle set may have several fingerprints: one counts repeats.
+        prints = sketches.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest")
+        links = fingerprint_links(stage(prints.select("node", "fp"), "fingerprints"))
+    group = nodes.join(linked(nodes, texts, words, links), "node", "left").select(
         F.coalesce("component", "node").alias("group"), "first"
     )
     kept = group.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))

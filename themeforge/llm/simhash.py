@@ -23,7 +23,8 @@ other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ SEED = 42
 RADIUS = 3
 SHINGLE_WORDS = 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
+SIXTHS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 BUCKET_MEMBERS = 4096
 SHINGLES_AT_ONCE = 1 << 16
 
@@ -100,6 +102,16 @@ def _variants(fp: Column) -> Column:
     return F.concat(*out)
 
 
+def shared_blocks(fp: Column) -> Column:
+    """Every three of six blocks of bits: fingerprints within radius 3 have one of these 20 in common.
+
+    Less to write than ``_variants``, but a key of 31 bits is shared by chance where there
+    are billions of fingerprints.
+    """
+    kept = [sum(((1 << (b - a)) - 1) << a for a, b in three) for three in combinations(SIXTHS, 3)]
+    return F.transform(F.array(*[F.lit(_signed(mask)) for mask in kept]), fp.bitwiseAND)
+
+
 def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints, as index pairs."""
     left, queue = np.arange(len(values)), []
@@ -117,11 +129,11 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return kept
 
 
-def _meetings(distinct: DataFrame, most: int) -> DataFrame:
+def _meetings(distinct: DataFrame, most: int, keys: Callable[[Column], Column]) -> DataFrame:
     """(a, b): links inside buckets; for each member of an oversized bucket a row with a null b."""
-    # Each row becomes 131: spread over all tasks, however small the table is.
+    # Each row becomes 131 (or 20): spread over all tasks, however small the table is.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = distinct.repartition(parts, "fp").select(F.explode(_variants(F.col("fp"))).alias("key"), "fp")
+    emitted = distinct.repartition(parts, "fp").select(F.explode(keys(F.col("fp"))).alias("key"), "fp")
     dealt = emitted.repartition("key").sortWithinPartitions("key", "fp")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +207,14 @@ def _full_balls(members: DataFrame) -> DataFrame:
     return met.join(hubs, "key").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def linked_fingerprints(distinct: DataFrame, bucket_members: int = BUCKET_MEMBERS) -> DataFrame:
-    """(node, component) for every fingerprint that is linked to another one."""
-    met = stage(_meetings(distinct, bucket_members).distinct(), "meetings")
+def linked_fingerprints(
+    distinct: DataFrame, bucket_members: int = BUCKET_MEMBERS, keys: Callable[[Column], Column] = _variants
+) -> DataFrame:
+    """(node, component) for every fingerprint that is linked to another one.
+
+    ``keys`` gives the buckets of a fingerprint; any two within the radius must share one.
+    """
+    met = stage(_meetings(distinct, bucket_members, keys).distinct(), "meetings")
     links = met.filter("b IS NOT NULL")
     if met.filter("b IS NULL").limit(1).count():
         members = met.filter("b IS NULL").select(F.col("a").alias("fp")).distinct()
