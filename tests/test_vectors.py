@@ -183,3 +183,19 @@ def test_principal_components(frames):
     axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
     for i, row in enumerate(centred @ axes.T):
         assert found[f"r{i:03d}"] == pytest.approx(tuple(row), abs=1e-9)
+
+
+def test_small_blocks_of_large_tables_grow():
+    assert [D.block_count(n, 200) for n in (1, 1000, 3200, 100_000, 600_000)] == [1, 5, 16, 16, 30]
+    assert D.block_count(600_000, 50_000) == 12
+
+
+def test_searches_over_all_pairs_ask_every_fiftieth_row(spark):
+    from conftest import SF_DIR
+
+    from themeforge.plans.registry import QUERIES
+
+    n = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    for name, k in (("nearest_vectors_in_blocks", 10), ("kernel_rows", 5), ("probed_neighbour_recall", 1)):
+        found = QUERIES[name](spark, SF_DIR)
+        assert found.count() == k * n and found.filter("vec_id % 50 <> 0").count() == 0
