@@ -31,10 +31,13 @@ def term_weight(count: Column, idf: Column, sublinear: bool = True) -> Column:
 
 
 def tf_idf(counts: DataFrame, vocabulary: DataFrame, sublinear: bool = True) -> DataFrame:
-    """Replace ``c`` by ``weight``; tokens outside the vocabulary drop out."""
+    """Replace ``c`` by ``weight``; tokens outside the vocabulary drop out.
+
+    A task hashes its part of the vocabulary; the counts, many times as many, are not sorted.
+    """
     weight = term_weight(F.col("c"), F.col("idf"), sublinear)
     return (
-        counts.join(vocabulary.select("token", "idf"), "token")
+        counts.join(vocabulary.select("token", "idf").hint("shuffle_hash"), "token")
         .withColumn("weight", weight)
         .drop("c", "idf")
     )

@@ -101,7 +101,7 @@ def _sums(spark, sf):
 
 def _unit_sums(spark, sf):
     docs = articles(spark, sf)
-    counts = term_counts(docs, ("doc_id", "class"), ngram_range=(1, 2))
+    counts = stage(term_counts(docs, ("doc_id", "class"), ngram_range=(1, 2)), "counts")
     weights = tf_idf(counts, fit_idf(token_stats(counts), row_total(docs)))
     return C.class_table(docs), class_sums(normalise(weights), "class")
 

@@ -25,7 +25,7 @@ from themeforge.plans.registry import (
     table,
 )
 from themeforge.plans.stem_sql import stem_ctes
-from themeforge.session import ship_package, spread_texts
+from themeforge.session import ship_package, spread_texts, stage
 
 
 @query("split_title", """
@@ -222,7 +222,8 @@ def _(spark, sf):
 
 def _fitted(spark, sf, ngram_range=(1, 2), sublinear=True):
     docs = articles(spark, sf)
-    counts = V.term_counts(docs, ("doc_id", "class"), ngram_range=ngram_range)
+    # The texts are taken apart once: fitting and weighing read the same files.
+    counts = stage(V.term_counts(docs, ("doc_id", "class"), ngram_range=ngram_range), "counts")
     vocabulary = X.fit_idf(V.token_stats(counts), X.row_total(docs))
     return X.tf_idf(counts, vocabulary, sublinear)
 
