@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from themeforge.operators.postings import is_packed, posting_dots
+
 BLOCK_CLASSES = 64
 
 
@@ -85,6 +87,14 @@ def sparse_dots(
     blocks = blocks or class_blocks(
         centroids, classes, {n: c for n, (_, c) in pairs.items()}, label, block_classes
     )
+    if is_packed(weights):
+        if not complete:
+            raise ValueError("posting lists meet all classes")
+        kinds = {n: d for n, (d, _) in pairs.items()}
+        sums = posting_dots(weights, blocks.wide, blocks.blocks, kinds, blocks.width, key, docs.schema[key].dataType)
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks.blocks - 1)))
+        full = docs.withColumn("_block", every).join(sums, [key, "_block"], "left")
+        return _by_class(docs, full, blocks, pairs, label, complete)
     slim = weights.select(
         key, "token", *[F.col(d).alias(f"_d_{n}") for n, (d, _) in pairs.items()]
     )
@@ -104,6 +114,14 @@ def sparse_dots(
             full = known.withColumn("_block", every).join(sums, [key, "_block"], "left")
         else:
             full = known.join(sums, key)
+    return _by_class(docs, full, blocks, pairs, label, complete)
+
+
+def _by_class(
+    docs: DataFrame, full: DataFrame, blocks: ClassBlocks, pairs: Mapping[str, tuple[str, str]],
+    label: str, complete: bool,
+) -> DataFrame:
+    """One row per document and class from one row per document and block."""
     spread = full.join(blocks.members, "_block").select(
         *docs.columns, *[F.coalesce(f"sq_{n}", F.lit(0.0)).alias(f"sq_{n}") for n in pairs],
         *[F.array(*[F.col(f"_{n}_{i}") for i in range(blocks.width)]).alias(f"_{n}") for n in pairs],

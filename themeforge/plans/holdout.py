@@ -21,6 +21,13 @@ from themeforge.operators.centroids import (
     variance_by_class,
 )
 from themeforge.operators.nearest_class import nearest_class
+from themeforge.operators.postings import (
+    is_packed,
+    postings_stats,
+    term_postings,
+    token_weights,
+    weighed_postings,
+)
 from themeforge.operators.scoring import highest, lowest
 from themeforge.operators.similarity import (
     BLOCK_CLASSES,
@@ -50,7 +57,7 @@ _VALUE = {"raw": "weight", "unit": "unit"}
 
 @dataclass
 class Split:
-    """Documents with their part, and their term counts."""
+    """Documents with their part, and their term counts (rows or posting lists)."""
 
     docs: DataFrame
     counts: DataFrame
@@ -61,23 +68,34 @@ class Split:
 
 
 def split_documents(
-    docs: DataFrame, seed: int = 42, ratio: float = 0.7, ngram_range: tuple[int, int] = (1, 2)
+    docs: DataFrame, seed: int = 42, ratio: float = 0.7, ngram_range: tuple[int, int] = (1, 2),
+    packed: bool = True,
 ) -> Split:
-    """Split, and count the terms of all documents once: fitting and weighing read the same files."""
+    """Split, and count the terms of all documents once: fitting and weighing read the same files.
+
+    The counts are posting lists, or one row per (document, token) if not ``packed``.
+    """
     parted = docs.withColumn("part", holdout_part(docs, "doc_id", seed, ratio))
     keys = ("doc_id", "class", "part")
-    counts = stage(term_counts(parted, keys, ngram_range=ngram_range), "counts")
-    return Split(parted.select(*keys), counts)
+    if packed:
+        counts = term_postings(parted, keys[1:], keys[0], ngram_range=ngram_range)
+    else:
+        counts = term_counts(parted, keys, ngram_range=ngram_range)
+    return Split(parted.select(*keys), stage(counts, "counts"))
 
 
 def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:
     """``weight`` (TF-IDF) and ``unit`` (its L2-normalised form) of all documents.
 
-    The vocabulary is fitted on the ``train`` part or on ``all`` documents.
+    The vocabulary is fitted on the ``train`` part or on ``all`` documents. Of posting lists
+    the two are sums over the documents of a row.
     """
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on: {fit_on}")
     fit = split.only("train") if fit_on == "train" else split
+    if is_packed(split.counts):
+        vocabulary = fit_idf(postings_stats(fit.counts), row_total(fit.docs), min_df)
+        return stage(weighed_postings(split.counts, vocabulary), "weights")
     vocabulary = fit_idf(token_stats(fit.counts), row_total(fit.docs), min_df)
     # Norms are one number per document, summed before they are shuffled; written first,
     # the weights are neither computed twice nor sorted by document.
@@ -94,7 +112,9 @@ def class_distances(
     train = F.col("part") == "train"
     classes = class_table(docs.filter(train))
     values = tuple(_VALUE[s] for s in spaces)
-    sums = class_sums(weights.filter(train), "class", values)
+    # Norms and blocks both read the sums.
+    rows = token_weights(weights) if is_packed(weights) else weights
+    sums = stage(class_sums(rows.filter(train), "class", values), "class-sums")
     centroids = class_centroids(sums, classes, values=values).withColumnRenamed("class", "label")
     return centroid_distances(docs, weights, centroids, classes, spaces)
 
@@ -215,7 +235,7 @@ def nearest_centroid_by_class(
     Two passes over the text: the train part is summed up into a count profile
     that yields vocabulary and centroids, the test part is scored against them.
     """
-    split = split_documents(docs, seed, ratio)
+    split = split_documents(docs, seed, ratio, packed=False)
     train, test = split.only("train"), split.only("test")
     classes = class_table(train.docs)
     profile = count_profile(train.counts, "class")
