@@ -4,7 +4,7 @@ Documents form chunks of about ``CHUNK_DOCS`` by the hash of their id (rows of e
 one), tokens form buckets by the checksums of their words. A row holds what one chunk has of one bucket:
 ``tokens``, how many documents have each (``dfs``), and in the order of the tokens the ids of
 these documents (``docs``) and their counts (``cs``), next to columns that all of them share,
-such as class and part. Numbers travel as bytes (``_KINDS``). What goes by token is dealt by bucket, what goes by document by chunk,
+such as class and part. Numbers travel as bytes (``_KINDS``), tokens as lines. What goes by token is dealt by bucket, what goes by document by chunk,
 so Spark shuffles and groups few long rows instead of one per (document, token).
 
 Defined cases: a null text has no tokens; rows that repeat an id are counted one by one and
@@ -74,7 +74,7 @@ def term_postings(
             for part in _parts(batch):
                 yield from _postings(part, low, high, unwanted, buckets)
 
-    lists = f"tokens array<string>, dfs binary, tfs binary, docs {held}, cs binary"
+    lists = f"tokens string, dfs binary, tfs binary, docs {held}, cs binary"
     return rows.mapInArrow(work, f"{_ddl(rows.select(*by, 'chunk'))}, buckets int, bucket int, {lists}")
 
 
@@ -113,9 +113,9 @@ def weighed_postings(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
         docs = docs[entries] if isinstance(docs, np.ndarray) else docs.filter(pa.array(entries))
         idfs = right["idf"].to_numpy()[place.drop_null().to_numpy()]
         return pa.Table.from_arrays([
-            *[left[c] for c in shared], _lists(tokens.filter(pa.array(keep)), sizes), _lists(dfs[keep], sizes),
+            *[left[c] for c in shared], _lines(tokens.filter(pa.array(keep)), sizes), _lists(dfs[keep], sizes),
             _lists(docs, held), _lists(_flat(left, "cs")[entries], held), _lists(idfs, sizes),
-        ], names=[*shared, "tokens", "dfs", "docs", "cs", "idfs"])
+        ], names=[*shared, "tokens", "dfs", "docs", "cs", "idfs"]).filter(pa.array(sizes > 0))
 
     def weigh(table: pa.Table) -> pa.Table:
         token, _doc, weight, unit, _ids = _weights(table)
@@ -136,7 +136,7 @@ def weighed_postings(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def token_weights(weights: DataFrame) -> DataFrame:
     """(class, part, token, weight, unit): one row per token of a packed row."""
     each = F.arrays_zip(
-        F.col("tokens").alias("token"), F.col("weights").alias("weight"), F.col("units").alias("unit")
+        F.split("tokens", "\n").alias("token"), F.col("weights").alias("weight"), F.col("units").alias("unit")
     )
     return weights.select("class", "part", F.inline(each))
 
@@ -200,12 +200,14 @@ def posting_dots(
 
 def _sizes(table: pa.Table) -> np.ndarray:
     """How many tokens each row has."""
-    return pc.list_value_length(table["tokens"]).to_numpy()
+    return pc.binary_length(table["dfs"]).to_numpy() // 4
 
 
 def _flat(table: pa.Table, column: str) -> pa.Array | np.ndarray:
-    """The elements of a list column or of a column of bytes, row by row."""
+    """The elements of a column of lists, lines or bytes, row by row."""
     held = table[column].combine_chunks()
+    if pa.types.is_string(held.type):
+        return pc.split_pattern(held, "\n").flatten()
     if not pa.types.is_binary(held.type):
         return held.flatten()
     _valid, ends, data = held.buffers()
@@ -229,6 +231,11 @@ def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n).astype(np.float64)
 
 
+def _lines(tokens: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Consecutive tokens as lines of one text per row; no row has none."""
+    return pc.binary_join(_lists(tokens, sizes), "\n")
+
+
 def _weights(table: pa.Table):
     """Per entry of the lists: number of the token, of the document, weight, unit weight; and the ids."""
     dfs = _flat(table, "dfs")
@@ -302,7 +309,7 @@ def _postings(batch: pa.RecordBatch, low: int, high: int, stop_words: list[str],
         yield pa.RecordBatch.from_arrays([
             *[batch.column(i).take(head) for i in range(shared)],
             pa.array(np.full(len(cuts), buckets, dtype=np.int32)), pa.array((rank[cuts] % buckets).astype(np.int32)),
-            _lists(gram_names.take(pa.array(gram[first])), sizes),
+            _lines(gram_names.take(pa.array(gram[first])), sizes),
             *[_lists(v.astype(np.int32), sizes) for v in (dfs, tfs)],
             pc.if_else(nameless.take(head), None, docs), _lists(counts[run].astype(np.int32), held),
         ], names=[*batch.schema.names[:shared], "buckets", "bucket", "tokens", "dfs", "tfs", "docs", "cs"])
