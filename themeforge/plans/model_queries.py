@@ -489,6 +489,8 @@ def _lists(spark, sf):
     test = _distances(spark, sf).filter(
         (F.col("part") == "test") & F.col("unit_distance").isNotNull()
     )
+    # Both lists and the true classes read the distances.
+    test = stage(test, "distances")
     a = S.top_labels(test, "doc_id", "label", "raw_distance", 2, False, "a")
     b = S.top_labels(test, "doc_id", "label", "unit_distance", 2, False, "b")
     truth = test.select("doc_id", "class").distinct()
