@@ -89,7 +89,7 @@ def sparse_dots(
     )
     if is_packed(weights):
         if not complete:
-            raise ValueError("posting lists meet all classes")
+            raise ValueError("packed weights meet all classes")
         kinds = {n: d for n, (d, _) in pairs.items()}
         sums = posting_dots(weights, blocks.wide, blocks.blocks, kinds, blocks.width, key, docs.schema[key].dataType)
         every = F.explode(F.sequence(F.lit(0), F.lit(blocks.blocks - 1)))

@@ -22,6 +22,7 @@ from themeforge.operators.centroids import (
 )
 from themeforge.operators.nearest_class import nearest_class
 from themeforge.operators.postings import (
+    chunk_vocabularies,
     is_packed,
     postings_stats,
     term_postings,
@@ -48,7 +49,7 @@ from themeforge.operators.weights import (
     row_total,
     tf_idf,
 )
-from themeforge.session import stage
+from themeforge.session import stage, unstage
 
 SPACES = ("raw", "unit")
 SCORERS = tuple(f"{scorer}_{space}" for space in SPACES for scorer in ("distance", "gauss", "expo"))
@@ -57,7 +58,7 @@ _VALUE = {"raw": "weight", "unit": "unit"}
 
 @dataclass
 class Split:
-    """Documents with their part, and their term counts (rows or posting lists)."""
+    """Documents with their part, and their term counts (rows or packed)."""
 
     docs: DataFrame
     counts: DataFrame
@@ -73,7 +74,7 @@ def split_documents(
 ) -> Split:
     """Split, and count the terms of all documents once: fitting and weighing read the same files.
 
-    The counts are posting lists, or one row per (document, token) if not ``packed``.
+    The counts are packed, or one row per (document, token) if not ``packed``.
     """
     parted = docs.withColumn("part", holdout_part(docs, "doc_id", seed, ratio))
     keys = ("doc_id", "class", "part")
@@ -87,15 +88,19 @@ def split_documents(
 def weigh(split: Split, fit_on: str = "train", min_df: int = 5) -> DataFrame:
     """``weight`` (TF-IDF) and ``unit`` (its L2-normalised form) of all documents.
 
-    The vocabulary is fitted on the ``train`` part or on ``all`` documents. Of posting lists
-    the two are sums over the documents of a row.
+    The vocabulary is fitted on the ``train`` part or on ``all`` documents. Packed counts
+    give packed weights.
     """
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on: {fit_on}")
     fit = split.only("train") if fit_on == "train" else split
     if is_packed(split.counts):
-        vocabulary = fit_idf(postings_stats(fit.counts), row_total(fit.docs), min_df)
-        return stage(weighed_postings(split.counts, vocabulary), "weights")
+        # Each step is written, so that its shuffle goes before the next one fills the disk.
+        vocabulary = stage(fit_idf(postings_stats(fit.counts), row_total(fit.docs), min_df), "vocabulary")
+        known = stage(chunk_vocabularies(split.counts, vocabulary), "chunk-vocabularies")
+        weights = stage(weighed_postings(split.counts, known), "weights")
+        unstage(vocabulary, known)
+        return weights
     vocabulary = fit_idf(token_stats(fit.counts), row_total(fit.docs), min_df)
     # Norms are one number per document, summed before they are shuffled; written first,
     # the weights are neither computed twice nor sorted by document.
@@ -113,8 +118,8 @@ def class_distances(
     classes = class_table(docs.filter(train))
     values = tuple(_VALUE[s] for s in spaces)
     # Norms and blocks both read the sums.
-    rows = token_weights(weights) if is_packed(weights) else weights
-    sums = stage(class_sums(rows.filter(train), "class", values), "class-sums")
+    rows = token_weights(weights.filter(train)) if is_packed(weights) else weights.filter(train)
+    sums = stage(class_sums(rows, "class", values), "class-sums")
     centroids = class_centroids(sums, classes, values=values).withColumnRenamed("class", "label")
     return centroid_distances(docs, weights, centroids, classes, spaces)
 
@@ -223,6 +228,7 @@ def evaluate_holdout(
     """Accuracy of the three scorers in both spaces."""
     split = split_documents(docs, seed, ratio)
     weights = weigh(split, fit_on, min_df)
+    unstage(split.counts)
     scores = class_scores(class_distances(split.docs, weights))
     return accuracies(predictions(scores))
 
@@ -252,16 +258,18 @@ def nearest_centroid_by_class(
 def run_accuracies(docs: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
     """(run, scorer, n, accuracy) of several splits at once, from one pass over the weights.
 
-    ``docs`` (doc_id, class, train_in) and ``weights`` (and token, weight, unit) carry
-    the numbers of the runs in which the document trains. Centroids of all runs are columns
-    of one row per (class, token), so each document meets them in one join.
+    ``docs`` (doc_id, class, train_in) carry the numbers of the runs in which the document trains;
+    packed ``weights`` (class, times, copies, ...) how often it does in each run, and how many rows of
+    ``docs`` have its id. Centroids of all runs are columns of one row per (class, token), so each
+    document meets them in one pass.
     """
     numbers = range(runs)
     inside = [F.array_contains("train_in", i) for i in numbers]
+    times = [F.split("times", ",")[i].cast("double") for i in numbers]
     cells = [(s, i) for s in SPACES for i in numbers]
     sizes = docs.groupBy("class").agg(*[F.count_if(inside[i]).alias(f"n_{i}") for i in numbers])
-    sums = weights.groupBy("class", "token").agg(
-        *[F.sum(F.when(inside[i], F.col(_VALUE[s]))).alias(f"{s}_{i}") for s, i in cells]
+    sums = token_weights(weights).groupBy("class", "token").agg(
+        *[F.sum(F.when(times[i] > 0, times[i] * F.col(_VALUE[s]))).alias(f"{s}_{i}") for s, i in cells]
     )
     centroids = sums.join(sizes, "class").select(
         F.col("class").alias("label"), "token",
@@ -292,10 +300,16 @@ def run_accuracies(docs: DataFrame, weights: DataFrame, runs: int) -> DataFrame:
 
 
 def _weighed_once(docs: DataFrame, min_df: int) -> DataFrame:
-    """Weights of all documents, fitted on all of them."""
-    whole = docs.withColumn("part", F.lit("all"))
-    counts = stage(term_counts(whole, ("doc_id", "class", "part"), ngram_range=(1, 2)), "counts")
-    return weigh(Split(whole.select("doc_id", "class", "part"), counts), "all", min_df).drop("part")
+    """Packed weights of all documents (and times, copies), fitted on all of them."""
+    counts = stage(term_postings(docs, ("class", "times", "copies"), ngram_range=(1, 2)), "counts")
+    weights = weigh(Split(docs.select("doc_id", "class"), counts), "all", min_df)
+    unstage(counts)
+    return weights
+
+
+def _listed(numbers: Sequence[Column]) -> Column:
+    """Whole numbers as one text, which rows of packed counts can share."""
+    return F.concat_ws(",", *[n.cast("string") for n in numbers])
 
 
 def repeated_holdout(
@@ -308,7 +322,8 @@ def repeated_holdout(
     """
     base = docs.select("doc_id", "class")
     train_in = train_runs(base, "doc_id", seeds, ratio)
-    weights = stage(_weighed_once(docs, min_df).withColumn("train_in", train_in), "run-weights")
+    times = _listed([F.array_contains(train_in, i).cast("int") for i in range(len(seeds))])
+    weights = _weighed_once(docs.withColumns({"times": times, "copies": F.lit(1)}), min_df)
     found = run_accuracies(base.withColumn("train_in", train_in), weights, len(seeds))
     names = F.array(*[F.lit(s) for s in seeds])
     return found.select(F.get(names, F.col("run")).alias("seed"), "scorer", "n", "accuracy")
@@ -322,6 +337,9 @@ def fold_accuracy(docs: DataFrame, k: int = 5, seed: int = 42, min_df: int = 5)
     placed = folds(docs.select("doc_id", "class"), k, "doc_id", seed)
     others = F.array_remove(F.array(*[F.lit(i) for i in range(k)]), F.col("fold"))
     members = stage(placed.select("doc_id", "class", others.alias("train_in")), "folds")
-    weights = _weighed_once(docs, min_df).join(members.select("doc_id", "train_in"), "doc_id")
-    found = run_accuracies(members, stage(weights, "run-weights"), k)
+    # Rows that repeat an id may lie in different folds; each of them has the weights of all.
+    times = _listed([F.count_if(F.array_contains("train_in", i)) for i in range(k)])
+    by_id = members.groupBy("doc_id").agg(times.alias("times"), F.count("*").cast("int").alias("copies"))
+    known = docs.select("doc_id", "class", "text").join(by_id.hint("shuffle_hash"), "doc_id", "left")
+    found = run_accuracies(members, _weighed_once(known, min_df), k)
     return found.withColumnRenamed("run", "fold")

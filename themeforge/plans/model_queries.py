@@ -36,7 +36,7 @@ from themeforge.plans.registry import (
     r6,
     table,
 )
-from themeforge.session import stage
+from themeforge.session import stage, unstage
 
 # ---- splits and samples --------------------------------------------------------------
 
@@ -237,7 +237,9 @@ def _accuracy_sql(scorers=H.SCORERS) -> str:
 
 def _distances(spark, sf, spaces=H.SPACES):
     split = H.split_documents(articles(spark, sf))
-    return H.class_distances(split.docs, H.weigh(split), spaces)
+    weights = H.weigh(split)
+    unstage(split.counts)
+    return H.class_distances(split.docs, weights, spaces)
 
 
 def _scores(spark, sf):
