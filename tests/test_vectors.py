@@ -190,12 +190,16 @@ def test_small_blocks_of_large_tables_grow():
     assert D.block_count(600_000, 50_000) == 12
 
 
-def test_searches_over_all_pairs_ask_every_fiftieth_row(spark):
-    from conftest import SF_DIR
+def test_searches_ask_for_every_row(spark, tmp_path):
+    from themeforge.plans.registry import ORACLES, QUERIES
 
-    from themeforge.plans.registry import QUERIES
-
-    n = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(1, 61)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
     for name, k in (("nearest_vectors_in_blocks", 10), ("kernel_rows", 5), ("probed_neighbour_recall", 1)):
-        found = QUERIES[name](spark, SF_DIR)
-        assert found.count() == k * n and found.filter("vec_id % 50 <> 0").count() == 0
+        found = QUERIES[name](spark, str(tmp_path)).groupBy("vec_id").count().collect()
+        assert sorted(map(tuple, found)) == [(i, k) for i in range(1, 61)]
+        assert "% 50" not in ORACLES.get(name, "")
+    found = QUERIES["probed_recall_reached"](spark, str(tmp_path)).first()
+    assert (found["vectors"], found["neighbours"]) == (60, 600) and "% 50" not in ORACLES["probed_recall_reached"]
