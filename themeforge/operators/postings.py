@@ -38,7 +38,7 @@ LEAST_DOCS = 2_000
 CHUNKS = 24
 #: Bytes of text that are encoded at a time, and words whose n-grams are counted at a time.
 PART_BYTES = 16 << 20
-GRAM_WORDS = 4_000_000
+GRAM_WORDS = 1_000_000
 #: Chunks are scored in so many rounds at most, each with so many chunks at least.
 ROUNDS = 4
 ROUND_CHUNKS = 8
@@ -126,7 +126,8 @@ def chunk_vocabularies(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _units(pa.Table.from_batches([batch]), "chunk"):
+            held = pa.Table.from_batches([batch])
+            for rows in _units(held.take(pa.array(_order(held, ["chunk"]))), "chunk"):
                 grams = _grams(rows, counted=False)
                 yield _asked(rows["chunk"][0], grams.names, *grams.by_bucket())
 
@@ -141,7 +142,9 @@ def chunk_vocabularies(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
         })
         return found.filter(pa.array(held > 0))
 
-    slim = postings.filter(F.col("docs").isNotNull()).select("chunk", "buckets", "low", "high", "tokens", "lengths", "words")
+    slim = postings.filter(F.col("docs").isNotNull()).select(
+        "chunk", "piece", "buckets", "low", "high", "tokens", "lengths", "words"
+    )
     asked = slim.mapInArrow(ask, "chunk int, bucket int, tokens binary")
     known = vocabulary.select("bucket", "token", "idf").groupBy("bucket")
     return asked.groupBy("bucket").cogroup(known).applyInArrow(answer, "chunk int, tokens binary, idfs binary")
@@ -235,7 +238,8 @@ def posting_dots(
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _same(pa.Table.from_batches([batch]), "chunk"):
+            held = pa.Table.from_batches([batch])
+            for rows in _same(held.take(pa.array(_order(held, ["chunk"]))), "chunk"):
                 coded = _strings(rows["tokens"]).dictionary_encode()
                 first = np.unique(coded.indices.to_numpy(), return_index=True)[1]
                 dealt = _numbers(rows["dealt"])[0][first]
@@ -309,7 +313,7 @@ def posting_dots(
     schema = ", ".join([f"`{key}` {id_type.simpleString()}", "_block int", *[f"`{n}` double" for n in names]])
 
     def summed(part: DataFrame) -> DataFrame:
-        asked = part.select("chunk", "tokens", "dealt").mapInArrow(ask, "chunk int, bucket int, tokens binary")
+        asked = part.select("chunk", "piece", "tokens", "dealt").mapInArrow(ask, "chunk int, bucket int, tokens binary")
         values = asked.groupBy("bucket").cogroup(columns.groupBy("bucket")).applyInArrow(answer, ddl)
         slim = part.select("chunk", *copies, "tokens", "dfs", "at", "cs", "idfs", "docs", "norms")
         return slim.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(multiply, schema)
