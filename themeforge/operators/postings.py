@@ -33,7 +33,7 @@ from themeforge.functions.text import ENGLISH_STOP_WORDS
 from themeforge.session import ship_package, stage, unstage
 
 #: The more documents a chunk has, the fewer tokens it shares with others; small tables have ``CHUNKS`` chunks.
-CHUNK_DOCS = 16_000
+CHUNK_DOCS = 8_000
 LEAST_DOCS = 2_000
 CHUNKS = 24
 #: Bytes of text that are encoded at a time, and words whose n-grams are counted at a time.
@@ -418,17 +418,16 @@ def _asked(chunk: pa.Scalar, names: pa.Array, number: pa.Array, sizes: np.ndarra
 def _class_values(rows: pa.Table, cells: int) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
     """The tokens of a chunk that a block of classes has; for each class their places and values."""
     tokens, sizes = _strings(rows["tokens"]), _line_sizes(rows["tokens"])
-    firsts = np.cumsum(sizes) - sizes
-    cell, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for mask, first, size in zip(rows["mask"].to_pylist(), firsts, sizes):
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(cells)]
+    for i, (mask, first, size) in enumerate(zip(rows["mask"].to_pylist(), np.cumsum(sizes) - sizes, sizes)):
         held = np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=cells * size))
-        c, t = np.divmod(held, size)
-        cell.append(c)
-        at.append(t + first)
-    cell, at, values = np.concatenate(cell), np.concatenate(at), _doubles(rows["values"])
-    order = np.argsort(cell, kind="stable")
-    cuts = np.searchsorted(cell[order], np.arange(1, cells))
-    return tokens, list(zip(np.split(at[order], cuts), np.split(values[order], cuts)))
+        values = _doubles(rows["values"].slice(i, 1))
+        cuts = np.searchsorted(held, np.arange(cells + 1) * size)
+        for c, a, b in zip(range(cells), cuts, cuts[1:]):
+            if b > a:
+                found[c].append(((held[a:b] - c * size + first).astype(np.int32), values[a:b]))
+    none = (np.zeros(0, dtype=np.int32), np.zeros(0))
+    return tokens, [tuple(map(np.concatenate, zip(*parts))) if parts else none for parts in found]
 
 
 def _entries(row: pa.Table):
