@@ -38,7 +38,7 @@ LEAST_DOCS = 2_000
 CHUNKS = 24
 #: Bytes of text that are encoded at a time, and words whose n-grams are counted at a time.
 PART_BYTES = 16 << 20
-GRAM_WORDS = 1_000_000
+GRAM_WORDS = 500_000
 #: Chunks are scored in so many rounds at most, each with so many chunks at least.
 ROUNDS = 4
 ROUND_CHUNKS = 8
